@@ -1,0 +1,133 @@
+"""Secret scanning by dictionary-primed zstandard novelty.
+
+Fixed shapes (assignments to sensitive names, access-key ids, long hex) are found by patterns.  Beyond them, each long token near a
+sensitive word is a candidate, and its marginal size is measured: the bytes that zstandard needs for the surrounding text with the
+token, less those for the surrounding text alone, primed with a dictionary of identifiers and common code words.  Text, identifiers and
+repeats of the surroundings cost few bytes; a token that needs about as many bytes as it has characters is new information and is
+reported as ``novel``.
+
+Defined results: a null or empty text has no span; offsets are code points with exclusive ends; rows are independent, so repeated
+rows, ties and null ids need no care; an empty table gives no rows.
+"""
+
+from __future__ import annotations
+
+import re
+
+import pyarrow as pa
+import zstandard
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import map_batches
+
+KINDS = ("assign", "access", "hex", "novel")
+_NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
+_ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+_ACCESS = re.compile(r"AKIA[A-Z0-9]+")
+_HEX = re.compile(r"[0-9a-f]{24,}")
+_NEAR = re.compile(r"(?<![a-z])(?:secret|token|passw(?:or)?d|passphrase|pwd|api[ _-]?key|private[ _-]?key|access[ _-]?key|auth(?:orization|entication)?|bearer|credentials?|client[ _-]?id|signature|webhook|contraseña|clave|passwort|schlüssel|jeton)(?![a-z])", re.I)
+_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=~.-]{12,}")
+#: How far a sensitive word may be from a candidate, and how much of the text around it primes the compressor.
+REACH, CONTEXT = 40, 160
+#: A candidate is reported from this share of marginal bytes on.
+NOVEL = 0.85
+# words that code and configuration repeat; with their joined forms they make the dictionary
+_CODE = "get set is has add remove update delete create read write load save open close start stop run init config user name password secret token key value type class function return import export const public private static void string int long bool true false null none default error message request response header body client server host port path file url http https api auth access id session cookie data list map array index count size length buffer stream async await promise test mock example sample placeholder your changeme localhost username email address account service".split()
+
+
+def dictionary() -> bytes:
+    snake = [f"{a}_{b}" for a in _CODE for b in _CODE[:24]]
+    camel = [a + b.capitalize() for a in _CODE for b in _CODE[:24]]
+    alphabet = "abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 0123456789abcdef 00000000 xxxxxxxx XXXXXXXX "
+    return (" ".join(snake + camel) + alphabet + " ".join(_CODE)).encode()
+
+
+_compressor: list[zstandard.ZstdCompressor] = []
+
+
+def _size(data: bytes) -> int:
+    if not _compressor:
+        primed = zstandard.ZstdCompressionDict(dictionary(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        primed.precompute_compress(level=6)
+        _compressor.append(zstandard.ZstdCompressor(dict_data=primed, write_checksum=False, write_content_size=False, write_dict_id=False))
+    return len(_compressor[0].compress(data))
+
+
+def novelty(text: str, start: int, end: int) -> float:
+    """Marginal compressed bytes of text[start:end] for each of its bytes, given the text around it."""
+    around = (text[max(0, start - CONTEXT) : start] + "\n" + text[end : end + CONTEXT]).encode("utf-8", "surrogatepass")
+    own = text[start:end].encode("utf-8", "surrogatepass")
+    return (_size(around + b"\n" + own) - _size(around + b"\n")) / max(1, len(own))
+
+
+def find_secrets(text: str) -> list[tuple[str, int, int, int]]:
+    """(kind, start, end, start of the secret value) by start, then kind as in KINDS."""
+    out = []
+    low = text.lower()
+    if any(n in low for n in _NAMES):
+        out += [("assign", m.start(), m.end(), m.start(2)) for m in _ASSIGN.finditer(text) if len(m[2]) >= 6]
+    if "AKIA" in text:
+        out += [("access", m.start(), m.end(), m.start()) for m in _ACCESS.finditer(text) if len(m[0]) >= 20]
+    out += [("hex", m.start(), m.end(), m.start()) for m in _HEX.finditer(text)]
+    base = list(out)
+    done: set[tuple[int, int]] = set()
+    for w in _NEAR.finditer(text):
+        lo, hi = max(0, w.start() - REACH), w.end() + REACH
+        floor = max(0, lo - 4 * REACH)  # a token that began a little earlier is read from its start
+        while lo > floor and not text[lo - 1].isspace():
+            lo -= 1
+        for m in _CANDIDATE.finditer(text, lo):
+            if m.start() > hi:
+                break
+            s, e = m.span()
+            if (s, e) in done or any(s < b[2] and b[1] < e for b in base):
+                continue
+            done.add((s, e))
+            t = m[0]
+            mixed = any(c.isdigit() for c in t) and any(c.isalpha() for c in t)
+            if mixed and len(set(t)) >= 8 and novelty(text, s, e) >= NOVEL:
+                out.append(("novel", s, e, s))
+    return sorted(out, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
+
+
+_SPANS = "array<struct<kind:string,start:int,end:int,value_start:int>>"
+
+
+def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, spans) for every row: spans is an array of (kind, start, end, value_start)."""
+    names = ("kind", "start", "end", "value_start")
+    kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("value_start", pa.int32())]))
+
+    def scan(b: pa.RecordBatch) -> pa.RecordBatch:
+        spans = [[dict(zip(names, s, strict=True)) for s in find_secrets(t)] for t in b["text"].to_pylist()]
+        return pa.record_batch([b["doc_id"], pa.array(spans, kind)], names=["doc_id", "spans"])
+
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return map_batches(rows, scan, f"doc_id {docs.schema[id_col].dataType.simpleString()}, spans {_SPANS}")
+
+
+def redact(text: str, mark: str = "[secret]") -> str:
+    """The text with each secret value (overlapping ones as one) replaced."""
+    out, at = [], 0
+    spans = sorted((v, e) for _, _, e, v in find_secrets(text))
+    k = 0
+    while k < len(spans):
+        s, e = spans[k]
+        while k < len(spans) and spans[k][0] <= e:
+            e = max(e, spans[k][1])
+            k += 1
+        out += [text[at:s], mark]
+        at = e
+    return "".join([*out, text[at:]]) if out else text
+
+
+def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """All columns of the input, secrets in the text replaced; a null text stays null."""
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        at = b.schema.get_field_index(text_col)
+        texts = [t if t is None else redact(t) for t in b.column(at).to_pylist()]
+        return b.set_column(at, b.schema.field(at), pa.array(texts, b.schema.field(at).type))
+
+    return map_batches(docs, run, docs.schema)
