@@ -15,6 +15,9 @@ come; an empty table gives no rows; a null id is packed like any other.
 
 from __future__ import annotations
 
+import re
+import sys
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,39 +31,73 @@ from .common import id_and_text, map_batches
 LIMIT = 2048
 #: Documents dealt to one bucket on average.
 BUCKET = 32768
-#: Words whose ids a worker remembers at most.
-REMEMBERED = 400_000
+#: Words whose ids a worker remembers at most, before those not used since as many others are forgotten.
+REMEMBERED = 500_000
 
-_state: dict[str, tuple] = {}
+_state: dict[str, list] = {}
+_LETTERS = re.compile(r"[a-zß-öø-ÿ]+")
+#: Byte-level characters of the bytes that aren't printable in Latin-1; all others stand for themselves.
+_BYTES = {b: 256 + k for k, b in enumerate([*range(33), *range(127, 161), 173])}
+_SIGNS = re.compile(r"([a-zß-öø-ÿ])(?=[^\w\s])")
 
 
-def _encoder(path: str):
-    """(tokenizer, remembered words) of this worker; a word's ids are little-endian bytes."""
+def _encoder(path: str) -> list:
+    """[tokenizer, words remembered of late, words remembered before] of this worker; a word's ids are little-endian bytes."""
     if path not in _state:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _state[path] = (Tokenizer.from_file(path), {})
+        _state[path] = [Tokenizer.from_file(path), {}, {}]
     return _state[path]
 
 
+def _ids(ids: list[int]) -> bytes:
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
+def _split(text: str) -> list[str]:
+    """Parts of a text whose ids, one after the other, are the text's.
+
+    White space separates words for this tokenizer and leaves no id, and a run of letters always ends a token, so signs that
+    follow one may be split off.  In Latin-1 lower case changes nothing either, as the tokenizer lowers letters one by one; a
+    text that may spell a special token, or has other characters (which could compose), keeps its case.
+    """
+    if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # str.split breaks at these, the tokenizer does not drop them
+        return text.replace("\t", " ").replace("\n", " ").split(" ")
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text.split()
+    return text.split() if "<|" in text else _SIGNS.sub(r"\1 ", text.lower()).split()
+
+
 def encode_texts(texts: list[str], path: str) -> list[bytes]:
-    """Ids of each text, four bytes each.  White space separates words for this tokenizer and leaves no
-    id, so the ids of a text are those of its words, and each word is encoded once."""
-    tok, known = _encoder(path)
-    # str.split also breaks at U+001C..U+001F, which the tokenizer does not drop
-    split = [t.split() if not any(c in t for c in "\x1c\x1d\x1e\x1f") else t.replace("\t", " ").replace("\n", " ").split(" ") for t in texts]
-    new = list(set().union(*split).difference(known))
-    if new:
-        if len(known) + len(new) > REMEMBERED:
-            known.clear()
-            new = list(set().union(*split))
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for w, e in zip(part, tok.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
+    """Ids of each text, four bytes each.  Each word is encoded once for as long as it is remembered."""
+    state = _encoder(path)
+    split = [_split(t) for t in texts]
+    need = set().union(*split)
+    if len(state[1]) + len(need) > REMEMBERED and state[1]:
+        state[1:] = [{}, state[1]]
+    tok, known, old = state
+    new = need.difference(known)
+    again = new.intersection(old)
+    known.update((w, old[w]) for w in again)
+    fresh = list(new - again)
+    # one run of lower-case letters is one token to the pre-tokenizer, and its bytes go straight to the model
+    model = tok.model.tokenize
+    for w in fresh:
+        if _LETTERS.fullmatch(w):
+            known[w] = _ids([t.id for t in model(w if w.isascii() else w.encode().decode("latin-1").translate(_BYTES))])
+    others = [w for w in fresh if w not in known]
+    for at in range(0, len(others), 20_000):
+        part = others[at : at + 20_000]
+        for w, e in zip(part, tok.encode_batch_fast(part, add_special_tokens=False), strict=True):
+            known[w] = _ids(e.ids)
     get = known.__getitem__
     return [b"".join(map(get, ws)) for ws in split]
 
