@@ -12,10 +12,6 @@ from pyspark.sql import functions as F
 
 #: Rows in one Arrow batch: with whole texts in them, this bounds a Python worker's memory.
 BATCH_ROWS = 1000
-#: Words are maximal runs of anything but ASCII white space.
-WORD = r"[^\x20\x09-\x0D]+"
-SPACES = " \t\n\x0b\x0c\r"
-_UPPER = {c: c + 32 for c in range(65, 91)}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,25 +19,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def lower_ascii(text: str) -> str:
-    """A-Z to a-z, everything else as it is."""
-    low = text.lower() if text.isascii() else text.translate(_UPPER)
-    return low
-
-
-def words_of(text: str) -> list[str]:
-    """Maximal runs of characters other than the six ASCII white-space ones."""
-    if text.isascii():
-        # str.split also breaks at the four ASCII separators U+001C..U+001F
-        return text.split() if not any(c in text for c in "\x1c\x1d\x1e\x1f") else _runs(text)
-    return _runs(text)
-
-
-def _runs(text: str) -> list[str]:
-    for c in "\t\n\x0b\x0c\r":
-        if c in text:
-            text = text.replace(c, " ")
-    return [w for w in text.split(" ") if w]
+def words_of(text: str) -> list[bytes]:
+    """Words of a text after A-Z are lowered, as UTF-8: bytes lower in ASCII only and split at the six ASCII white-space characters."""
+    return text.encode("utf-8", "surrogatepass").lower().split()
 
 
 def remainder(doc_id: Column, n: int) -> Column:

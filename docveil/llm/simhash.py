@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, lower_ascii, map_batches, stored, words_of
+from .common import id_and_text, map_batches, stored, words_of
 
 NEAR = 4
 SEED = 42
@@ -41,13 +41,13 @@ _MASK = (1 << BLOCK) - 1
 
 def fingerprint(text: str, shingle: int = 4) -> int:
     """The 64-bit fingerprint, unsigned: a bit is 1 if it is set in over half of the shingles' XXH64 values."""
-    words = words_of(lower_ascii(text))
+    words = words_of(text)
     if not words:
         return 0
-    data = " ".join(words).encode("utf-8", "surrogatepass")
+    data = b" ".join(words)
     if len(words) <= shingle:
         return xxhash.xxh64_intdigest(data, SEED)
-    size = np.fromiter(map(len, data.split(b" ")), np.int64, len(words))
+    size = np.fromiter(map(len, words), np.int64, len(words))
     end = np.cumsum(size + 1) - 1
     start, end = (end - size)[: len(words) - shingle + 1].tolist(), end[shingle - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
