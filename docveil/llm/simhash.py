@@ -1,12 +1,12 @@
 """SimHash near-duplicates by anchor-point covering.
 
-Fingerprints link when at most four of their 64 bits differ.  Two blocks of 31 bits are read from each, and at
-least one block then differs in at most two bits (two bits of the 64 are in neither block, which loses nothing).  Over a
-block, the anchors are the words of the binary [31, 26] Hamming code, whose covering radius is 1.  If two blocks
-differ in at most two bits, some word lies within one bit of both (the threshold is shared out, one bit to
-either side), and the anchor next to that word lies within 1 + 1 bits of both: so each fingerprint is replicated to
-all anchors within covering radius plus its share of the threshold, which are at most 16 of 2^26 in each block, and fingerprints
-are compared with those at the same anchor.  Nothing is missed, and equal fingerprints are one row from the start.
+Fingerprints link when at most ``near`` of their 64 bits differ.  Two blocks of 31 bits are read from each, and at least one
+block then differs in at most t = near // 2 bits (two bits of the 64 are in neither block, which loses nothing).  Over a block, the
+anchors are the words of the binary [31, 26] Hamming code, whose covering radius is 1.  If two blocks differ in at most t bits, some word
+lies within ceil(t / 2) bits of both (the threshold is shared out between them), and the anchor next to that word lies within
+1 + ceil(t / 2) bits of both: so each fingerprint is replicated to all anchors within covering radius plus its share of the threshold,
+and fingerprints are compared with those at the same anchor.  Of 2^26 anchors in a block these are at most 16 for a threshold of 4
+bits in 64 and 156 for one of 9.  Nothing is missed, and equal fingerprints are one row from the start.
 
 An anchor's fingerprints are compared by absorption: a fingerprint takes up all that are near it and these are not
 compared again with what is taken, so a dense group costs a few passes and yields a spanning set of links, not all pairs.
@@ -19,7 +19,9 @@ they come in; a component's id is its smallest non-null document id; an empty ta
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +36,6 @@ SEED = 42
 BLOCK = 31
 #: Fingerprints of one anchor that a task compares at most with as many others.
 GROUP = 1_000_000
-#: Halves within two bits of an anchor: it can be larger than GROUP only if one of these has over a share of that many.
-_BALL = 1 + BLOCK + BLOCK * (BLOCK - 1) // 2
 _MASK = (1 << BLOCK) - 1
 
 
@@ -68,18 +68,39 @@ def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text
     return map_batches(id_and_text(docs, id_col, text_col), run, "doc_id long, fp long")
 
 
-def _offsets() -> list[list[int]]:
-    """By syndrome: what to add to a block for each anchor within two bits.  The syndrome is the sum, without carries, of the
-    numbers 1 to 31 of the bits that are set; an anchor is a block with syndrome zero."""
-    bit = lambda i: 1 << (i - 1)
-    return [[0]] + [[bit(s)] + [bit(i) ^ bit(i ^ s) for i in range(1, BLOCK + 1) if i < i ^ s and i != s] for s in range(1, BLOCK + 1)]
+def reach(near: int) -> int:
+    """How far an anchor may be from a block: the covering radius and this side's share of the block's threshold."""
+    return 1 + -(-(near // 2) // 2)
 
 
-def anchors_of(half: Column, block: int) -> Column:
-    """Array of the anchors within two bits of a 31-bit block; the block's number is in bit 31."""
+def bits_for(similarity: float) -> int:
+    """The largest number of differing bits at which the estimated Jaccard similarity of the shingle sets is at least this.
+
+    Bits differ in a share of angle / pi; for sets of like size the cosine is 2 J / (1 + J).
+    """
+    return int(64 / math.pi * math.acos(2 * similarity / (1 + similarity)))
+
+
+def _offsets(radius: int) -> list[list[int]]:
+    """By syndrome: what to add to a block for each anchor within ``radius`` bits.  The syndrome is the sum, without carries, of
+    the numbers 1 to 31 of the bits that are set; an anchor is a block with syndrome zero."""
+    out: list[list[int]] = [[] for _ in range(BLOCK + 1)]
+    for k in range(radius + 1):
+        for at in combinations(range(1, BLOCK + 1), k):
+            syndrome = mask = 0
+            for i in at:
+                syndrome ^= i
+                mask |= 1 << (i - 1)
+            out[syndrome].append(mask)
+    return out
+
+
+def anchors_of(half: Column, block: int, near: int = NEAR) -> Column:
+    """Array of the anchors within reach of a 31-bit block; the block's number is in bit 31."""
     parity = [sum(1 << (i - 1) for i in range(1, BLOCK + 1) if i >> k & 1) for k in range(5)]
     syndrome = sum(F.shiftleft(F.bit_count(half.bitwiseAND(F.lit(m))) % 2, k) for k, m in enumerate(parity))
-    table = F.array(*[F.array(*[F.lit(m | block << BLOCK).cast("long") for m in row]) for row in _offsets()])
+    rows = (",".join(f"{m | block << BLOCK}L" for m in row) for row in _offsets(reach(near)))
+    table = F.expr(f"array({','.join(f'array({r})' for r in rows)})")
     return F.transform(F.element_at(table, syndrome.cast("int") + 1), lambda m: half.bitwiseXOR(m))
 
 
@@ -125,14 +146,19 @@ def links_of(key: np.ndarray, f: np.ndarray, near: int = NEAR, small: int = 12)
 
 
 def near_links(fps: DataFrame, near: int = NEAR, group: int = GROUP) -> DataFrame:
-    """(src, dst) for a column fp of distinct fingerprints: links that have the same components as all pairs within ``near`` (at most 4) bits."""
-    if not 0 <= near <= 4:
-        raise ValueError("two blocks within two bits each cover at most 4 differing bits")
+    """(src, dst) for a column fp of distinct fingerprints: links that have the same components as all pairs within ``near`` bits.
+
+    Replicas grow fast with ``near``: 2 * 16 to 5 bits, 2 * 156 to 9.
+    """
+    if not 0 <= near <= 9:
+        raise ValueError("near is from 0 to 9 bits")
+    # halves within reach of an anchor: it can hold more than ``group`` only if one of these has over a share of that many
+    ball = sum(math.comb(BLOCK, k) for k in range(reach(near) + 1))
     half = _halves(F.col("fp"))
-    dealt = fps.select("fp", F.explode(F.concat(*[anchors_of(h, b) for b, h in enumerate(half)])).alias("key"))
-    busy = fps.select(F.explode(F.array(*[h.bitwiseOR(F.lit(b << BLOCK)) for b, h in enumerate(half)])).alias("half")).groupBy("half").count().where(F.col("count") > group // _BALL)
+    dealt = fps.select("fp", F.explode(F.concat(*[anchors_of(h, b, near) for b, h in enumerate(half)])).alias("key"))
+    busy = fps.select(F.explode(F.array(*[h.bitwiseOR(F.lit(b << BLOCK)) for b, h in enumerate(half)])).alias("half")).groupBy("half").count().where(F.col("count") > group // ball)
     if not busy.isEmpty():
-        at = [F.when(F.shiftright("half", BLOCK) == b, anchors_of(F.col("half").bitwiseAND(F.lit(_MASK)), b)) for b in range(2)]
+        at = [F.when(F.shiftright("half", BLOCK) == b, anchors_of(F.col("half").bitwiseAND(F.lit(_MASK)), b, near)) for b in range(2)]
         suspects = busy.select(F.explode(F.coalesce(*at)).alias("key")).distinct()
         parts = dealt.join(suspects, "key").groupBy("key").count().where(F.col("count") > group).select("key", F.ceil(F.col("count") / group).cast("int").alias("n"))
         own = F.pmod(F.xxhash64("fp"), F.col("n")).cast("int")
