@@ -59,13 +59,21 @@ def fingerprint(text: str, shingle: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed long."""
+    """(doc_id, fp, text_hash): fp is the fingerprint as a signed long."""
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         fp = np.array([fingerprint(t, shingle) for t in b["text"].to_pylist()], np.uint64).view(np.int64)
-        return pa.record_batch([b["doc_id"], pa.array(fp)], names=["doc_id", "fp"])
+        return pa.record_batch([b["doc_id"], pa.array(fp), b["text_hash"]], names=["doc_id", "fp", "text_hash"])
 
-    return map_batches(id_and_text(docs, id_col, text_col), run, "doc_id long, fp long")
+    rows = id_and_text(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text"))
+    return map_batches(rows, run, "doc_id long, fp long, text_hash long")
+
+
+def shingle_set(text: str, shingle: int) -> np.ndarray:
+    """The 64-bit hashes of a text's distinct shingles, sorted."""
+    words = words_of(text)
+    n = max(1, len(words) - shingle + 1) if words else 0
+    return np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(words[i : i + shingle]), SEED) for i in range(n)], np.uint64)).view(np.int64)
 
 
 def reach(near: int) -> int:
@@ -209,11 +217,36 @@ def components(links: DataFrame, name: str = "components", rounds: int = 60) ->
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 4, near: int = NEAR, group: int = GROUP) -> DataFrame:
-    """(doc_id, fp, component_id) for each row."""
+def verified(links: DataFrame, fps: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Links between fingerprints (fp, rep, rep_hash) whose representatives' shingle sets have at least this Jaccard similarity.
+
+    Only the texts of documents with a link are read for it.
+    """
+    ends = links.select(F.explode(F.array("src", "dst")).alias("fp")).distinct().join(fps, "fp").select("fp", F.col("rep").alias("doc_id"), "rep_hash")
+    texts = id_and_text(docs).join(ends, "doc_id").where(F.xxhash64("text") == F.col("rep_hash")).select("fp", "text").dropDuplicates(["fp"])
+
+    def sets(b: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.record_batch([b["fp"], pa.array([shingle_set(t, shingle) for t in b["text"].to_pylist()], pa.list_(pa.int64()))], names=["fp", "s"])
+
+    has = stored(map_batches(texts, sets, "fp long, s array<long>"), "shingles")
+    both = links.join(has.withColumnsRenamed({"fp": "src", "s": "a"}), "src").join(has.withColumnsRenamed({"fp": "dst", "s": "b"}), "dst")
+    common = F.size(F.array_intersect("a", "b"))
+    return both.where(common >= similarity * (F.size("a") + F.size("b") - common)).select("src", "dst")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 4, near: int = NEAR, group: int = GROUP, similarity: float | None = None) -> DataFrame:
+    """(doc_id, fp, component_id) for each row.
+
+    With ``similarity`` a link between different fingerprints also needs this Jaccard similarity of the shingle sets.
+    """
     by_doc = stored(fingerprints(docs, shingle), "fingerprints")
-    fps = stored(by_doc.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct-fingerprints")
-    label = components(near_links(fps.select("fp"), near, group))
+    rep = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_hash")))
+    fps = by_doc.groupBy("fp").agg(rep.alias("r")).select("fp", F.col("r.doc_id").alias("rep"), F.col("r.text_hash").alias("rep_hash"))
+    fps = stored(fps, "distinct-fingerprints")
+    links = near_links(fps.select("fp"), near, group)
+    if similarity is not None:
+        links = verified(stored(links, "links"), fps, docs, shingle, similarity)
+    label = components(links)
     named = fps.join(label, fps["fp"] == label["node"], "left").select("fp", "rep", F.coalesce("label", "fp").alias("label"))
     least = named.groupBy("label").agg(F.min("rep").alias("component_id"))
     return by_doc.join(named.join(least, "label").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")

@@ -147,5 +147,35 @@ def test_documents(spark, odd):
     assert sorted((str(r.doc_id), r.component_id) for r in got) == sorted((str(r.doc_id), least.get(want[simhash.fingerprint(r.text or "")])) for r in rows)
 
 
+def test_verified_similarity(spark):
+    """Links hold exactly the candidates whose shingle sets are alike."""
+    rng = random.Random(21)
+    from .conftest import make, words
+
+    rows = []
+    for k in range(40):
+        base = words(rng, 150, 5000)
+        rows.append((10 * k, " ".join(base), None, None))
+        for j, cut in enumerate((2, 8, 14, 40), 1):  # words changed in one run
+            rows.append((10 * k + j, " ".join(base[:50] + words(rng, cut, 5000) + base[50 + cut :]), None, None))
+    docs = make(spark, rows + rows[:3])
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, 5, 9, similarity=0.8).collect()}
+    sets = {i: set(simhash.shingle_set(t, 5).tolist()) for i, t, _, _ in rows}
+    fp = {i: simhash.fingerprint(t, 5) for i, t, _, _ in rows}
+    parent = {i: i for i in fp}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in fp:
+        for j in fp:
+            if i < j and (fp[i] ^ fp[j]).bit_count() <= 9 and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                parent[max(root(i), root(j))] = min(root(i), root(j))
+    assert got == {i: root(i) for i in fp}
+    assert len(set(got.values())) < len(fp)
+
+
 def test_empty(spark, empty):
     assert simhash.near_duplicates(empty).count() == 0
