@@ -515,7 +515,8 @@ def quad_area_convex(spark, d):
     s = F.col("p_size").cast("double")
     pt = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
     q = geometry.ordered_quad(F.array(pt(s, s + 10), pt(F.lit(0.0), F.lit(0.0)), pt(F.lit(0.0), s + 10), pt(s, F.lit(0.0))))
-    return _read(spark, d, "part").select(F.col("p_partkey").alias("id"), F.round(geometry.quad_area(q), 6).alias("area"), geometry.is_convex(q).alias("convex"))
+    parts = _read(spark, d, "part").select(F.col("p_partkey").alias("id"), q.alias("q"))
+    return parts.select("id", F.round(geometry.quad_area(F.col("q")), 6).alias("area"), geometry.is_convex(F.col("q")).alias("convex"))
 
 
 @query("SELECT l_orderkey AS id, l_linenumber AS n, CASE WHEN l_quantity < 3 THEN 'diminuto' WHEN l_extendedprice % 300 >= 120 THEN NULL WHEN l_extendedprice % 765 < 300 THEN 'tapado' ELSE 'invisible' END AS reason FROM lineitem")

@@ -61,17 +61,22 @@ def labelled_stream(keys: DataFrame, ttl_ms: int = 30 * 60 * 1000) -> DataFrame:
     return keys.groupBy("scope_id").applyInPandasWithState(number, LABELS, _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
+def _watermarked(events: DataFrame, late: str) -> DataFrame:
+    """Watermarks need timestamps with a zone; those without are taken in the session's."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+
+
 def tumbling(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Events and their total by type in windows; a stream waits ``late`` for late rows."""
-    df = events.withWatermark("ts", late) if events.isStreaming else events
+    df = _watermarked(events, late) if events.isStreaming else events
     return df.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("window_start"), "event_type", "n", "total")
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
-    df = events.withWatermark("ts", late) if events.isStreaming else events
+    df = _watermarked(events, late) if events.isStreaming else events
     return df.groupBy(F.session_window("ts", gap).alias("s"), "user_id").agg(F.count(F.lit(1)).alias("n")).select("user_id", F.col("s.start").alias("session_start"), "n")
 
 
 def once(events: DataFrame, key: list[str], late: str = "30 minutes") -> DataFrame:
     """Rows of a stream whose key was not seen within ``late``."""
-    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(key)
+    return _watermarked(events, late).dropDuplicatesWithinWatermark(key)
