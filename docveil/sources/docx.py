@@ -13,7 +13,6 @@ from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column
-from pyspark.sql import functions as F
 
 from ..functions.udf import arrow_function
 
