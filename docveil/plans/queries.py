@@ -389,7 +389,8 @@ def value_intersect(spark, d):
 
 def _versions(spark, d):
     """Pairs of versions of orders' lines: one paragraph changed, one added, one removed, one moved, by the order's key."""
-    c = fixture(spark, d, "clauses").select("doc_id")
+    # the table is one small file; its pairs are worth a core each
+    c = fixture(spark, d, "clauses").select("doc_id").repartition(spark.sparkContext.defaultParallelism)
     n = F.col("doc_id").cast("string")
     p = lambda k, tail="": F.concat(F.lit(f"{k}. Cláusula del pedido número "), n, F.lit(f" sobre el asunto {['uno', 'dos', 'tres', 'cuatro', 'cinco'][k - 1] * 3}{tail}."))
     a = F.array(p(1), p(2, " con pago de 850 euros"), p(3), p(4), p(5))
