@@ -91,9 +91,12 @@ def resolve(matches: Column) -> Column:
 
 
 def exploded(df: DataFrame, matches: str = "matches") -> DataFrame:
-    """One row for each match, its fields as columns."""
+    """One row for each match, its fields as columns.
+
+    A plain explode makes the optimizer filter on the array's size first, and with that it copies the detectors below projections.
+    """
     rest = [c for c in df.columns if c != matches]
-    return df.select(*rest, F.explode(matches).alias("_m")).select(*rest, *[F.col(f"_m.{f}").alias(f) for f in _FIELDS])
+    return df.select(*rest, F.explode_outer(matches).alias("_m")).where("_m is not null").select(*rest, *[F.col(f"_m.{f}").alias(f) for f in _FIELDS])
 
 
 def islands(spans: DataFrame, key: list[str], start: str = "start", end: str = "end") -> DataFrame:
