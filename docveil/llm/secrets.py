@@ -28,7 +28,7 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _NEAR = re.compile(r"(?<![a-z])(?:secret|token|passw(?:or)?d|passphrase|pwd|api[ _-]?key|private[ _-]?key|access[ _-]?key|auth(?:orization|entication)?|bearer|credentials?|client[ _-]?id|signature|webhook|contraseña|clave|passwort|schlüssel|jeton)(?![a-z])", re.I)
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=~.-]{12,}")
-#: How far a sensitive word may be from a candidate, and how much of the text around it primes the compressor.
+#: How many characters may lie between a sensitive word and a candidate, and how much of the text around it primes the compressor.
 REACH, CONTEXT = 40, 160
 #: A candidate is reported from this share of marginal bytes on.
 NOVEL = 0.85
@@ -61,6 +61,17 @@ def novelty(text: str, start: int, end: int) -> float:
     return (_size(around + b"\n" + own) - _size(around + b"\n")) / max(1, len(own))
 
 
+def _islands(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Overlapping spans as one, in order."""
+    out: list[tuple[int, int]] = []
+    for s, e in sorted(spans):
+        if out and s < out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
+        else:
+            out.append((s, e))
+    return out
+
+
 def find_secrets(text: str) -> list[tuple[str, int, int, int]]:
     """(kind, start, end, start of the secret value) by start, then kind as in KINDS."""
     out = []
@@ -70,24 +81,25 @@ def find_secrets(text: str) -> list[tuple[str, int, int, int]]:
     if "AKIA" in text:
         out += [("access", m.start(), m.end(), m.start()) for m in _ACCESS.finditer(text) if len(m[0]) >= 20]
     out += [("hex", m.start(), m.end(), m.start()) for m in _HEX.finditer(text)]
-    base = list(out)
-    done: set[tuple[int, int]] = set()
-    for w in _NEAR.finditer(text):
-        lo, hi = max(0, w.start() - REACH), w.end() + REACH
-        floor = max(0, lo - 4 * REACH)  # a token that began a little earlier is read from its start
-        while lo > floor and not text[lo - 1].isspace():
-            lo -= 1
-        for m in _CANDIDATE.finditer(text, lo):
-            if m.start() > hi:
-                break
-            s, e = m.span()
-            if (s, e) in done or any(s < b[2] and b[1] < e for b in base):
-                continue
-            done.add((s, e))
-            t = m[0]
-            mixed = any(c.isdigit() for c in t) and any(c.isalpha() for c in t)
-            if mixed and len(set(t)) >= 8 and novelty(text, s, e) >= NOVEL:
-                out.append(("novel", s, e, s))
+    near = [w.span() for w in _NEAR.finditer(text)]
+    if not near:
+        return sorted(out, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
+    taken = _islands([(x[1], x[2]) for x in out])
+    k = b = 0
+    for m in _CANDIDATE.finditer(text):  # all three lists are in order, so each is gone through once
+        s, e = m.span()
+        while k < len(near) and near[k][1] < s - REACH:
+            k += 1
+        if k == len(near):
+            break
+        while b < len(taken) and taken[b][1] <= s:
+            b += 1
+        if near[k][0] > e + REACH or (b < len(taken) and taken[b][0] < e):
+            continue
+        t = m[0]
+        mixed = any(c.isdigit() for c in t) and any(c.isalpha() for c in t)
+        if mixed and len(set(t)) >= 8 and novelty(text, s, e) >= NOVEL:
+            out.append(("novel", s, e, s))
     return sorted(out, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 

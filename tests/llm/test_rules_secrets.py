@@ -149,3 +149,10 @@ def test_secret_query(spark, sf):
         base = brute_secrets(texts[r.doc_id])
         assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{s}:{e}" for k, s, e in base).encode()).hexdigest()
         assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(b[0] == k for b in base) for k in ("assign", "access", "hex"))
+
+
+def test_many_sensitive_words_are_gone_through_once():
+    key = "q8Zr2Lw0Xv5Tn7Bk3Jd9"
+    text = "token " * 100_000 + key + " here " + "plain words " * 100 + key
+    got = secrets.find_secrets(text)
+    assert [(k, text[s:e]) for k, s, e, _ in got] == [("novel", key)] and got[0][1] == 600_000
