@@ -129,13 +129,19 @@ def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, i
         return out
     taken = sorted((s, e) for _, s, e in base)
     for kind, loose in _LOOSE.items():
+        own = []  # a kind's matches don't overlap each other
+        reach, b = -1, 0
         for m in loose.finditer(text):
             s, e = m.span()
-            if any(s < y and x < e for x, y in taken):
+            while b < len(taken) and taken[b][0] < e:
+                reach = max(reach, taken[b][1])
+                b += 1
+            if s < reach:
                 continue
-            taken.append((s, e))
+            own.append((s, e))
             size = min(2, len(_digits(m[0])) // 8)
             out.append((kind, s, e, f"{KINDS.index(kind)}{size}" + "".join("-0+"[v + 1] for v in votes(kind, text, s, e))))
+        taken = sorted(taken + own)
     return out
 
 

@@ -253,3 +253,13 @@ def test_pii_query(spark, sf):
         assert r.base_sha256 == hashlib.sha256(said.encode()).hexdigest()
         assert set(filter(None, said.split(","))) <= set(filter(None, r.spans.split(",")))
         assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(b[0] == k for b in base) for k in PATTERNS)
+
+
+def test_pii_candidates_overlap_nothing():
+    text = "tel 555-123-4567, a@b.com 1.2.3.4; 123-45-6789 (bob (at) mail (dot) com) 4111 1111 1111 1111 +34 600 123 456 4111-1111-1111-1112 " * 40
+    base = pii.base_spans(text)
+    more = pii.candidates(text, base)
+    assert len(more) >= 160
+    for k, (_, s, e, _) in enumerate(more):
+        assert all(e <= x or y <= s for _, x, y in base)
+        assert all(e <= x or y <= s for _, x, y, _ in more[:k])
