@@ -129,7 +129,7 @@ def absorb(f: np.ndarray, near: int = NEAR) -> list[tuple[int, int]]:
             if hit.any():
                 got = left[hit]
                 left = left[~hit]
-                links += [(int(seed), int(y)) for y in got]
+                links += [(int(x), int(y)) for y in got]
                 todo += list(got)
     return links
 
