@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import PARTICLES, entity_key
+from ..sources.shared import stored
 from .sequential import company_key, norm
 
 # fixed values: label of each type
@@ -126,9 +127,13 @@ def splice(text: Column, spans: Column) -> Column:
 
 
 def pseudonymize(docs: DataFrame, matches: DataFrame, scope: str = "scope_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(documents with a column ``pseudonymized``, entities).  ``matches`` has scope, doc_id, type, value, start, end, confidence."""
-    ents = entities(matches, scope)
-    occ = completed(docs, occurrences(matches, ents, scope), scope, text_col)
+    """(documents with a column ``pseudonymized``, entities).  ``matches`` has scope, doc_id, type, value, start, end, confidence.
+
+    Matches, entities and occurrences are each needed several times, so they are stored: the detectors run once.
+    """
+    matches = stored(matches, "matches")
+    ents = stored(entities(matches, scope), "entities")
+    occ = completed(docs, stored(occurrences(matches, ents, scope), "occurrences"), scope, text_col)
     spans = occ.groupBy(scope, "doc_id").agg(F.collect_list(F.struct("start", "end", F.col("label").alias("text"))).alias("_spans"))
     out = docs.join(spans, [scope, "doc_id"], "left")
     new = F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(splice(F.col(text_col), F.col("_spans")))
