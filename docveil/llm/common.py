@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_dir, stored  # noqa: F401
+
 #: Rows in one Arrow batch: with whole texts in them, this bounds a Python worker's memory.
 BATCH_ROWS = 1000
 
@@ -29,33 +29,6 @@ def remainder(doc_id: Column, n: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(n)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set, as in tests."""
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        jsc = spark.sparkContext._jsc.sc()
-        d = jsc.getCheckpointDir().get() if jsc.getCheckpointDir().isDefined() else None
-    if not d:
-        d = "file://" + tempfile.mkdtemp(prefix="docveil-")
-        spark.conf.set("spark.checkpoint.dir", d)
-        spark.sparkContext.setCheckpointDir(d)
-    return d
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write a table into the shared folder and read it again: it cuts the lineage and survives lost executors.
-
-    Hadoop deletes the table when the driver's JVM ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/docveil/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    jvm = spark._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """Apply a function to each Arrow batch."""
 
