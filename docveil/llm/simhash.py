@@ -11,6 +11,7 @@ bits in 64 and 156 for one of 9.  Nothing is missed, and equal fingerprints are
 An anchor's fingerprints are compared by absorption: a fingerprint takes up all that are near it and these are not
 compared again with what is taken, so a dense group costs a few passes and yields a spanning set of links, not all pairs.
 Anchors with more than ``GROUP`` fingerprints are dealt out as pairs of parts, so that no task holds more than two parts.
+Where links are verified by the texts, a spanning set doesn't do: groups that fall apart are compared again, pair by pair.
 Connected components come from alternating large-star and small-star steps over the links, in the shared folder.
 
 Defined results: null and empty texts have fingerprint zero and link like any other; repeated rows come out as often as
@@ -36,6 +37,8 @@ SEED = 42
 BLOCK = 31
 #: Fingerprints of one anchor that a task compares at most with as many others.
 GROUP = 1_000_000
+#: Shingles that a task compares at most with as many others, about.
+PART = 1_000_000
 _MASK = (1 << BLOCK) - 1
 
 
@@ -200,7 +203,7 @@ def near_links(fps: DataFrame, near: int = NEAR, group: int = GROUP) -> DataFram
 
 
 def components(links: DataFrame, name: str = "components", rounds: int = 60) -> DataFrame:
-    """(node, label): the smallest node of its component, for each node that has a link."""
+    """(node, label): the smallest node of its component, for each other node that has a link."""
     edges = stored(links.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).where("u <> v").distinct(), name)
     state = None
     for _ in range(rounds):
@@ -217,8 +220,8 @@ def components(links: DataFrame, name: str = "components", rounds: int = 60) ->
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
-def verified(links: DataFrame, fps: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Links between fingerprints (fp, rep, rep_hash) whose representatives' shingle sets have at least this Jaccard similarity.
+def shingles_of(links: DataFrame, fps: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
+    """(fp, s): the shingle sets of the fingerprints' representatives (fp, rep, rep_hash).
 
     Only the texts of documents with a link are read for it.
     """
@@ -228,12 +231,74 @@ def verified(links: DataFrame, fps: DataFrame, docs: DataFrame, shingle: int, si
     def sets(b: pa.RecordBatch) -> pa.RecordBatch:
         return pa.record_batch([b["fp"], pa.array([shingle_set(t, shingle) for t in b["text"].to_pylist()], pa.list_(pa.int64()))], names=["fp", "s"])
 
-    has = stored(map_batches(texts, sets, "fp long, s array<long>"), "shingles")
+    return stored(map_batches(texts, sets, "fp long, s array<long>"), "shingles")
+
+
+def verified(links: DataFrame, has: DataFrame, similarity: float) -> DataFrame:
+    """Links whose shingle sets have at least this Jaccard similarity."""
     both = links.join(has.withColumnsRenamed({"fp": "src", "s": "a"}), "src").join(has.withColumnsRenamed({"fp": "dst", "s": "b"}), "dst")
     common = F.size(F.array_intersect("a", "b"))
     return both.where(common >= similarity * (F.size("a") + F.size("b") - common)).select("src", "dst")
 
 
+def joining(fp: np.ndarray, label: np.ndarray, flat: np.ndarray, size: np.ndarray, near: int, similarity: float) -> list[tuple[int, int]]:
+    """Links that join labels as all pairs do that are within ``near`` bits and have this similarity.
+
+    ``flat`` holds the shingle sets, ``size`` members each, one after the other.  What is joined already is not compared.
+    """
+    number, flat = np.unique(flat, return_inverse=True)
+    first = np.cumsum(size) - size
+    label, bits = label.copy(), fp.view(np.uint64)
+    mark = np.zeros(len(number), bool)
+    links = []
+    for x in range(len(fp) - 1):
+        rest = slice(x + 1, None)
+        y = x + 1 + np.flatnonzero((label[rest] != label[x]) & (np.bitwise_count(bits[rest] ^ bits[x]) <= near))
+        # no two sets are more alike than the smaller is to the larger
+        y = y[np.minimum(size[y], size[x]) >= similarity * np.maximum(size[y], size[x])]
+        if not len(y):
+            continue
+        own = flat[first[x] : first[x] + size[x]]
+        mark[own] = True
+        n, start = size[y], np.cumsum(size[y]) - size[y]
+        at = np.repeat(first[y] - start, n) + np.arange(n.sum())
+        # an empty set has no member to sum up and is like another empty one only
+        common = np.bincount(np.repeat(np.arange(len(y)), n), mark[flat[at]], len(y))
+        mark[own] = False
+        for z in y[common >= similarity * (size[x] + n - common)].tolist():
+            if label[z] != label[x]:
+                links.append((int(fp[x]), int(fp[z])))
+                label[label == label[z]] = label[x]
+    return links
+
+
+def unspanned(links: DataFrame, kept: DataFrame, has: DataFrame, near: int, similarity: float, part: int = PART) -> DataFrame:
+    """Verified links (src, dst) that ``links`` doesn't have, as it only spans: with the ``kept`` ones, the components of all verified pairs.
+
+    Both ends of any near pair are in one component of ``links``.  Where such a component falls into several of verified links, its
+    members are compared by their sets; one of over ``part`` shingles is dealt out as pairs of parts.
+    """
+    within = components(links, "candidates").select(F.col("node").alias("fp"), F.col("label").alias("h"))
+    within = within.unionByName(within.select(F.col("h").alias("fp"), "h").distinct())  # the smallest has no row of its own
+    joined = components(kept, "verified").withColumnRenamed("node", "fp")
+    rows = within.join(joined, "fp", "left").select("fp", "h", F.coalesce("label", "fp").alias("label"))
+    rows = stored(rows.join(has.select("fp", F.size("s").cast("long").alias("size")), "fp"), "unspanned")
+    split = rows.groupBy("h").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count(F.lit(1)).alias("k"), F.sum("size").alias("size"))
+    # two make one pair, and that is a link
+    split = split.where("a <> b and k > 2").select("h", F.greatest(F.lit(1), F.ceil(F.col("size") / part)).cast("int").alias("n"))
+    own = F.pmod(F.xxhash64("fp"), F.col("n")).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.xxhash64("h", F.least(i, own), F.greatest(i, own)))
+    dealt = rows.join(split, "h").select("fp", "label", F.explode(pairs).alias("key")).join(has, "fp")
+
+    def compare(t: pa.Table) -> pa.Table:
+        sets = t["s"].combine_chunks()
+        out = joining(t["fp"].to_numpy(), t["label"].to_numpy(), sets.flatten().to_numpy(), np.diff(sets.offsets.to_numpy()).astype(np.int64), near, similarity)
+        both = np.array(out, np.int64).reshape(-1, 2)
+        return pa.table({"src": pa.array(both[:, 0]), "dst": pa.array(both[:, 1])})
+
+    return dealt.groupBy("key").applyInArrow(compare, "src long, dst long").distinct()
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 4, near: int = NEAR, group: int = GROUP, similarity: float | None = None) -> DataFrame:
     """(doc_id, fp, component_id) for each row.
 
@@ -245,7 +310,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, near: int = NEAR, group:
     fps = stored(fps, "distinct-fingerprints")
     links = near_links(fps.select("fp"), near, group)
     if similarity is not None:
-        links = verified(stored(links, "links"), fps, docs, shingle, similarity)
+        links = stored(links, "links")
+        has = shingles_of(links, fps, docs, shingle)
+        kept = stored(verified(links, has, similarity), "verified-links")
+        links = kept.unionByName(unspanned(links, kept, has, near, similarity))
     label = components(links)
     named = fps.join(label, fps["fp"] == label["node"], "left").select("fp", "rep", F.coalesce("label", "fp").alias("label"))
     least = named.groupBy("label").agg(F.min("rep").alias("component_id"))

@@ -177,5 +177,56 @@ def test_verified_similarity(spark):
     assert len(set(got.values())) < len(fp)
 
 
+def test_verified_dense_group(spark):
+    """In a group of hundreds that are near but mostly not alike, each finds its copies."""
+    rng = random.Random(33)
+    from .conftest import make, words
+
+    base = words(rng, 300, 50_000)
+    rows = []
+    for k in range(800):
+        own = list(base)
+        for at in rng.sample(range(0, 300, 5), 6):  # each changes five shingles
+            own[at] = f"v{k}x{at}"
+        copy = list(own)
+        copy[rng.randrange(300)] = f"c{k}"
+        rows += [(2 * k, " ".join(own), None, None), (2 * k + 1, " ".join(copy), None, None)]
+    sets = [simhash.shingle_set(t, 5) for _, t, _, _ in rows]
+    fp = np.array([simhash.fingerprint(t, 5) for _, t, _, _ in rows], np.uint64)
+    flat, size = np.concatenate(sets), np.array([len(s) for s in sets])
+    number, flat = np.unique(flat, return_inverse=True)
+    first = np.cumsum(size) - size
+    label = np.arange(len(rows))
+    tried = 0
+    for i in range(len(rows)):
+        mark = np.zeros(len(number), bool)
+        mark[flat[first[i] : first[i] + size[i]]] = True
+        common = np.add.reduceat(mark[flat].astype(int), first)
+        near = (np.bitwise_count(fp ^ fp[i]) <= 9) & (np.arange(len(rows)) > i)
+        tried += near.sum()
+        for j in np.flatnonzero(near & (common >= 0.8 * (size + size[i] - common))):
+            a, b = sorted((label[i], label[j]))
+            label[label == b] = a
+    for f in np.unique(fp):  # equal fingerprints are one
+        same = np.unique(label[fp == f])
+        label[np.isin(label, same)] = same.min()
+    assert tried > 10 * len(rows) and len(set(label.tolist())) > 700
+    docs = make(spark, rows)
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, 5, 9, similarity=0.8).collect()}
+    assert got == dict(enumerate(label.tolist()))
+
+
+def test_joining_by_parts(spark):
+    """Dealt out in parts or not, what the spanning links leave is found."""
+    one, two = [1, 2, 3, 4, 5, 6, 7, 8, 9, 10], [11, 12, 13, 14, 15, 16, 17, 18, 19, 20]
+    sets = {1: two, 2: one, 3: one, 4: [*one[1:], 30], 5: [], 6: [], 7: two}
+    has = spark.createDataFrame(list(sets.items()), "fp long, s array<long>")
+    links = spark.createDataFrame([(1, k) for k in range(2, 8)], "src long, dst long")
+    kept = spark.createDataFrame([(1, 7)], "src long, dst long")
+    for part in (simhash.PART, 10, 1):
+        got = simhash.components(kept.unionByName(simhash.unspanned(links, kept, has, 9, 0.8, part))).collect()
+        assert {r.node: r.label for r in got} == {7: 1, 3: 2, 4: 2, 6: 5}
+
+
 def test_empty(spark, empty):
     assert simhash.near_duplicates(empty).count() == 0
