@@ -3,8 +3,8 @@
 Fixed shapes (assignments to sensitive names, access-key ids, long hex) are found by patterns.  Beyond them, each long token near a
 sensitive word is a candidate, and its marginal size is measured: the bytes that zstandard needs for the surrounding text with the
 token, less those for the surrounding text alone, primed with a dictionary of identifiers and common code words.  Text, identifiers and
-repeats of the surroundings cost few bytes; a token that needs about as many bytes as it has characters is new information and is
-reported as ``novel``.
+repeats of the surroundings cost few bytes; a token that needs about as many bytes as it has characters, or as random tokens of its
+alphabet and length need in its place, is new information and is reported as ``novel``.
 
 Defined results: a null or empty text has no span; offsets are code points with exclusive ends; rows are independent, so repeated
 rows, ties and null ids need no care; an empty table gives no rows.
@@ -12,7 +12,10 @@ rows, ties and null ids need no care; an empty table gives no rows.
 
 from __future__ import annotations
 
+import random
 import re
+import string
+import zlib
 
 import pyarrow as pa
 import zstandard
@@ -30,8 +33,10 @@ _NEAR = re.compile(r"(?<![a-z])(?:secret|token|passw(?:or)?d|passphrase|pwd|api[
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=~.-]{12,}")
 #: How many characters may lie between a sensitive word and a candidate, and how much of the text around it primes the compressor.
 REACH, CONTEXT = 40, 160
-#: A candidate is reported from this share of marginal bytes on.
+#: A candidate is reported from this share of marginal bytes on: of its characters, or of what random tokens of its alphabet cost there.
 NOVEL = 0.85
+#: Random tokens that a candidate is measured against.
+DRAWS = 4
 # words that code and configuration repeat; with their joined forms they make the dictionary
 _CODE = "get set is has add remove update delete create read write load save open close start stop run init config user name password secret token key value type class function return import export const public private static void string int long bool true false null none default error message request response header body client server host port path file url http https api auth access id session cookie data list map array index count size length buffer stream async await promise test mock example sample placeholder your changeme localhost username email address account service".split()
 
@@ -43,6 +48,7 @@ def dictionary() -> bytes:
     return (" ".join(snake + camel) + alphabet + " ".join(_CODE)).encode()
 
 
+_ALPHABETS = (string.digits, string.digits + "abcdef", string.digits + "ABCDEF", string.ascii_lowercase, string.ascii_uppercase, string.digits + string.ascii_lowercase, string.digits + string.ascii_uppercase, string.ascii_letters, string.digits + string.ascii_letters)
 _compressor: list[zstandard.ZstdCompressor] = []
 
 
@@ -54,11 +60,42 @@ def _size(data: bytes) -> int:
     return len(_compressor[0].compress(data))
 
 
+def alphabet(token: str) -> str:
+    """The smallest of the usual alphabets (digits, hex, one case or two, with digits or without) that has the token's letters and
+    digits, and whatever other characters it has."""
+    used = set(token)
+    signs = "".join(sorted(c for c in used if not c.isalnum()))
+    used -= set(signs)
+    for some in _ALPHABETS:
+        if used <= set(some):
+            return some + signs
+    return "".join(sorted(used)) + signs
+
+
+def _around(text: str, start: int, end: int) -> bytes:
+    return (text[max(0, start - CONTEXT) : start] + "\n" + text[end : end + CONTEXT] + "\n").encode("utf-8", "surrogatepass")
+
+
 def novelty(text: str, start: int, end: int) -> float:
     """Marginal compressed bytes of text[start:end] for each of its bytes, given the text around it."""
-    around = (text[max(0, start - CONTEXT) : start] + "\n" + text[end : end + CONTEXT]).encode("utf-8", "surrogatepass")
+    around = _around(text, start, end)
     own = text[start:end].encode("utf-8", "surrogatepass")
-    return (_size(around + b"\n" + own) - _size(around + b"\n")) / max(1, len(own))
+    return (_size(around + own) - _size(around)) / max(1, len(own))
+
+
+def is_novel(text: str, start: int, end: int) -> bool:
+    """Whether a token costs about as many bytes as it has characters or as random tokens of its alphabet and length cost in its place.
+
+    The more compressible an alphabet, and the longer the token, the less does even a random one cost.
+    """
+    own = novelty(text, start, end)
+    if own >= NOVEL:
+        return True
+    token, around = text[start:end], _around(text, start, end)
+    rng = random.Random(zlib.crc32(token.encode()))  # the same in each run
+    chars, alone = alphabet(token), _size(around)
+    drawn = sum(_size(around + "".join(rng.choices(chars, k=len(token))).encode()) - alone for _ in range(DRAWS))
+    return own * len(token) >= NOVEL * drawn / DRAWS
 
 
 def _islands(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -97,8 +134,9 @@ def find_secrets(text: str) -> list[tuple[str, int, int, int]]:
         if near[k][0] > e + REACH or (b < len(taken) and taken[b][0] < e):
             continue
         t = m[0]
-        mixed = any(c.isdigit() for c in t) and any(c.isalpha() for c in t)
-        if mixed and len(set(t)) >= 8 and novelty(text, s, e) >= NOVEL:
+        # letters of one case are words as well as keys; zstd can't tell these apart
+        mixed = any(map(str.islower, t)) + any(map(str.isupper, t)) + any(map(str.isdigit, t)) >= 2
+        if mixed and len(set(t)) >= 8 and is_novel(text, s, e):
             out.append(("novel", s, e, s))
     return sorted(out, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 

@@ -2,6 +2,7 @@
 
 import random
 import re
+import string
 from collections import defaultdict
 
 import pytest
@@ -119,6 +120,24 @@ def test_novelty():
     assert secrets.novelty(again, len(again) - 32, len(again)) < 0.4  # what the context repeats is not new
 
 
+@pytest.mark.parametrize("chars", [string.ascii_letters + string.digits + "+/", "0123456789ABCDEF", string.ascii_uppercase + "234567", string.ascii_lowercase + string.digits, string.ascii_letters])
+@pytest.mark.parametrize("n", [200, 684, 1600])
+def test_long_random_tokens(chars, n):
+    """Long tokens and small alphabets cost less than a byte a character, and are as new."""
+    rng = random.Random(n)
+    prose = "the quick river flows under old stone bridges and nobody knew why the story of the night " * 2
+    for _ in range(10):
+        key = "".join(rng.choices(chars, k=n))
+        text = f"{prose}Bearer {key} {prose}"
+        assert [(k, text[s:e]) for k, s, e, _ in secrets.find_secrets(text) if k != "hex"] == [("novel", key)]
+
+
+def test_identifiers_are_not_novel():
+    prose = "the quick river flows under old stone bridges and nobody knew why the story of the night " * 2
+    for name in ("getUserNameFromSession", "/usr/local/share/Config.yaml", "https://www.Example.com/path", "Internationalization", "authentication_provider_v2"):
+        assert secrets.find_secrets(f"{prose}the token is {name} {prose}") == []
+
+
 def test_plain_prose_is_left_alone():
     t = "The token of esteem was a secret to all, and the password nobody knew. " * 20
     assert secrets.find_secrets(t) == [] and secrets.redact(t) == t
