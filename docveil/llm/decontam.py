@@ -11,8 +11,8 @@ its answer (the last sentence, or what follows an answer mark) have to be found
 
 The index is broadcast in parts of at most ``PART`` segments, one after the other, so its size doesn't grow with the number of items.
 
-Defined results: null and empty texts and items match nothing; items without words, or with under ``MIN_WORDS``, aren't
-indexed; repeated rows are reported each; ties are all kept; an empty table gives no rows; a null document id is reported as such.
+Defined results: null and empty texts and items match nothing; items without words aren't indexed;
+repeated rows are reported each; ties are all kept; an empty table gives no rows; a null document id is reported as such.
 """
 
 from __future__ import annotations
@@ -35,7 +35,9 @@ K1, B = 1.2, 0.75
 THRESHOLD = 0.5
 #: Shares of trigrams that have to be found: of question and answer each, or of all, or of a long question alone.
 QUESTION, ANSWER, ALL, ALONE = 0.5, 0.3, 0.6, 0.8
-_WORD = re.compile(r"[^\W_]+")
+#: Thai, Lao, Burmese, Khmer, kana and Chinese characters.
+_UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
+_WORD = re.compile(f"(?![_\\W])[{_UNSPACED}]|[^\\W_{_UNSPACED}]+")
 _ANSWER_MARK = re.compile(r"\n\s*(?:answer|a|antwort|réponse|respuesta)\s*:", re.I)
 
 
@@ -59,6 +61,7 @@ class Index:
     items: list[int]  # by segment
     question: list[set]
     answer: list[set]
+    whole: list[tuple[str, ...]]  # the words of a short item, else empty
     vocab: dict[str, int]  # term numbers from 1; 0 is any other word
     bounds: np.ndarray  # [terms, blocks] float32
     offsets: np.ndarray  # postings of a term, by segment
@@ -67,17 +70,18 @@ class Index:
 
 
 def build_index(rows: list[tuple[int, str]]) -> Index:
-    seg_words, items, qs, ans = [], [], [], []
+    seg_words, items, qs, ans, whole = [], [], [], [], []
     for item, text in rows:
         q, a = question_and_answer(text or "")
         words = q + a
-        if len(words) < MIN_WORDS:
+        if not words:
             continue
         n = -(-len(words) // SEGMENT)
         for k in range(n):
             lo, hi = k * len(words) // n, (k + 1) * len(words) // n
             seg_words.append(words[lo:hi])
             items.append(item)
+            whole.append(tuple(words) if len(words) < MIN_WORDS else ())
             qs.append(trigrams(words[lo : min(hi, len(q))]) if lo < len(q) else set())
             ans.append(trigrams(words[max(lo, len(q)) : hi]) if hi > len(q) else set())
     mean = np.mean([len(w) for w in seg_words]) if seg_words else 1.0
@@ -100,7 +104,7 @@ def build_index(rows: list[tuple[int, str]]) -> Index:
         for s, x in p:
             bounds[t, s // BLOCK] = max(bounds[t, s // BLOCK], x)
     flat = [x for p in posts for x in p]
-    return Index(items, qs, ans, vocab, bounds, np.cumsum([0] + [len(p) for p in posts]), np.array([x[0] for x in flat], np.int64), np.array([x[1] for x in flat]))
+    return Index(items, qs, ans, whole, vocab, bounds, np.cumsum([0] + [len(p) for p in posts]), np.array([x[0] for x in flat], np.int64), np.array([x[1] for x in flat]))
 
 
 def retrieve(index: Index, terms: np.ndarray, threshold: float) -> list[tuple[int, int, float]]:
@@ -131,6 +135,9 @@ def retrieve(index: Index, terms: np.ndarray, threshold: float) -> list[tuple[in
 
 def verify(index: Index, segment: int, words: list[str]) -> tuple[float, float, bool]:
     """Shares of the question's and the answer's trigrams in these words (1 where there are none), and whether they suffice."""
+    if short := index.whole[segment]:
+        found = any(tuple(words[i : i + len(short)]) == short for i in range(len(words) - len(short) + 1))
+        return float(found), float(found), found
     have = trigrams(words)
     q, a = index.question[segment], index.answer[segment]
     in_q, in_a = len(q & have), len(a & have)

@@ -122,6 +122,14 @@ def test_decontam_odd(spark, odd, empty):
     assert decontam.decontaminated(odd, bench).where("doc_id is null").count() == 1
 
 
+def test_short_items_and_scripts_without_spaces(spark):
+    items = [(1, "Who was first? Ada Lovelace"), (2, "日本の首都はどこですか。 東京です"), (3, "日本"), (4, "..")]
+    texts = ["so, who was first? Ada Lovelace!", "who was it first, not Ada Lovelace", "ada lovelace who was first", "昨日、日本の首都はどこですか。東京です、と聞いた", "日の本の首都", "日本へ行く", "nothing"]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontam.matches(make(spark, [(i, t, None, None) for i, t in enumerate(texts)]), bench).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(0, 1), (3, 2), (3, 3), (5, 3)}
+
+
 def test_query10(spark, sf):
     rows = op10_benchmark_decontamination(spark, sf).collect()
     texts = {r.doc_id: decontam.normal_words(r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
