@@ -1,6 +1,6 @@
 """Benchmark decontamination: a BM25 inverted index of test items, queried block by block by every training passage.
 
-Test items are cut into segments of at most ``SEGMENT`` words and indexed.  An entry's weight is its BM25 weight divided by the
+Test items are cut into segments of at most ``SEGMENT`` words, each sharing half with the next, and indexed.  An entry's weight is its BM25 weight divided by the
 segment's weight in full, so a passage that holds a whole segment scores 1 and one threshold serves all.  Documents are read
 as passages of two half-windows of ``SEGMENT`` words, each half shared with the next passage, so every segment lies in one whole.
 
@@ -76,9 +76,12 @@ def build_index(rows: list[tuple[int, str]]) -> Index:
         words = q + a
         if not words:
             continue
-        n = -(-len(words) // SEGMENT)
+        # all of about the same length, so that a cut through a quotation leaves most of it in some segment
+        n = max(1, -(-2 * len(words) // SEGMENT) - 1)
         for k in range(n):
-            lo, hi = k * len(words) // n, (k + 1) * len(words) // n
+            lo, hi = k * len(words) // (n + 1), (k + 2) * len(words) // (n + 1)
+            if n == 1:
+                lo, hi = 0, len(words)
             seg_words.append(words[lo:hi])
             items.append(item)
             whole.append(tuple(words) if len(words) < MIN_WORDS else ())

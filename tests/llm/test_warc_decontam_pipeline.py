@@ -130,6 +130,16 @@ def test_short_items_and_scripts_without_spaces(spark):
     assert {(r.doc_id, r.item_id) for r in got} == {(0, 1), (3, 2), (3, 3), (5, 3)}
 
 
+def test_quotations_across_cuts(spark):
+    """50 words from anywhere in a long item are found."""
+    rng = random.Random(12)
+    for n in (65, 120, 300):
+        item = words(rng, n, 5000)
+        docs = [(at, " ".join(words(rng, 40, 5000) + item[at : at + 50] + words(rng, 40, 5000)), None, None) for at in range(n - 49)]
+        bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+        assert {r.doc_id for r in decontam.matches(make(spark, docs), bench).collect()} == set(range(n - 49))
+
+
 def test_query10(spark, sf):
     rows = op10_benchmark_decontamination(spark, sf).collect()
     texts = {r.doc_id: decontam.normal_words(r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
