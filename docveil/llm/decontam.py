@@ -149,13 +149,13 @@ def verify(index: Index, segment: int, words: list[str]) -> tuple[float, float,
     return sq, sa, alone or (sq >= QUESTION and sa >= ANSWER) or (in_q + in_a) / max(1, len(q) + len(a)) >= ALL
 
 
-def matches(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, part: int = PART, item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(doc_id, item_id, word_start, score, question_overlap, answer_overlap): verified matches, the best passage for each row and item."""
+def _matches(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, part: int = PART, item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The columns of matches(), and the matched text's hash."""
     spark = docs.sparkSession
-    rows = id_and_text(docs)
+    rows = id_and_text(docs).withColumn("text_hash", F.xxhash64("text"))
     test = items.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).alias("text")).where("text is not null")
     n = max(1, -(-test.count() // part))
-    schema = "doc_id long, item_id long, word_start int, score double, question_overlap double, answer_overlap double"
+    schema = "doc_id long, item_id long, word_start int, score double, question_overlap double, answer_overlap double, text_hash long"
     found = []
     for k in range(n):
         # at most about ``part`` items come to the driver and are broadcast at a time
@@ -164,23 +164,29 @@ def matches(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, par
 
         def query(b: pa.RecordBatch, index=index) -> pa.RecordBatch:
             ix, out = index.value, []
-            for doc, text in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), strict=True):
+            for doc, text, own_hash in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), b["text_hash"].to_pylist(), strict=True):
                 words = normal_words(text)
                 terms = np.fromiter(map(ix.vocab.get, words, repeat(0)), np.int64, len(words))
                 best: dict[int, tuple] = {}
                 for p, s, score in retrieve(ix, terms, threshold):
                     sq, sa, ok = verify(ix, s, words[p * SEGMENT : (p + 2) * SEGMENT])
                     if ok and (ix.items[s] not in best or score > best[ix.items[s]][3]):
-                        best[ix.items[s]] = (doc, ix.items[s], p * SEGMENT, score, sq, sa)
+                        best[ix.items[s]] = (doc, ix.items[s], p * SEGMENT, score, sq, sa, own_hash)
                 out += best.values()
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.float64())
-            return pa.record_batch([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names=["doc_id", "item_id", "word_start", "score", "question_overlap", "answer_overlap"])
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.float64(), pa.int64())
+            return pa.record_batch([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names=["doc_id", "item_id", "word_start", "score", "question_overlap", "answer_overlap", "text_hash"])
 
         found.append(map_batches(rows, query, schema))
     return reduce(DataFrame.unionByName, found)
 
 
+def matches(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, part: int = PART, **cols: str) -> DataFrame:
+    """(doc_id, item_id, word_start, score, question_overlap, answer_overlap): verified matches, the best passage for each row and item."""
+    return _matches(docs, items, threshold, part, **cols).drop("text_hash")
+
+
 def decontaminated(docs: DataFrame, items: DataFrame, **kw) -> DataFrame:
-    """The documents without a match, all columns.  The ids of matched documents are few and joined away."""
-    hit = matches(docs, items, **kw).select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(hit, docs["doc_id"].cast("long").eqNullSafe(hit["_hit"]), "left_anti")
+    """The documents without a match, all columns.  The matched ones are few and joined away by id and text, as ids may be null or repeated."""
+    hit = _matches(docs, items, **kw).select(F.col("doc_id").alias("_hit"), F.col("text_hash").alias("_hash")).distinct()
+    on = docs["doc_id"].cast("long").eqNullSafe(hit["_hit"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == hit["_hash"])
+    return docs.join(hit, on, "left_anti")

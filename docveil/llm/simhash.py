@@ -300,7 +300,7 @@ def unspanned(links: DataFrame, kept: DataFrame, has: DataFrame, near: int, simi
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, near: int = NEAR, group: int = GROUP, similarity: float | None = None) -> DataFrame:
-    """(doc_id, fp, component_id) for each row.
+    """(doc_id, text_hash, fp, component_id, component_hash) for each row: the last two are of the document with the smallest id (then hash).
 
     With ``similarity`` a link between different fingerprints also needs this Jaccard similarity of the shingle sets.
     """
@@ -315,6 +315,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, near: int = NEAR, group:
         kept = stored(verified(links, has, similarity), "verified-links")
         links = kept.unionByName(unspanned(links, kept, has, near, similarity))
     label = components(links)
-    named = fps.join(label, fps["fp"] == label["node"], "left").select("fp", "rep", F.coalesce("label", "fp").alias("label"))
-    least = named.groupBy("label").agg(F.min("rep").alias("component_id"))
-    return by_doc.join(named.join(least, "label").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    named = fps.join(label, fps["fp"] == label["node"], "left").select("fp", "rep", "rep_hash", F.coalesce("label", "fp").alias("label"))
+    least = named.groupBy("label").agg(F.min(F.when(F.col("rep").isNotNull(), F.struct("rep", "rep_hash"))).alias("r"))
+    least = least.select("label", F.col("r.rep").alias("component_id"), F.col("r.rep_hash").alias("component_hash"))
+    named = named.join(least, "label").select("fp", "component_id", "component_hash")
+    return by_doc.join(named, "fp").select("doc_id", "text_hash", "fp", "component_id", "component_hash")

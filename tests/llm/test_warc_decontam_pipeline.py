@@ -174,6 +174,25 @@ def test_dedup_keeps_one_of_each(spark, odd, sf):
     assert sorted(map(str, kept)) == sorted(["1", "None", "5", "6", "8", "9"])
 
 
+def test_ids_that_are_null_or_repeated(spark, sf):
+    """A row is judged with its text, not by its id alone."""
+    import corpus_pipeline as p
+
+    rng = random.Random(14)
+    item = words(rng, 30)
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    other = " ".join(words(rng, 50, 5000))
+    bad = f"{other} {' '.join(item)}"
+    docs = make(spark, [(i, t, None, None) for i in (None, 5) for t in (bad, other)])
+    assert [(r.doc_id, r.text) for r in decontam.decontaminated(docs, bench).orderBy("doc_id").collect()] == [(None, other), (5, other)]
+
+    texts = [" ".join(words(rng, 60, 5000)) for _ in range(9)]
+    rows = [(0, texts[0], None, None)] + [(i, t, None, None) for i in range(1, 9) for t in (texts[0], texts[i], texts[i])]
+    for order in (rows, rows[::-1]):
+        got = p.near_dedup(spark, make(spark, order), sf).collect()
+        assert sorted((r.doc_id, r.text) for r in got) == list(enumerate(texts))
+
+
 def test_run(spark, sf):
     import corpus_pipeline as p
 
