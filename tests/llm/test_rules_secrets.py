@@ -90,6 +90,16 @@ def test_rules_query(spark, sf):
     assert got(op7_quality_rules(spark, sf)) == brute(rows, 100)
 
 
+def test_rules_query_removes_lines(spark, tmp_path):
+    rng = random.Random(16)
+    menu, rare = "home about contact legal privacy terms cookies help site map", "a line that stays in all of them"
+    rows = [(i, "\n".join([menu, " ".join(words(rng, 3 + i % 20)), *([rare] if i < 100 else [])]), "h") for i in range(130)]
+    make(spark, [(i, t, None, h) for i, t, h in rows]).write.parquet(str(tmp_path / "documents.parquet"))
+    out = got(op7_quality_rules(spark, str(tmp_path)))
+    assert out == brute(rows, 100)
+    assert sum(r[-1] == 10 for r in out) == 129 and {r[-2] for r in out} == {True, False}
+
+
 # ---------------------------------------------------------------- secrets
 
 ASSIGN = re.compile(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
