@@ -34,10 +34,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component the document with the smallest id; of rows with that same id and text, one.
 
-    Shingles have five words; fingerprints that estimate a similarity of 0.8 or more are candidates, and link where the
-    shingle sets have it.
+    Texts link where the sets of their five-word shingles have a Jaccard similarity of 0.8 or more.
     """
-    found = simhash.near_duplicates(docs, SHINGLE, simhash.bits_for(SIMILARITY), similarity=SIMILARITY)
+    found = simhash.alike(docs, SHINGLE, SIMILARITY)
     stays = found.where("doc_id = component_id and text_hash = component_hash").select(F.col("doc_id").alias("_stays"), F.col("text_hash").alias("_hash")).distinct()
     on = (docs["doc_id"].cast("long") == stays["_stays"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == stays["_hash"])
     # a null id can't be told from others: such rows stay
