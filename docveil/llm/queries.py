@@ -49,7 +49,8 @@ def _count(spans: Column, kind: str) -> Column:
 def op5_pii_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pii.detect_pii(table(spark, sf_dir, "documents")).select("doc_id", "spans", F.filter("spans", lambda s: s["base"]).alias("base"))
     base = F.col("base")
-    return out.select("doc_id", *[_count(base, k) for k in ("email", "ip", "card", "phone")], _digest(base).alias("base_sha256"), _spelled(F.col("spans")).alias("spans"))
+    counts = [_count(base, k) for k in ("email", "ip", "card", "phone")]
+    return out.select("doc_id", *counts, _digest(base).alias("base_sha256"), _spelled(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -255,11 +255,48 @@ def test_pii_query(spark, sf):
         assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(b[0] == k for b in base) for k in PATTERNS)
 
 
-def test_pii_candidates_overlap_nothing():
-    text = "tel 555-123-4567, a@b.com 1.2.3.4; 123-45-6789 (bob (at) mail (dot) com) 4111 1111 1111 1111 +34 600 123 456 4111-1111-1111-1112 " * 40
+def test_added_spans_overlap_nothing():
+    text = "tel 555-123-4567, a@b.com 1.2.3.4; 123-45-6789 (bob (at) mail (dot) com) 4111 1111 1111 1111 +34 600 123 456 4111-1111-1111-1112 ES91 2100 0418 4502 0005 1332 " * 40
     base = pii.base_spans(text)
-    more = pii.candidates(text, base)
-    assert len(more) >= 160
-    for k, (_, s, e, _) in enumerate(more):
-        assert all(e <= x or y <= s for _, x, y in base)
-        assert all(e <= x or y <= s for _, x, y, _ in more[:k])
+    found = pii.candidates(text, base)
+    more = pii.chosen(found, {c[3]: 0.5 + len(c[3]) / 100 for c in found}, 0.5)
+    assert len(more) >= 200
+    flat = sorted([(s, e) for _, s, e in base] + [(s, e) for _, s, e, _ in more])
+    assert all(x[1] <= y[0] for x, y in zip(flat, flat[1:], strict=False))
+    assert pii.chosen(found, {}, 0.5) == []
+
+
+def test_long_runs_of_digits():
+    assert pii.base_spans("0" * 5000 + "1.1.1.1") == [("ip", 0, 5007)]
+    for hostile in ("7" * 1_000_000, "1." * 300_000, "1 " * 300_000, "a1" * 300_000, "1:" * 200_000, "Ana " * 200_000, "+1(" * 200_000, "a@" * 300_000):
+        pii.candidates(hostile, pii.base_spans(hostile))
+
+
+PLANTED = {
+    "email": ("write to bob.jones (at) mail (dot) org today", "bob.jones (at) mail (dot) org"),
+    "ip": ("the host 2001:db8:85a3:8d3:1319:8a2e:370:7348 answered", "2001:db8:85a3:8d3:1319:8a2e:370:7348"),
+    "phone": ("please call (212) 555-0187 before noon", "(212) 555-0187"),
+    "id": ("my SSN 123-45-6789 is on file", "123-45-6789"),
+    "account": ("send it to IBAN ES91 2100 0418 4502 0005 1332 please", "ES91 2100 0418 4502 0005 1332"),
+    "key": ("export token 9f8Ab3kLq0Zt7Xw2Yv5Rn1Md for the client", "9f8Ab3kLq0Zt7Xw2Yv5Rn1Md"),
+    "name": ("her name is Laura Smith and she wrote", "Laura Smith"),
+    "address": ("he lives at 12 Baker Street near us", "12 Baker Street"),
+    "birth": ("she was born on 03/04/1980 in town", "03/04/1980"),
+}
+CLEAN = ["version 1234-5678 of the page", "order 123456789012 came late", "ISBN 978-3-16-148410-0 is a book", "on 03/04/2019 the shop closed", "Big River flows under Old Bridge", "commit 9f8ab3c09f8ab3c09f8ab3c09f8ab3c09f8ab3c0 fixed it", "from 1000 to 2000 words", "see chapter 10, table 12-34-5678"]
+
+
+def test_planted_personal_data(spark):
+    """All planted values are found as what they are, and nothing in clean sentences."""
+    rows = [(100 * k + j, f"it rained again. {said}.", None, None) for k, (said, _) in enumerate(PLANTED.values()) for j in range(12)]
+    rows += [(10_000 + 100 * k + j, f"it rained again. {said}.", None, None) for k, said in enumerate(CLEAN) for j in range(12)]
+    got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans] for r in pii.detect_pii(make(spark, rows)).collect()}
+    texts = {r[0]: r[1] for r in rows}
+    for k, (kind, (_, value)) in enumerate(PLANTED.items()):
+        assert [(x, texts[100 * k][s:e]) for x, s, e in got[100 * k]] == [(kind, value)]
+    assert all(not got[i] for i in got if i >= 10_000)
+
+
+def test_pii_adds_on_the_tables(spark, sf):
+    rows = op5_pii_weak_supervision(spark, sf).collect()
+    assert sum(r.n_spans - r.n_email - r.n_ip - r.n_card - r.n_phone for r in rows) > 0
