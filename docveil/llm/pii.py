@@ -174,16 +174,14 @@ def _shape_gazetteer_check(kind: str, value: str) -> tuple[int, int, int]:
         return 1, 1, 0
     parts = [int(x) for x in re.split(r"[./-]", value)]
     day, month, year = parts[::-1] if parts[0] > 31 else parts
-    # a date that exists says nothing of a birth
-    return 0, 0, 0 if 1 <= min(day, month) <= 12 and max(day, month) <= 31 and 1900 <= year else -1
+    return 1, 0, 1 if 1 <= min(day, month) <= 12 and max(day, month) <= 31 and 1900 <= year else -1
 
 
 def votes(kind: str, text: str, start: int, end: int) -> tuple[int, ...]:
     """One vote of each labeler: 1 for, -1 against, 0 abstains."""
     shape, gazetteer, check = _shape_gazetteer_check(kind, text[start:end])
     before = text[max(0, start - 40) : start]
-    context = 1 if _FOR[kind].search(before) else -1 if kind == "birth" else 0  # most dates are nobody's birth
-    return shape, gazetteer, context, -1 if _AGAINST.search(before[-12:]) else 0, check
+    return shape, gazetteer, 1 if _FOR[kind].search(before) else 0, -1 if _AGAINST.search(before[-12:]) else 0, check
 
 
 def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int, str]]:
@@ -203,8 +201,8 @@ def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, i
             while b < len(taken) and taken[b][0] < e:
                 reach = max(reach, taken[b][1])
                 b += 1
-            if s < reach or (kind == "name" and m[0].split()[0] not in _GIVEN):
-                continue
+            if s < reach or (kind == "name" and m[0].split()[0] not in _GIVEN) or (kind == "birth" and not _FOR[kind].search(text[max(0, s - 40) : s])):
+                continue  # two words in capitals, and dates, are mostly something else
             size = min(2, len(_digits(m[0])) // 8)
             out.append((kind, s, e, f"{KINDS.index(kind)}{size}" + "".join("-0+"[v + 1] for v in votes(kind, text, s, e))))
     return out
