@@ -65,7 +65,8 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = secrets.scan_secrets(table(spark, sf_dir, "documents")).select("doc_id", "spans", F.filter("spans", lambda s: s["kind"] != "novel").alias("base"))
     base = F.col("base")
-    return out.select("doc_id", *[_count(base, k) for k in ("assign", "access", "hex")], _digest(base).alias("base_sha256"), _spelled(F.col("spans")).alias("spans"))
+    counts = [_count(base, k) for k in ("assign", "access", "hex")]
+    return out.select("doc_id", *counts, _digest(base).alias("base_sha256"), _spelled(F.col("spans")).alias("spans"), _count(F.col("spans"), "novel"))
 
 
 def op9_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:

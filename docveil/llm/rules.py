@@ -1,13 +1,13 @@
 """Quality rules with cross-document line frequency, in DataFrame functions only.
 
 Each document's words, symbols, repeated lines and repeated five-word windows give the base rules.  Then lines are
-normalised (lower case, white space squeezed) and hashed, the distinct texts that have a line are counted per host, and lines
-in more than ``max_docs`` of them are boilerplate: they are removed everywhere but in the host's document with the
-smallest id that has them.  A document that loses over ``max_removed`` of its words is depleted and rejected.
+normalised (lower case, white space squeezed) and hashed, and the distinct texts that have a line are counted per host.  Lines in more
+than ``min_texts`` of them and in more than ``percent`` % of the host's texts are boilerplate: they are removed everywhere but in the
+host's document with the smallest id that has them.  A document that loses over ``max_removed`` % of its words is depleted and rejected.
 
 Counting distinct texts, not rows, keeps exact copies from making each other's lines boilerplate.  A text is read once; what
 follows works on a stored table of counts and line hashes.  Line hashes spread over the keys, so a hot host is no
-hot key, and a hot line is pre-aggregated before its shuffle and joined from the unique side.
+hot key; a hot line is pre-aggregated before its shuffle, and its rows are salted in the join with the few lines to remove.
 
 Windows and lines are compared by 64-bit hashes of their words.
 
@@ -23,6 +23,10 @@ from pyspark.sql import functions as F
 from .common import stored
 
 WINDOW = 5
+#: A host's line is boilerplate if more distinct texts than this have it, and more than this share (per cent) of the host's texts.
+MIN_TEXTS, PERCENT = 5, 5
+#: Parts that rows of one line are dealt to when they meet the lines to remove.
+SALT = 16
 _SPACE = "[\\x20\\x09-\\x0D]+"
 #: Host of rows without one; no host has this name.
 _NO_HOST = "\u0000"
@@ -72,25 +76,28 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ho
     return df.select(*at, F.coalesce(_covered(F.col("win")), F.lit(0)).cast("long").alias("n_repeat_words"))
 
 
-def removals(rows: DataFrame, max_docs: int) -> DataFrame:
+def removals(rows: DataFrame, min_texts: int, percent: int) -> DataFrame:
     """(doc_id, host, text_hash, drop): the line hashes to remove from a document, for documents with any."""
-    key = ["host", "h"]
     each = rows.select("doc_id", "host", "text_hash", F.explode(F.array_distinct(F.transform("lines", lambda s: s["h"]))).alias("h"))
-    frequent = each.groupBy(*key).agg(F.count_distinct("text_hash").alias("n"), F.min("doc_id").alias("first")).where(F.col("n") > max_docs)
-    hit = each.join(frequent.select(*key, "first"), key).where(~F.col("doc_id").eqNullSafe(F.col("first")))
-    return hit.groupBy("doc_id", "host", "text_hash").agg(F.collect_set("h").alias("drop"))
+    often = each.groupBy("host", "h").agg(F.count_distinct("text_hash").alias("n"), F.min("doc_id").alias("first")).where(F.col("n") > min_texts)
+    texts = rows.groupBy("host").agg(F.count_distinct("text_hash").alias("texts"))
+    # a host has at most 100 / percent times as many such lines as lines in a text
+    frequent = often.join(texts, "host").where(100 * F.col("n") > percent * F.col("texts")).select("host", "h", "first")
+    salted = frequent.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALT)))))
+    hit = each.withColumn("salt", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(SALT)).cast("int")).join(salted, ["host", "h", "salt"])
+    return hit.where(~F.col("doc_id").eqNullSafe(F.col("first"))).groupBy("doc_id", "host", "text_hash").agg(F.collect_set("h").alias("drop"))
 
 
-def judged(docs: DataFrame, max_docs: int = 100, max_removed: float = 0.7, min_words: int = 10, max_repeat: float = 0.2, **cols: str) -> DataFrame:
-    """The measured columns, and drop, n_removed (words), base_failed and kept."""
+def judged(docs: DataFrame, min_texts: int = MIN_TEXTS, percent: int = PERCENT, max_removed: int = 70, min_words: int = 10, max_repeat: int = 20, **cols: str) -> DataFrame:
+    """The measured columns, and drop, n_removed (words), base_failed and kept.  Shares are in whole per cent."""
     rows = stored(measured(docs, **cols), "rules")
-    drop = removals(rows, max_docs).withColumnsRenamed({"doc_id": "d", "host": "o", "text_hash": "t"})
+    drop = removals(rows, min_texts, percent).withColumnsRenamed({"doc_id": "d", "host": "o", "text_hash": "t"})
     on = rows["doc_id"].eqNullSafe(drop["d"]) & (rows["host"] == drop["o"]) & (rows["text_hash"] == drop["t"])
     out = rows.join(drop, on, "left").drop("d", "o", "t")
     lost = F.aggregate(F.filter("lines", lambda s: F.array_contains("drop", s["h"])), F.lit(0).cast("long"), lambda acc, s: acc + s["n"])
-    failed = (F.col("n_words") < min_words) | (F.col("n_repeat_words") > max_repeat * F.col("n_words"))
+    failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat * F.col("n_words"))
     out = out.withColumn("n_removed", F.when(F.col("drop").isNull(), F.lit(0).cast("long")).otherwise(lost)).withColumn("base_failed", failed)
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("n_removed") <= max_removed * F.col("n_words")))
+    return out.withColumn("kept", ~F.col("base_failed") & (100 * F.col("n_removed") <= max_removed * F.col("n_words")))
 
 
 def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", **limits) -> DataFrame:

@@ -1,10 +1,11 @@
 """Secret scanning by dictionary-primed zstandard novelty.
 
-Fixed shapes (assignments to sensitive names, access-key ids, long hex) are found by patterns.  Beyond them, each long token near a
-sensitive word is a candidate, and its marginal size is measured: the bytes that zstandard needs for the surrounding text with the
-token, less those for the surrounding text alone, primed with a dictionary of identifiers and common code words.  Text, identifiers and
-repeats of the surroundings cost few bytes; a token that needs about as many bytes as it has characters, or as random tokens of its
-alphabet and length need in its place, is new information and is reported as ``novel``.
+Fixed shapes (assignments to sensitive names, access-key ids, long hex) are found by patterns.  Beside them, each long token near a
+sensitive word, each password in a URL and each private key block is a candidate, whether a pattern has it too or not, and its marginal
+size is measured: the bytes that zstandard needs for the surrounding text with the token, less those for the surrounding text alone,
+primed with a dictionary of identifiers and common code words.  Text, identifiers and repeats of the surroundings cost few bytes; a token
+that needs about as many bytes as it has characters, or as random tokens of its alphabet and length need in its place, is new information
+and is reported as ``novel``.
 
 Defined results: a null or empty text has no span; offsets are code points with exclusive ends; rows are independent, so repeated
 rows, ties and null ids need no care; an empty table gives no rows.
@@ -29,8 +30,11 @@ _NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-_NEAR = re.compile(r"(?<![a-z])(?:secret|token|passw(?:or)?d|passphrase|pwd|api[ _-]?key|private[ _-]?key|access[ _-]?key|auth(?:orization|entication)?|bearer|credentials?|client[ _-]?id|signature|webhook|contraseña|clave|passwort|schlüssel|jeton)(?![a-z])", re.I)
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=~.-]{12,}")
+_NEAR = re.compile(r"(?<![a-z])(?:secret|token|passw(?:or)?d|passphrase|pwd|api[ _-]?key|private[ _-]?key|access[ _-]?key|secret[ _-]?key|ssh[ _-]?key|encryption[ _-]?key|licen[cs]e[ _-]?key|(?:access|refresh|session|auth|id)[ _-]?token|auth(?:orization|entication)?|oauth|jwt|bearer|credentials?|client[ _-]?(?:id|secret)|connection[ _-]?string|signature|webhook|contraseña|clave|passwort|schlüssel|jeton)(?![a-z])", re.I)
+# parts between dots are long each, as in signed tokens; host and file names have short ones
+_CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_~.-])[A-Za-z0-9+/_~-]{12,}+(?:\.[A-Za-z0-9+/_~-]{12,}+){0,2}+(?!\.[A-Za-z0-9])={0,2}")
+_IN_URL = re.compile(r"(?<![A-Za-z0-9+.-])[A-Za-z][A-Za-z0-9+.-]{1,20}://[^\s/:@\"']{1,64}:([^\s/:@\"']{12,200})@")
+_BLOCK = re.compile(r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----([A-Za-z0-9+/=\s]{64,20000})-----END")
 #: How many characters may lie between a sensitive word and a candidate, and how much of the text around it primes the compressor.
 REACH, CONTEXT = 40, 160
 #: A candidate is reported from this share of marginal bytes on: of its characters, or of what random tokens of its alphabet cost there.
@@ -98,17 +102,6 @@ def is_novel(text: str, start: int, end: int) -> bool:
     return own * len(token) >= NOVEL * drawn / DRAWS
 
 
-def _islands(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Overlapping spans as one, in order."""
-    out: list[tuple[int, int]] = []
-    for s, e in sorted(spans):
-        if out and s < out[-1][1]:
-            out[-1] = (out[-1][0], max(e, out[-1][1]))
-        else:
-            out.append((s, e))
-    return out
-
-
 def find_secrets(text: str) -> list[tuple[str, int, int, int]]:
     """(kind, start, end, start of the secret value) by start, then kind as in KINDS."""
     out = []
@@ -118,25 +111,26 @@ def find_secrets(text: str) -> list[tuple[str, int, int, int]]:
     if "AKIA" in text:
         out += [("access", m.start(), m.end(), m.start()) for m in _ACCESS.finditer(text) if len(m[0]) >= 20]
     out += [("hex", m.start(), m.end(), m.start()) for m in _HEX.finditer(text)]
+    blocks = [m.span(1) for m in _BLOCK.finditer(text)] if "PRIVATE KEY-----" in text else []
+    places = blocks + ([m.span(1) for m in _IN_URL.finditer(text)] if "://" in text else [])
     near = [w.span() for w in _NEAR.finditer(text)]
-    if not near:
-        return sorted(out, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
-    taken = _islands([(x[1], x[2]) for x in out])
-    k = b = 0
-    for m in _CANDIDATE.finditer(text):  # all three lists are in order, so each is gone through once
-        s, e = m.span()
-        while k < len(near) and near[k][1] < s - REACH:
-            k += 1
-        if k == len(near):
-            break
-        while b < len(taken) and taken[b][1] <= s:
-            b += 1
-        if near[k][0] > e + REACH or (b < len(taken) and taken[b][0] < e):
-            continue
-        t = m[0]
-        # letters of one case are words as well as keys; zstd can't tell these apart
-        mixed = any(map(str.islower, t)) + any(map(str.isupper, t)) + any(map(str.isdigit, t)) >= 2
-        if mixed and len(set(t)) >= 8 and is_novel(text, s, e):
+    if near:
+        k = 0
+        for m in _CANDIDATE.finditer(text):  # both lists are in order, so each is gone through once
+            s, e = m.span()
+            while k < len(near) and near[k][1] < s - REACH:
+                k += 1
+            if k == len(near):
+                break
+            if near[k][0] <= e + REACH:
+                places.append((s, e))
+    taken: list[tuple[int, int]] = []
+    for s, e in sorted(places, key=lambda x: (x[0], -x[1])):
+        t = text[s:e]
+        # letters of one case, and one capital before them, are words as well as keys; zstd can't tell these apart
+        mixed = any(map(str.islower, t)) + any(map(str.isupper, t[1:])) + any(map(str.isdigit, t)) >= 2
+        if mixed and len(set(t)) >= 8 and (not taken or taken[-1][1] <= s) and is_novel(text, s, e):
+            taken.append((s, e))
             out.append(("novel", s, e, s))
     return sorted(out, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 

@@ -20,8 +20,10 @@ ln AS (
   SELECT doc_id, host, text, lower(trim(regexp_replace(s, '[\x20\x09-\x0D]+', ' ', 'g'))) AS line,
          len(list_filter(string_split_regex(s, '[\x20\x09-\x0D]+'), lambda w: w <> '')) AS n
   FROM (SELECT doc_id, host, text, unnest(lines) AS s FROM d)),
+texts AS (SELECT host, count(DISTINCT text) AS texts FROM d GROUP BY host),
 freq AS (
-  SELECT host, line, min(doc_id) AS first FROM ln GROUP BY host, line HAVING count(DISTINCT text) > 100),
+  SELECT host, line, first FROM (SELECT host, line, min(doc_id) AS first, count(DISTINCT text) AS n FROM ln GROUP BY host, line) JOIN texts USING (host)
+  WHERE n > 5 AND 100 * n > 5 * texts),
 lost AS (
   SELECT doc_id, sum(n) AS n FROM ln JOIN freq USING (host, line) WHERE doc_id <> first GROUP BY doc_id),
 base AS (
