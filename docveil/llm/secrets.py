@@ -42,14 +42,45 @@ NOVEL = 0.85
 #: Random tokens that a candidate is measured against.
 DRAWS = 4
 # words that code and configuration repeat; with their joined forms they make the dictionary
-_CODE = "get set is has add remove update delete create read write load save open close start stop run init config user name password secret token key value type class function return import export const public private static void string int long bool true false null none default error message request response header body client server host port path file url http https api auth access id session cookie data list map array index count size length buffer stream async await promise test mock example sample placeholder your changeme localhost username email address account service".split()
+_CODE = """get set is has add remove update delete create read write load save open close start stop run init config user name password secret token key value
+type class function return import export const public private static void string int long bool true false null none default error message request
+response header body client server host port path file url http https api auth access id session cookie data list map array index count size length
+buffer stream async await promise test mock example sample placeholder your changeme localhost username email address account service active admin
+agent alias amount android app apple archive args asset audio author auto bank base batch bean block book branch browser bucket build button byte call
+camera cancel card cart case category center change channel char chat check child clear click clone cloud cluster code color column command comment
+common company complete component condition connect console constant container content context control convert copy core country credential current
+custom customer database date debug demo deploy depth description design detail device dialog digest directory disable display document domain
+download driver dynamic edit editor element enable encode engine entity entry environment event exec execute exit express extension external factory
+field filter final find first flag float folder font form format frame framework from gateway generate global grant graph group guest handle handler
+hash head helper hidden history home image info input insert install instance integration interface internal international invalid item java job json
+kernel label language last layer layout level library license line link linux local location lock log login logger main manager mapping master match
+media member memory menu merge meta method metric middle mobile mode model module monitor month mount move native network next node note notify number
+object office online operation option order origin output owner package page pair panel param parent parse part patch pattern payment payload
+permission person phone pipeline platform player plugin point policy pool position post prefix preview price primary print process product profile
+program project property protocol provider proxy publish query queue random range record region register release remote render replace report
+repository require reset resource restore result role root route rule scale scope screen script search section secure select send sequence serial
+setting setup share short show sign simple site socket sort source space spec stack standard state status step storage store strict submit success
+super support switch system table target task team template temp text theme thread time timeout title topic total trace track transaction transform
+tree trigger unit upgrade upload util utility valid validate vendor version video view virtual visible wait watch weight widget width window work
+worker workspace world wrapper year zone authentication authorization internationalization usr src www users""".split()
+_KNOWN = frozenset(_CODE)
+_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 
 
 def dictionary() -> bytes:
-    snake = [f"{a}_{b}" for a in _CODE for b in _CODE[:24]]
-    camel = [a + b.capitalize() for a in _CODE for b in _CODE[:24]]
+    joined = [a + sep + b for a in _CODE[:60] for b in (w.capitalize() for w in _CODE[:24]) for sep in ("", "_")]
     alphabet = "abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 0123456789abcdef 00000000 xxxxxxxx XXXXXXXX "
-    return (" ".join(snake + camel) + alphabet + " ".join(_CODE)).encode()
+    return (" ".join(joined) + "".join(w.capitalize() for w in _CODE) + "_".join(w.upper() for w in _CODE) + alphabet + " ".join(_CODE)).encode()
+
+
+def is_identifier(token: str) -> bool:
+    """Whether words of the identifier dictionary, joined by case, signs or digits, make up nearly all of a token."""
+    known = total = 0
+    for part in _PART.findall(token):
+        low = part.lower()
+        total += len(part)
+        known += len(part) * (low in _KNOWN or (low.endswith("s") and low[:-1] in _KNOWN) or (part.isdigit() and len(part) <= 2))
+    return total > 0 and known >= 0.8 * total
 
 
 _ALPHABETS = (string.digits, string.digits + "abcdef", string.digits + "ABCDEF", string.ascii_lowercase, string.ascii_uppercase, string.digits + string.ascii_lowercase, string.digits + string.ascii_uppercase, string.ascii_letters, string.digits + string.ascii_letters)
@@ -129,7 +160,7 @@ def find_secrets(text: str) -> list[tuple[str, int, int, int]]:
         t = text[s:e]
         # letters of one case, and one capital before them, are words as well as keys; zstd can't tell these apart
         mixed = any(map(str.islower, t)) + any(map(str.isupper, t[1:])) + any(map(str.isdigit, t)) >= 2
-        if mixed and len(set(t)) >= 8 and (not taken or taken[-1][1] <= s) and is_novel(text, s, e):
+        if mixed and len(set(t)) >= 8 and (not taken or taken[-1][1] <= s) and not is_identifier(t) and is_novel(text, s, e):
             taken.append((s, e))
             out.append(("novel", s, e, s))
     return sorted(out, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
