@@ -1,18 +1,25 @@
-"""Benchmark decontamination: a BM25 inverted index of test items, queried block by block by every training passage.
+"""Benchmark decontamination: a BM25 inverted index of test items, queried with block-max WAND by every training passage.
 
-Test items are cut into segments of at most ``SEGMENT`` words, each sharing half with the next, and indexed.  An entry's weight is its BM25 weight divided by the
-segment's weight in full, so a passage that holds a whole segment scores 1 and one threshold serves all.  Documents are read
-as passages of two half-windows of ``SEGMENT`` words, each half shared with the next passage, so every segment lies in one whole.
+Test items are cut into segments of at most ``SEGMENT`` words, each sharing half with the next, and indexed.  An entry's weight is its
+BM25 weight divided by the segment's weight in full, so a passage that holds a whole segment scores 1 and one threshold serves all.
+Document frequencies and the mean length are those of all segments.  Documents are read as passages of two half-windows of ``SEGMENT``
+words, each half shared with the next passage, so every segment lies in one whole.
 
-Retrieval follows block-max WAND: segments are in blocks of ``BLOCK``; each term has a maximal weight for each block; a passage's
-sums of these bounds over its terms skip all blocks that can't reach the threshold; only in the others are the postings scored
-exactly.  All above the threshold are kept and verified: the word trigrams of an item's question (all but its last sentence) and of
-its answer (the last sentence, or what follows an answer mark) have to be found in the passage.
+Retrieval follows block-max WAND, for all passages of a document at once: segments are in blocks of ``BLOCK``, and the index keeps each
+term's maximal weight, its blocks, and its maximal weight in each of them.  A passage's terms are laid out by rising maxima; the pivot is
+where their sum reaches the threshold.  Terms before it can't bring a segment there by themselves, so only blocks of the others are looked at
+(a passage without a pivot is done).  Blocks whose maxima can't reach the threshold are skipped, first with the maxima of the terms
+before the pivot, then with those in the block; only in the others are the postings scored exactly.  All segments above the threshold are
+kept and verified: word trigrams of an item's question (all but its last sentence) and of its answer (the last sentence, or what follows
+an answer mark) have to be found in the passage.
 
-The index is broadcast in parts of at most ``PART`` segments, one after the other, so its size doesn't grow with the number of items.
+The index is sparse: an entry for each word of a segment and one for each term and block.  One pass over the documents queries up to
+``PART`` segments, a broadcast of under 200 MB (about 64 entries of 28 bytes and some words for each); a larger benchmark takes more passes,
+with the same results.
 
-Defined results: null and empty texts and items match nothing; items without words aren't indexed;
-repeated rows are reported each; ties are all kept; an empty table gives no rows; a null document id is reported as such.
+Defined results: null and empty texts and items match nothing; items without words aren't indexed; items under ``MIN_WORDS`` words need all
+their words in a row; repeated rows are reported each; ties are all kept, and of an item's equally good passages the first is
+reported; an empty table gives no rows; a null document id is reported as such.
 """
 
 from __future__ import annotations
@@ -27,9 +34,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, map_batches
+from .common import id_and_text, map_batches, stored
 
-SEGMENT, BLOCK, PART = 64, 8, 20_000
+SEGMENT, BLOCK, PART = 64, 8, 50_000
+#: Entries of the index that are looked at together, about.
+AT_ONCE = 1_000_000
 MIN_WORDS = 6
 K1, B = 1.2, 0.75
 THRESHOLD = 0.5
@@ -52,115 +61,214 @@ def question_and_answer(text: str) -> tuple[list[str], list[str]]:
     return normal_words(text[:cut]), normal_words(text[cut:])
 
 
-def trigrams(words: list[str]) -> set[tuple[str, ...]]:
-    return {tuple(words[i : i + 3]) for i in range(max(1, len(words) - 2))} if words else set()
+def segments_of(text: str) -> list[tuple[list[str], int]]:
+    """(words, how many of them belong to the question) of each segment of an item."""
+    q, a = question_and_answer(text)
+    words = q + a
+    if not words:
+        return []
+    # all of about the same length, so that a cut through a quotation leaves most of it in some segment
+    n = max(1, -(-2 * len(words) // SEGMENT) - 1)
+    cuts = [(k * len(words) // (n + 1), (k + 2) * len(words) // (n + 1)) for k in range(n)] if n > 1 else [(0, len(words))]
+    return [(words[lo:hi], min(max(len(q) - lo, 0), hi - lo)) for lo, hi in cuts]
+
+
+def grams(terms: np.ndarray, n: int = 3) -> np.ndarray:
+    """Distinct runs of n terms, packed; none that has a word outside the vocabulary (0)."""
+    if len(terms) < n or not n:
+        return np.zeros(0, np.int64)
+    runs = [terms[k : len(terms) - n + 1 + k] for k in range(n)]
+    packed = sum(r << (21 * k) for k, r in enumerate(runs))
+    return np.unique(packed[np.all([r > 0 for r in runs], axis=0)])
 
 
 @dataclass
 class Index:
-    items: list[int]  # by segment
-    question: list[set]
-    answer: list[set]
-    whole: list[tuple[str, ...]]  # the words of a short item, else empty
+    items: np.ndarray  # by segment
+    terms: list[np.ndarray]  # a segment's words as term numbers
+    asked: np.ndarray  # how many of them belong to the question
+    short: np.ndarray  # whether its words have to be found in a row
     vocab: dict[str, int]  # term numbers from 1; 0 is any other word
-    bounds: np.ndarray  # [terms, blocks] float32
-    offsets: np.ndarray  # postings of a term, by segment
-    segments: np.ndarray
-    weights: np.ndarray
-
-
-def build_index(rows: list[tuple[int, str]]) -> Index:
-    seg_words, items, qs, ans, whole = [], [], [], [], []
-    for item, text in rows:
-        q, a = question_and_answer(text or "")
-        words = q + a
-        if not words:
-            continue
-        # all of about the same length, so that a cut through a quotation leaves most of it in some segment
-        n = max(1, -(-2 * len(words) // SEGMENT) - 1)
-        for k in range(n):
-            lo, hi = k * len(words) // (n + 1), (k + 2) * len(words) // (n + 1)
-            if n == 1:
-                lo, hi = 0, len(words)
-            seg_words.append(words[lo:hi])
-            items.append(item)
-            whole.append(tuple(words) if len(words) < MIN_WORDS else ())
-            qs.append(trigrams(words[lo : min(hi, len(q))]) if lo < len(q) else set())
-            ans.append(trigrams(words[max(lo, len(q)) : hi]) if hi > len(q) else set())
-    mean = np.mean([len(w) for w in seg_words]) if seg_words else 1.0
-    df: dict[str, int] = {}
-    for w in seg_words:
-        for t in set(w):
-            df[t] = df.get(t, 0) + 1
-    vocab = {t: k for k, t in enumerate(sorted(df), 1)}
-    posts: list[list[tuple[int, float]]] = [[] for _ in range(len(vocab) + 1)]
-    for s, w in enumerate(seg_words):
-        tf: dict[str, int] = {}
-        for t in w:
-            tf[t] = tf.get(t, 0) + 1
-        imp = {t: np.log(1 + (len(seg_words) - df[t] + 0.5) / (df[t] + 0.5)) * c * (K1 + 1) / (c + K1 * (1 - B + B * len(w) / mean)) for t, c in tf.items()}
-        full = sum(imp.values())
-        for t, x in imp.items():
-            posts[vocab[t]].append((s, x / full))
-    bounds = np.zeros((len(vocab) + 1, max(1, -(-len(seg_words) // BLOCK))), np.float32)
-    for t, p in enumerate(posts):
-        for s, x in p:
-            bounds[t, s // BLOCK] = max(bounds[t, s // BLOCK], x)
-    flat = [x for p in posts for x in p]
-    return Index(items, qs, ans, whole, vocab, bounds, np.cumsum([0] + [len(p) for p in posts]), np.array([x[0] for x in flat], np.int64), np.array([x[1] for x in flat]))
+    most: np.ndarray  # a term's maximal weight
+    first: np.ndarray  # a term's entries by block: [first[t], first[t + 1])
+    keys: np.ndarray  # an entry's term times the number of blocks, plus its block: in order
+    blocks: np.ndarray  # an entry's block
+    bounds: np.ndarray  # an entry's maximal weight
+    posts: np.ndarray  # an entry's postings: [posts[e], posts[e + 1])
+    segments: np.ndarray  # a posting's segment
+    weights: np.ndarray  # a posting's weight
+
+
+def build_index(segments: list[tuple[int, list[str], int, bool]], weights: list[dict[str, float]]) -> Index:
+    """An index of (item, words, words of the question, short) with the weights of each one's words."""
+    vocab = {w: k for k, w in enumerate(sorted(set().union(*weights)), 1)}
+    if len(vocab) >= 1 << 21:
+        raise ValueError("a part has too many words; use a smaller part")
+    rows = [np.array([vocab[w] for w in words], np.int64) for _, words, _, _ in segments]
+    term = np.array([vocab[w] for ws in weights for w in ws], np.int64)
+    segment = np.repeat(np.arange(len(weights)), [len(ws) for ws in weights]).astype(np.int64)
+    weight = np.array([x for ws in weights for x in ws.values()], np.float64)
+    order = np.lexsort((segment, term))
+    term, segment, weight = term[order], segment[order], weight[order]
+    key = term * (len(segments) // BLOCK + 1) + segment // BLOCK
+    posts = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    bounds = np.maximum.reduceat(weight, posts) if len(key) else np.zeros(0)
+    first = np.searchsorted(term[posts], np.arange(len(vocab) + 2))
+    most = np.zeros(len(vocab) + 1)
+    np.maximum.at(most, term, weight)
+    asked, short = np.array([s[2] for s in segments], np.int64), np.array([s[3] for s in segments], bool)
+    items = np.array([s[0] for s in segments], np.int64)
+    return Index(items, rows, asked, short, vocab, most, first, key[posts], segment[posts] // BLOCK, bounds, np.append(posts, len(key)), segment, weight)
+
+
+def _spread(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which range, its member) for all members of ranges [first, last)."""
+    n = last - first
+    return np.repeat(np.arange(len(n)), n), np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+
+
+def _sums(key: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and the sum of each."""
+    if not len(key):
+        return key, x
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    at = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    return key[at], np.add.reduceat(x[order], at)
 
 
 def retrieve(index: Index, terms: np.ndarray, threshold: float) -> list[tuple[int, int, float]]:
     """(half-window, segment, score) of all passages, two half-windows each, that score at least the threshold."""
-    if not len(terms) or not index.items:
+    if not len(terms) or not len(index.items):
         return []
-    first = np.arange(0, len(terms), SEGMENT)
-    # a term may count twice in a bound, which stays one
-    half = np.add.reduceat(index.bounds[terms], first, axis=0)
-    both = half.copy()
-    both[:-1] += half[1:]
-    alive = both >= threshold - 1e-4
-    found = []
-    for p in np.flatnonzero(alive.any(1)).tolist():
-        t = np.unique(terms[p * SEGMENT : (p + 2) * SEGMENT])
-        t = t[t > 0]
-        blocks = np.flatnonzero(index.bounds[t].sum(0) >= threshold - 1e-4)  # now each term once
-        if not len(blocks):
-            continue
-        n = index.offsets[t + 1] - index.offsets[t]
-        at = np.repeat(index.offsets[t] - np.cumsum(n) + n, n) + np.arange(n.sum())
-        s = index.segments[at]
-        own = np.isin(s // BLOCK, blocks)
-        score = np.bincount(s[own], index.weights[at[own]], len(index.items))
-        found += [(p, int(k), float(score[k])) for k in np.flatnonzero(score >= threshold - 1e-9)]
+    half = np.arange(len(terms)) // SEGMENT
+    known = terms > 0
+    # each word belongs to the passage that its half-window starts and to the one that it ends; each term counts once in a passage
+    width = len(index.most)
+    key = np.unique(np.concatenate([half[known] * width + terms[known], (half[known & (half > 0)] - 1) * width + terms[known & (half > 0)]]))
+    passage, term = key // width, key % width
+    order = np.lexsort((index.most[term], passage))
+    passage, term = passage[order], term[order]
+    start = np.flatnonzero(np.append(True, passage[1:] != passage[:-1])) if len(passage) else np.zeros(0, np.int64)
+    size = np.diff(np.append(start, len(passage)))
+    sums = np.cumsum(index.most[term])
+    sums -= np.repeat(sums[start] - index.most[term[start]], size)
+    pivoted = sums >= threshold - 1e-9
+    found: list[tuple[int, int, float]] = []
+    if not pivoted.any():
+        return found
+    cost = np.add.reduceat(index.first[term + 1] - index.first[term], start)
+    # passages with a pivot, in groups of about as many entries
+    own = np.flatnonzero(np.add.reduceat(pivoted, start))
+    for group in np.split(own, np.flatnonzero(np.diff(np.cumsum(cost[own]) // AT_ONCE)) + 1):
+        which, pair = _spread(start[group], start[group] + size[group])
+        found += _scored(index, passage[start[group]], which, term[pair], pivoted[pair], threshold)
     return found
 
 
-def verify(index: Index, segment: int, words: list[str]) -> tuple[float, float, bool]:
-    """Shares of the question's and the answer's trigrams in these words (1 where there are none), and whether they suffice."""
-    if short := index.whole[segment]:
-        found = any(tuple(words[i : i + len(short)]) == short for i in range(len(words) - len(short) + 1))
+def _scored(index: Index, passages: np.ndarray, which: np.ndarray, term: np.ndarray, pivoted: np.ndarray, threshold: float) -> list[tuple[int, int, float]]:
+    """retrieve() for passages whose terms are (which passage, term, whether from the pivot on)."""
+    n_blocks, n = len(index.items) // BLOCK + 1, len(passages)
+    before = np.bincount(which[~pivoted], index.most[term[~pivoted]], n)
+    pair, entry = _spread(index.first[term[pivoted]], index.first[term[pivoted] + 1])
+    at, bound = _sums(which[pivoted][pair] * n_blocks + index.blocks[entry], index.bounds[entry])
+    alive = bound + before[at // n_blocks] >= threshold - 1e-9
+    at, bound = at[alive], bound[alive]
+    if not len(at):
+        return []
+    # now the maxima in the block of the terms before the pivot: all their entries are gone through or looked up, whichever is less
+    own, first = at // n_blocks, np.searchsorted(which, np.arange(n))
+    others, entries = np.bincount(which[~pivoted], minlength=n), index.first[term + 1] - index.first[term]
+    through = np.bincount(which[~pivoted], entries[~pivoted], n) <= np.bincount(own, minlength=n) * others
+    some = ~pivoted & through[which]
+    pair, entry = _spread(index.first[term[some]], index.first[term[some] + 1])
+    wanted = which[some][pair] * n_blocks + index.blocks[entry]
+    row = np.minimum(np.searchsorted(at, wanted), len(at) - 1)
+    there = at[row] == wanted
+    bound += np.bincount(row[there], index.bounds[entry[there]], len(at))
+    rows = np.flatnonzero(~through[own])
+    cand, entry = _entries(index, term, first[own[rows]], first[own[rows]] + others[own[rows]], at[rows] % n_blocks, n_blocks)
+    bound += np.bincount(rows[cand], index.bounds[entry], len(at))
+    at = at[bound >= threshold - 1e-9]
+    own = at // n_blocks
+    cand, entry = _entries(index, term, first[own], np.append(first, len(which))[own + 1], at % n_blocks, n_blocks)
+    of, post = _spread(index.posts[entry], index.posts[entry + 1])
+    key, score = _sums(own[cand[of]] * len(index.items) + index.segments[post], index.weights[post])
+    hit = score >= threshold - 1e-9
+    return list(zip(passages[key[hit] // len(index.items)].tolist(), (key[hit] % len(index.items)).tolist(), score[hit].tolist(), strict=True))
+
+
+def _entries(index: Index, term: np.ndarray, low: np.ndarray, high: np.ndarray, block: np.ndarray, n_blocks: int) -> tuple[np.ndarray, np.ndarray]:
+    """(which row, entry) of the terms [low, high) in each row's block."""
+    cand, pair = _spread(low, high)
+    wanted = term[pair] * n_blocks + block[cand]
+    entry = np.minimum(np.searchsorted(index.keys, wanted), len(index.keys) - 1)
+    there = index.keys[entry] == wanted
+    return cand[there], entry[there]
+
+
+def verify(index: Index, segment: int, terms: np.ndarray) -> tuple[float, float, bool]:
+    """Shares of the question's and the answer's trigrams in a passage (1 where there are none), and whether they suffice."""
+    own, n = index.terms[segment], index.asked[segment]
+    if index.short[segment]:
+        starts = np.flatnonzero(terms[: len(terms) - len(own) + 1] == own[0]) if len(terms) >= len(own) else []
+        found = any(np.array_equal(terms[i : i + len(own)], own) for i in starts)
         return float(found), float(found), found
-    have = trigrams(words)
-    q, a = index.question[segment], index.answer[segment]
-    in_q, in_a = len(q & have), len(a & have)
-    sq, sa = in_q / len(q) if q else 1.0, in_a / len(a) if a else 1.0
-    alone = len(q) >= 10 and sq >= ALONE
-    return sq, sa, alone or (sq >= QUESTION and sa >= ANSWER) or (in_q + in_a) / max(1, len(q) + len(a)) >= ALL
+    size, inside = [], []
+    for part in (own[:n], own[n:]):
+        g = grams(part, min(3, len(part)))
+        size.append(len(g))
+        inside.append(int(np.isin(g, grams(terms, min(3, len(part)))).sum()) if len(g) else 0)
+    sq, sa = (x / k if k else 1.0 for x, k in zip(inside, size, strict=True))
+    alone = size[0] >= 10 and sq >= ALONE
+    return sq, sa, alone or (sq >= QUESTION and sa >= ANSWER) or sum(inside) / max(1, sum(size)) >= ALL
+
+
+def segments(items: DataFrame, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """(sid, item_id, words, asked, short) of all items."""
+
+    def cut(b: pa.RecordBatch) -> pa.RecordBatch:
+        rows = []
+        for item, text in zip(b["item_id"].to_pylist(), b["text"].to_pylist(), strict=True):
+            cuts = segments_of(text)
+            rows += [(item, words, asked, len(cuts) == 1 and len(words) < MIN_WORDS) for words, asked in cuts]
+        kinds = (pa.int64(), pa.list_(pa.string()), pa.int32(), pa.bool_())
+        return pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["item_id", "words", "asked", "short"])
+
+    rows = items.select(F.col(item_col).cast("long").alias("item_id"), F.col(text_col).alias("text")).where("text is not null")
+    return stored(map_batches(rows, cut, "item_id long, words array<string>, asked int, short boolean").withColumn("sid", F.monotonically_increasing_id()), "segments")
+
+
+def weighed(cut: DataFrame) -> DataFrame:
+    """(sid, w): each segment's words with their share of its BM25 weight, by the frequencies in all segments."""
+    n, mean = cut.agg(F.count(F.lit(1)), F.avg(F.size("words"))).first()
+    tf = cut.select("sid", F.size("words").alias("len"), F.explode("words").alias("word")).groupBy("sid", "len", "word").count()
+    df = tf.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    own = tf.join(df, "word").select("sid", "word", (idf * F.col("count") * (K1 + 1) / (F.col("count") + K1 * (1 - B + B * F.col("len") / F.lit(mean)))).alias("x"))
+    # summed in order of words, so that equal segments weigh alike to the last bit
+    in_order = own.groupBy("sid").agg(F.sort_array(F.collect_list(F.struct("word", "x"))).alias("w"))
+    total = F.aggregate("w", F.lit(0.0), lambda acc, e: acc + e["x"])
+    return in_order.select("sid", F.transform("w", lambda e: F.struct(e["word"].alias("word"), (e["x"] / total).alias("x"))).alias("w"))
 
 
 def _matches(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, part: int = PART, item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """The columns of matches(), and the matched text's hash."""
     spark = docs.sparkSession
     rows = id_and_text(docs).withColumn("text_hash", F.xxhash64("text"))
-    test = items.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).alias("text")).where("text is not null")
-    n = max(1, -(-test.count() // part))
+    cut = segments(items, item_col, item_text)
+    indexed = stored(cut.join(weighed(cut), "sid"), "index")
+    n = max(1, -(-indexed.count() // part))
     schema = "doc_id long, item_id long, word_start int, score double, question_overlap double, answer_overlap double, text_hash long"
     found = []
     for k in range(n):
-        # at most about ``part`` items come to the driver and are broadcast at a time
-        own = test.where(F.pmod(F.xxhash64("text"), F.lit(n)) == k).orderBy("item_id", "text").collect()
-        index = spark.sparkContext.broadcast(build_index([(r["item_id"], r["text"]) for r in own]))
+        # about ``part`` segments, all of an item, come to the driver and are broadcast at a time
+        own = indexed.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k).orderBy("item_id", "sid").toLocalIterator()
+        cuts, weights = [], []
+        for r in own:
+            cuts.append((r["item_id"], r["words"], r["asked"], r["short"]))
+            weights.append({e["word"]: e["x"] for e in r["w"]})
+        index = spark.sparkContext.broadcast(build_index(cuts, weights))
 
         def query(b: pa.RecordBatch, index=index) -> pa.RecordBatch:
             ix, out = index.value, []
@@ -169,9 +277,12 @@ def _matches(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, pa
                 terms = np.fromiter(map(ix.vocab.get, words, repeat(0)), np.int64, len(words))
                 best: dict[int, tuple] = {}
                 for p, s, score in retrieve(ix, terms, threshold):
-                    sq, sa, ok = verify(ix, s, words[p * SEGMENT : (p + 2) * SEGMENT])
-                    if ok and (ix.items[s] not in best or score > best[ix.items[s]][3]):
-                        best[ix.items[s]] = (doc, ix.items[s], p * SEGMENT, score, sq, sa, own_hash)
+                    item = int(ix.items[s])
+                    if item in best and (-score, p) >= (-best[item][3], best[item][2] // SEGMENT):
+                        continue
+                    sq, sa, ok = verify(ix, s, terms[p * SEGMENT : (p + 2) * SEGMENT])
+                    if ok:
+                        best[item] = (doc, item, p * SEGMENT, score, sq, sa, own_hash)
                 out += best.values()
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.float64(), pa.int64())
             return pa.record_batch([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names=["doc_id", "item_id", "word_start", "score", "question_overlap", "answer_overlap", "text_hash"])

@@ -4,9 +4,13 @@ import base64
 import gzip
 import hashlib
 import json
+import math
 import random
+import tracemalloc
+from collections import Counter
 
 import numpy as np
+import pytest
 
 from docveil.llm import decontam, warc
 from docveil.llm.queries import op9_warc_derivatives, op10_benchmark_decontamination
@@ -68,26 +72,67 @@ def test_query9(spark, sf):
 # ---------------------------------------------------------------- decontamination
 
 
-def test_retrieval_is_exhaustive():
-    """Block-max bounds skip nothing that scores the threshold."""
+def plain_index(items):
+    """An index with BM25 weights in plain Python, and those weights."""
+    cuts = [(i, words, asked, False) for i, t in items for words, asked in decontam.segments_of(t)]
+    n, mean = len(cuts), sum(len(c[1]) for c in cuts) / max(1, len(cuts))
+    df = Counter(w for c in cuts for w in set(c[1]))
+    weights = []
+    for _, words, _, _ in cuts:
+        x = {w: math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * len(words) / mean)) for w, c in Counter(words).items()}
+        weights.append({w: v / sum(x.values()) for w, v in x.items()})
+    return decontam.build_index(cuts, weights), cuts, weights
+
+
+@pytest.mark.parametrize("at_once", [decontam.AT_ONCE, 40])
+def test_retrieval_is_exhaustive(monkeypatch, at_once):
+    """Pivots and block maxima skip nothing that scores the threshold."""
+    monkeypatch.setattr(decontam, "AT_ONCE", at_once)
     rng = random.Random(2)
-    items = [(k, " ".join(words(rng, rng.randint(8, 150), 300))) for k in range(90)]
-    ix = decontam.build_index(items)
+    ix, cuts, weights = plain_index([(k, " ".join(words(rng, rng.randint(8, 150), 300))) for k in range(90)])
+    n_found = 0
     for _ in range(60):
         doc = words(rng, rng.randint(1, 500), 300)
         if rng.random() < 0.7:
             at = rng.randint(0, len(doc))
-            doc[at:at] = rng.choice(items)[1].split()[: rng.randint(5, 100)]
+            doc[at:at] = rng.choice(cuts)[1][: rng.randint(5, 100)]
         terms = np.array([ix.vocab.get(w, 0) for w in doc], np.int64)
-        got = {(p, s): round(x, 6) for p, s, x in decontam.retrieve(ix, terms, 0.5)}
-        want = {}
-        for p in range(-(-len(doc) // decontam.SEGMENT)):
-            have = set(terms[p * decontam.SEGMENT : (p + 2) * decontam.SEGMENT].tolist()) - {0}
-            for s in range(len(ix.items)):
-                x = sum(ix.weights[k] for t in have for k in range(ix.offsets[t], ix.offsets[t + 1]) if ix.segments[k] == s)
-                if x >= 0.5 - 1e-9:
-                    want[p, s] = round(x, 6)
-        assert got == want
+        for threshold in (0.5, 0.35):
+            got = {(p, s): round(x, 6) for p, s, x in decontam.retrieve(ix, terms, threshold)}
+            want = {}
+            for p in range(-(-len(doc) // decontam.SEGMENT)):
+                have = set(doc[p * decontam.SEGMENT : (p + 2) * decontam.SEGMENT])
+                for s, w in enumerate(weights):
+                    if (x := sum(v for t, v in w.items() if t in have)) >= threshold - 1e-9:
+                        want[p, s] = round(x, 6)
+            assert got == want
+            n_found += len(got)
+    assert n_found > 100
+
+
+def test_weights_are_those_of_all_segments(spark):
+    rng = random.Random(5)
+    items = [(k, " ".join(words(rng, rng.randint(1, 200), 300))) for k in range(40)]
+    _, cuts, weights = plain_index(items)
+    cut = decontam.segments(spark.createDataFrame([*items, (99, None), (98, "")], "item_id long, text string"))
+    got = {(r.item_id, tuple(r.words)): {e["word"]: e["x"] for e in r.w} for r in cut.join(decontam.weighed(cut), "sid").collect()}
+    assert len(got) == len(cuts)
+    for (item, own, _, _), w in zip(cuts, weights, strict=True):
+        assert got[item, tuple(own)] == pytest.approx(w)
+
+
+def test_long_text_against_many_items():
+    """Memory stays far below a gigabyte for 200,000 words against 20,000 items that share their words."""
+    rng = random.Random(6)
+    ix, cuts, _ = plain_index([(k, " ".join(words(rng, 40, 20_000))) for k in range(20_000)])
+    doc = words(rng, 200_000, 20_000)
+    doc[777:777] = cuts[55][1]
+    terms = np.array([ix.vocab.get(w, 0) for w in doc], np.int64)
+    tracemalloc.start()
+    got = decontam.retrieve(ix, terms, decontam.THRESHOLD)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert {s for _, s, _ in got} == {55} and peak < 500e6
 
 
 def test_leaks_are_found_and_others_left(spark):
@@ -107,9 +152,9 @@ def test_leaks_are_found_and_others_left(spark):
             leaked.add((i, k))
         docs.append((i, " ".join(t), None, None))
     bench = spark.createDataFrame(items, "item_id long, text string")
-    for part in (decontam.PART, 10):
-        got = {(r.doc_id, r.item_id) for r in decontam.matches(make(spark, docs), bench, part=part).collect()}
-        assert got == leaked
+    rows = [sorted(decontam.matches(make(spark, docs), bench, part=part).collect()) for part in (decontam.PART, 10)]
+    assert {(r.doc_id, r.item_id) for r in rows[0]} == leaked
+    assert rows[0] == rows[1]  # down to the scores
     stay = decontam.decontaminated(make(spark, docs), bench)
     assert {r.doc_id for r in stay.collect()} == {i for i in range(120) if i % 4} and stay.columns == make(spark, docs).columns
 
