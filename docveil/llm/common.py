@@ -10,12 +10,8 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import shared_dir, stored  # noqa: F401
 
-#: Rows in one Arrow batch: with whole texts in them, this bounds a Python worker's memory.
-BATCH_ROWS = 1000
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -30,7 +26,7 @@ def remainder(doc_id: Column, n: int) -> Column:
 
 
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """Apply a function to each Arrow batch."""
+    """Apply a function to each Arrow batch; with whole texts these hold 64 MB (spark.sql.execution.arrow.maxBytesPerBatch) or one row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -39,6 +39,8 @@ from .common import id_and_text, map_batches, stored
 SEGMENT, BLOCK, PART = 64, 8, 50_000
 #: Entries of the index that are looked at together, about.
 AT_ONCE = 1_000_000
+#: Words that are queried together, about; a document is never divided.
+WORDS_AT_ONCE = 100_000
 MIN_WORDS = 6
 K1, B = 1.2, 0.75
 THRESHOLD = 0.5
@@ -137,38 +139,55 @@ def _sums(key: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return key[at], np.add.reduceat(x[order], at)
 
 
-def retrieve(index: Index, terms: np.ndarray, threshold: float) -> list[tuple[int, int, float]]:
-    """(half-window, segment, score) of all passages, two half-windows each, that score at least the threshold."""
+def retrieve(index: Index, terms: np.ndarray, lens: list[int], threshold: float) -> list[tuple[int, int, int, float]]:
+    """(document, half-window, segment, score) of all passages, two half-windows each, that score at least the threshold.
+
+    ``terms`` are the words of documents with these lengths, one after the other.
+    """
     if not len(terms) or not len(index.items):
         return []
-    half = np.arange(len(terms)) // SEGMENT
-    known = terms > 0
-    # each word belongs to the passage that its half-window starts and to the one that it ends; each term counts once in a passage
+    lens = np.array(lens, np.int64)
+    halves = -(-lens // SEGMENT)
+    doc, half = _spread(np.zeros(len(lens), np.int64), halves)
+    start = (np.cumsum(lens) - lens)[doc] + half * SEGMENT
+    # each half-window starts a passage and, but for a document's first one, ends the one before
+    ends = half > 0
+    most = np.add.reduceat(index.most[terms], start)
+    both = most.copy()
+    both[:-1] += np.where(ends[1:], most[1:], 0)
+    # a term may count twice here; where this reaches the threshold, terms are counted once
+    able = np.flatnonzero(both >= threshold - 1e-9)
+    if not len(able):
+        return []
+    stop = np.append(start[1:], len(terms))
+    stop = np.where(np.append(ends[1:], False), np.append(stop[1:], len(terms)), stop)
+    of, word = _spread(start[able], stop[able])
+    known = terms[word] > 0
     width = len(index.most)
-    key = np.unique(np.concatenate([half[known] * width + terms[known], (half[known & (half > 0)] - 1) * width + terms[known & (half > 0)]]))
+    key = np.unique(of[known] * width + terms[word[known]])
     passage, term = key // width, key % width
     order = np.lexsort((index.most[term], passage))
     passage, term = passage[order], term[order]
-    start = np.flatnonzero(np.append(True, passage[1:] != passage[:-1])) if len(passage) else np.zeros(0, np.int64)
+    start = np.flatnonzero(np.append(True, passage[1:] != passage[:-1]))
     size = np.diff(np.append(start, len(passage)))
     sums = np.cumsum(index.most[term])
     sums -= np.repeat(sums[start] - index.most[term[start]], size)
     pivoted = sums >= threshold - 1e-9
-    found: list[tuple[int, int, float]] = []
-    if not pivoted.any():
-        return found
     cost = np.add.reduceat(index.first[term + 1] - index.first[term], start)
     # passages with a pivot, in groups of about as many entries
     own = np.flatnonzero(np.add.reduceat(pivoted, start))
+    found: list[tuple[int, int, int, float]] = []
     for group in np.split(own, np.flatnonzero(np.diff(np.cumsum(cost[own]) // AT_ONCE)) + 1):
-        which, pair = _spread(start[group], start[group] + size[group])
-        found += _scored(index, passage[start[group]], which, term[pair], pivoted[pair], threshold)
+        if len(group):
+            which, pair = _spread(start[group], start[group] + size[group])
+            at = able[passage[start[group]]]
+            found += [(int(doc[at[p]]), int(half[at[p]]), s, x) for p, s, x in _scored(index, len(group), which, term[pair], pivoted[pair], threshold)]
     return found
 
 
-def _scored(index: Index, passages: np.ndarray, which: np.ndarray, term: np.ndarray, pivoted: np.ndarray, threshold: float) -> list[tuple[int, int, float]]:
-    """retrieve() for passages whose terms are (which passage, term, whether from the pivot on)."""
-    n_blocks, n = len(index.items) // BLOCK + 1, len(passages)
+def _scored(index: Index, n: int, which: np.ndarray, term: np.ndarray, pivoted: np.ndarray, threshold: float) -> list[tuple[int, int, float]]:
+    """(passage, segment, score) for n passages whose terms are (which passage, term, whether from the pivot on)."""
+    n_blocks = len(index.items) // BLOCK + 1
     before = np.bincount(which[~pivoted], index.most[term[~pivoted]], n)
     pair, entry = _spread(index.first[term[pivoted]], index.first[term[pivoted] + 1])
     at, bound = _sums(which[pivoted][pair] * n_blocks + index.blocks[entry], index.bounds[entry])
@@ -195,7 +214,7 @@ def _scored(index: Index, passages: np.ndarray, which: np.ndarray, term: np.ndar
     of, post = _spread(index.posts[entry], index.posts[entry + 1])
     key, score = _sums(own[cand[of]] * len(index.items) + index.segments[post], index.weights[post])
     hit = score >= threshold - 1e-9
-    return list(zip(passages[key[hit] // len(index.items)].tolist(), (key[hit] % len(index.items)).tolist(), score[hit].tolist(), strict=True))
+    return list(zip((key[hit] // len(index.items)).tolist(), (key[hit] % len(index.items)).tolist(), score[hit].tolist(), strict=True))
 
 
 def _entries(index: Index, term: np.ndarray, low: np.ndarray, high: np.ndarray, block: np.ndarray, n_blocks: int) -> tuple[np.ndarray, np.ndarray]:
@@ -272,18 +291,25 @@ def _matches(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, pa
 
         def query(b: pa.RecordBatch, index=index) -> pa.RecordBatch:
             ix, out = index.value, []
-            for doc, text, own_hash in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), b["text_hash"].to_pylist(), strict=True):
-                words = normal_words(text)
-                terms = np.fromiter(map(ix.vocab.get, words, repeat(0)), np.int64, len(words))
-                best: dict[int, tuple] = {}
-                for p, s, score in retrieve(ix, terms, threshold):
-                    item = int(ix.items[s])
-                    if item in best and (-score, p) >= (-best[item][3], best[item][2] // SEGMENT):
+            docs, hashes = b["doc_id"].to_pylist(), b["text_hash"].to_pylist()
+            lens, read, first = [], [], 0
+            for k, text in enumerate(b["text"]):
+                words = normal_words(text.as_py())
+                lens.append(len(words))
+                read.append(np.fromiter(map(ix.vocab.get, words, repeat(0)), np.int64, len(words)))
+                if sum(lens) < WORDS_AT_ONCE and k + 1 < b.num_rows:
+                    continue
+                terms = np.concatenate(read)
+                best: dict[tuple[int, int], tuple] = {}
+                for d, p, s, score in retrieve(ix, terms, lens, threshold):
+                    key = (d, int(ix.items[s]))
+                    if key in best and (-score, p) >= (-best[key][3], best[key][2] // SEGMENT):
                         continue
-                    sq, sa, ok = verify(ix, s, terms[p * SEGMENT : (p + 2) * SEGMENT])
+                    sq, sa, ok = verify(ix, s, read[d][p * SEGMENT : (p + 2) * SEGMENT])
                     if ok:
-                        best[item] = (doc, item, p * SEGMENT, score, sq, sa, own_hash)
+                        best[key] = (docs[first + d], key[1], p * SEGMENT, score, sq, sa, hashes[first + d])
                 out += best.values()
+                lens, read, first = [], [], k + 1
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.float64(), pa.int64())
             return pa.record_batch([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names=["doc_id", "item_id", "word_start", "score", "question_overlap", "answer_overlap", "text_hash"])
 
