@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.numbering import starts_clause
 from ..functions.text import margin_key, unaccent
 
 #: A page with fewer visible characters is read as a scan if it draws an image.
@@ -139,8 +140,6 @@ def gap_limit(gaps: Column) -> Column:
 
 def layout_paragraphs(page_line_rows: DataFrame, ocr: bool = False) -> DataFrame:
     """(doc_id, ord, text): paragraphs of documents from their lines, without margins.  A sentence may run on over a page break."""
-    from ..functions.text import CLAUSE_START
-
     n = Window.partitionBy("doc_id", "page_no")
     df = page_line_rows.withColumn("_edge", (F.col("line_no") <= 3) | (F.max("line_no").over(n) - F.col("line_no") < 3)).withColumn("_key", margin_key(F.col("text")))
     repeated = df.where("_edge").groupBy("doc_id", "_key").agg(F.count_distinct("page_no").alias("_in"))
@@ -154,7 +153,7 @@ def layout_paragraphs(page_line_rows: DataFrame, ocr: bool = False) -> DataFrame
     df = df.join(limits, ["doc_id", "page_no"])
     prev = lambda c: F.lag(c).over(d)
     df = df.select("*", prev("text").alias("_pt"), prev("h").alias("_ph"), prev("end").alias("_pe"))
-    clause = F.col("text").rlike(CLAUSE_START)
+    clause = starts_clause(F.col("text"))
     broken = F.col("_pt").rlike('[.:;!?»"]$') | clause
     taller = F.lit(False) if ocr else (F.col("h") > F.col("_ph") * 1.25) | (F.col("_ph") > F.col("h") * 1.25)
     apart = (F.col("_gap") > F.coalesce("_limit", F.lit(1e9))) | (F.col("_gap") < -2) | taller | (clause & (F.col("_pt").rlike("[.:;]$") | (F.col("_pe") < F.col("width") * 0.8)))

@@ -19,7 +19,7 @@ def name_of(path: Column) -> Column:
     return F.regexp_extract(path, "([^/\\\\]*)$", 1)
 
 
-def extension_of(path: Column) -> Column:
+def suffix_of(path: Column) -> Column:
     return F.lower(F.regexp_extract(name_of(path), "\\.([^.]*)$", 1))
 
 
@@ -29,7 +29,7 @@ def base_of(path: Column) -> Column:
 
 def kind_of(path: Column) -> Column:
     """pdf, imagen, word or texto by extension, null for others."""
-    e = extension_of(path)
+    e = suffix_of(path)
     out = None
     for kind, ext in KINDS.items():
         out = F.when(e.isin(ext), kind) if out is None else out.when(e.isin(ext), kind)

@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set, as in tests."""
+    """The folder that driver and executors share (spark.checkpoint.dir); in local mode a temporary one where none is set, as in tests."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         jsc = spark.sparkContext._jsc.sc()
         d = jsc.getCheckpointDir().get() if jsc.getCheckpointDir().isDefined() else None
+    if not d and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not d:
         d = "file://" + tempfile.mkdtemp(prefix="docveil-")
         spark.conf.set("spark.checkpoint.dir", d)

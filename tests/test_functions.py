@@ -26,6 +26,27 @@ def test_paragraph_key(spark, raw, key):
     assert col(spark, [raw], text.paragraph_key) == [key] == [python_key(raw)]
 
 
+NUMBERED = {
+    "1. Uno": ("Uno", True), "1.2.3 - Dos": ("Dos", True), "12) tres": ("tres", True), "3.ª Renta": ("Renta", True), "4º. Pago": ("Pago", True), "5 º\tcinco": ("cinco", False),
+    "PRIMERO.- Objeto": ("Objeto", True), "Décima segunda: plazo": ("plazo", True), "decimoquinto. fin": ("fin", True), "Vigésimo primera.- Fuero": ("Fuero", True), "tercer. x": ("x", True),
+    "XIV - Anexos": ("Anexos", True), "iv) cuatro": ("cuatro", True), "xcix: alto": ("alto", True), "IIII. mal": ("IIII. mal", False), "vx. mal": ("vx. mal", False),
+    "Cláusula 3: precio": ("precio", True), "CLAUSULA TERCERA.- Renta": ("Renta", True), "Art. 5. Pago": ("Pago", True), "artículo XII: doce": ("doce", True), "Anexo IV. Planos": ("Planos", True), "Sección primera - Normas": ("Normas", True), "Punto final. Nada": ("Punto final. Nada", False),
+    "b) Que": ("Que", False), "ñ. Eñe": ("Eñe", False), "z: no": ("z: no", False), "a)": ("a)", False), "Renta. Pago": ("Renta. Pago", False), "1.250 euros": ("1.250 euros", True), "12 de mayo": ("12 de mayo", False), "1.": ("1.", True), "": ("", False), "   2.  sangrado": ("sangrado", True), "Segunda mano. Nada": ("Segunda mano. Nada", False),
+}
+
+
+def test_numbering(spark):
+    """Columns and plain Python read numbers alike; what is left, and whether a clause starts."""
+    from docveil.functions import numbering
+    from docveil.operators.compare import without_number
+
+    raw = list(NUMBERED)
+    assert [without_number(s) for s in raw] == [w for w, _ in NUMBERED.values()]
+    assert [bool(numbering.clause_mark(s)) for s in raw] == [c for _, c in NUMBERED.values()]
+    assert col(spark, raw, numbering.without_number) == [w for w, _ in NUMBERED.values()]
+    assert col(spark, raw, numbering.starts_clause) == [c for _, c in NUMBERED.values()]
+
+
 def test_dice(spark):
     df = spark.createDataFrame([("uno dos tres dos", "dos dos cuatro uno"), ("a b", "uno")], "a string, b string")
     got = [r[0] for r in df.select(text.dice(text.dice_words(F.col("a")), text.dice_words(F.col("b")))).collect()]
