@@ -46,7 +46,7 @@ WORDS, CHECK = 6, 16
 #: Fingerprints of one anchor that a task compares at most with as many others.
 GROUP = 1_000_000
 #: Shingles that a task compares at most with as many others, about.
-PART = 1_000_000
+PART = 100_000
 _MASK = (1 << BLOCK) - 1
 
 
@@ -156,25 +156,40 @@ def _halves(fp: Column) -> list[Column]:
     return [fp.bitwiseAND(F.lit(_MASK)), F.shiftright(fp, BLOCK).bitwiseAND(F.lit(_MASK))]
 
 
-def absorb(f: np.ndarray, near: int = NEAR) -> list[tuple[int, int]]:
-    """Links, by positions in f (unsigned), that join what is joined by differences of at most ``near`` bits: at most len(f) - 1."""
+def absorb(f: np.ndarray, near: int = NEAR, label: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links, by positions in f (unsigned), that join what is joined by differences of at most ``near`` bits: at most len(f) - 1.
+
+    Equal labels are joined already.
+    """
     links = []
     at, left = np.arange(len(f)), f
+
+    def take(hit: np.ndarray) -> list[int]:
+        nonlocal at, left
+        got = at[hit].tolist()
+        at, left = at[~hit], left[~hit]
+        return got
+
     while len(left) > 1:
-        todo, at, left = [at[0]], at[1:], left[1:]
+        todo = take(label[at] == label[at[0]]) if label is not None else take(np.arange(len(at)) == 0)
         while todo and len(left):
             x = todo.pop()
             hit = np.bitwise_count(left ^ f[x]) <= near
-            if hit.any():
-                got = at[hit].tolist()
-                at, left = at[~hit], left[~hit]
-                links += [(int(x), y) for y in got]
-                todo += got
+            if not hit.any():
+                continue
+            if label is None:
+                got = take(hit)
+                links += [(x, y) for y in got]
+            else:
+                found, first = np.unique(label[at[hit]], return_index=True)
+                links += [(x, int(y)) for y in at[hit][first]]
+                got = take(np.isin(label[at], found))
+            todo += got
     return links
 
 
-def links_of(key: np.ndarray, node: np.ndarray, f: np.ndarray, near: int = NEAR, small: int = 12) -> np.ndarray:
-    """[links, 2] of nodes, in whole groups of equal keys, sorted by key.  All pairs of small groups are tried, larger ones absorbed."""
+def links_of(key: np.ndarray, f: np.ndarray, near: int = NEAR, label: np.ndarray | None = None, small: int = 12) -> np.ndarray:
+    """[links, 2] of positions, in whole groups of equal keys, sorted by key.  All pairs of small groups are tried, larger ones absorbed."""
     out = [np.zeros((0, 2), np.int64)]
     first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
     size = np.diff(np.append(first, len(key)))
@@ -184,18 +199,21 @@ def links_of(key: np.ndarray, node: np.ndarray, f: np.ndarray, near: int = NEAR,
         if not len(i):
             break
         i = i[np.bitwise_count(f[i] ^ f[i + shift]) <= near]
-        out.append(np.stack([node[i], node[i + shift]], 1))
+        i = i if label is None else i[label[i] != label[i + shift]]
+        out.append(np.stack([i, i + shift], 1))
     for g in np.flatnonzero(size > small):
-        links = absorb(f[first[g] : first[g] + size[g]], near)
-        out.append(node[first[g] + np.array(links, np.int64).reshape(-1, 2)])
-    return np.unique(np.sort(np.concatenate(out), 1), axis=0)
+        part = slice(first[g], first[g] + size[g])
+        links = absorb(f[part], near, None if label is None else label[part])
+        out.append(first[g] + np.array(links, np.int64).reshape(-1, 2))
+    return np.concatenate(out)
 
 
-def linked(points: DataFrame, halves: list[Column], t: int, near: int, carried: tuple[str, ...] = ("node",), group: int = GROUP) -> DataFrame:
-    """(src, dst): links between nodes that meet at an anchor of some block and have at most ``near`` differing bits.
+def linked(points: DataFrame, halves: list[Column], t: int, near: int, check: str = "node", label: str | None = None, group: int = GROUP) -> DataFrame:
+    """(src, dst): links between nodes that meet at an anchor of some block and have at most ``near`` differing bits in ``check``.
 
-    Bits are compared in the last of the ``carried`` columns of points.  The links have the same components as all such pairs.
+    They have the same components as all such pairs; nodes of one label are joined already, and two labels get one link.
     """
+    carried = list(dict.fromkeys(["node", check] + ([label] if label else [])))
     blocks = points.select(*carried, F.posexplode(F.array(*halves)).alias("block", "half"))
     dealt = blocks.select(*carried, F.explode(anchors_of(F.col("half"), F.col("block"), 2 * t)).alias("key"))
     # halves within reach of an anchor: it can hold more than ``group`` only if one of these has over a share of that many
@@ -207,32 +225,40 @@ def linked(points: DataFrame, halves: list[Column], t: int, near: int, carried:
         own = F.pmod(F.xxhash64("node"), F.col("n")).cast("int")
         pairs = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.xxhash64("key", F.least(i, own), F.greatest(i, own)))
         dealt = dealt.join(parts, "key", "left").select(*carried, F.explode(F.when(F.col("n").isNull(), F.array("key")).otherwise(pairs)).alias("key"))
+    names = ["src", "dst"] + (["ls", "ld"] if label else [])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, nodes, fs, n = [], [], [], 0
+        held: list[list[np.ndarray]] = []
+        n = 0
 
         def flush(last: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal keys, nodes, fs, n
-            key, node, f = np.concatenate(keys), np.concatenate(nodes), np.concatenate(fs)
+            nonlocal held, n
+            key, node, f, own = (np.concatenate(c) for c in zip(*held, strict=True))
             cut = len(key) if last else int(np.searchsorted(key, key[-1]))  # the last group may go on
-            if cut and len(links := links_of(key[:cut], node[:cut], f[:cut].view(np.uint64), near)):
-                for at in range(0, len(links), 10_000):
-                    yield pa.record_batch([pa.array(links[at : at + 10_000, k]) for k in (0, 1)], names=["src", "dst"])
-            keys, nodes, fs = [key[cut:]], [node[cut:]], [f[cut:]]
+            i = links_of(key[:cut], f[:cut].view(np.uint64), near, own[:cut] if label else None)
+            # sorted by label, or by node: each two once
+            i = np.where((own[i[:, :1]] > own[i[:, 1:]]), i[:, ::-1], i)
+            ends = own[i]
+            _, one = np.unique(ends, axis=0, return_index=True)
+            cols = [node[i[one, 0]], node[i[one, 1]]] + ([ends[one, 0], ends[one, 1]] if label else [])
+            for at in range(0, len(one), 10_000):
+                yield pa.record_batch([pa.array(c[at : at + 10_000]) for c in cols], names=names)
+            held = [[key[cut:], node[cut:], f[cut:], own[cut:]]]
             n = 0
 
         for b in batches:
-            keys.append(b["key"].to_numpy())
-            nodes.append(b["node"].to_numpy())
-            fs.append(b[carried[-1]].to_numpy())
+            held.append([b[c].to_numpy() for c in ("key", "node", check, label or "node")])
             n += b.num_rows
             if n >= 200_000:
                 yield from flush(False)
-        if keys:
+        if held:
             yield from flush(True)
 
     parted = dealt.repartition("key").sortWithinPartitions("key", "node")
-    return parted.select("key", *carried).mapInArrow(compare, "src long, dst long").distinct()
+    links = parted.select("key", *carried).mapInArrow(compare, ", ".join(f"{c} long" for c in names))
+    if not label:
+        return links.distinct()
+    return links.groupBy("ls", "ld").agg(F.min(F.struct("src", "dst")).alias("l")).select("l.src", "l.dst")
 
 
 def near_links(fps: DataFrame, near: int = NEAR, group: int = GROUP) -> DataFrame:
@@ -376,7 +402,11 @@ def alike(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, group: int
     nodes = read.groupBy("node").agg(_smallest(), F.min(_row(F.col("text_hash"))).alias("row"), F.first("f").alias("f"))
     nodes = stored(nodes.select("node", F.col("r.doc_id").alias("rep"), F.col("r.text_hash").alias("rep_hash"), "row", "f", F.get("f", F.lit(0)).alias("check")), "nodes")
     halves = [h for k in range(WORDS) for h in _halves(F.get("f", F.lit(k)))]
-    links = stored(linked(nodes, halves, 2, CHECK, ("node", "check"), group), "links")
+    # the nearest anchors of the first word join most of a group by few links; all anchors then join what is still apart
+    close = stored(linked(nodes, halves[:2], 0, CHECK, "check", group=group), "close")
+    named = nodes.join(components(close, "close-components"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    links = linked(named, halves, 2, CHECK, "check", "label", group)
+    links = stored(links.unionByName(close), "links")
     has = shingles_of(links, nodes.select("node", "check", "row"), docs, shingle)
     kept = stored(verified(links, has, similarity), "verified-links")
     links = kept.unionByName(unspanned(links, kept, has, CHECK, similarity))
