@@ -7,7 +7,7 @@
     piece is replaced by two unpacked ones that fill the widened gap better.  A bucket holds a count
     for each length, so it needs memory for its own rows only, and equal bins are made in one step.
     Each bucket leaves at most a few bins partly filled, among thousands.
-3.  ``sequences`` joins plan and pieces into the packed id arrays.
+3.  ``sequences`` puts packed pieces that carry their ids together into the packed id arrays.
 
 Defined results: a null or empty text is the separator alone; repeated rows are packed as often as they
 come; an empty table gives no rows; a null id is packed like any other.
@@ -15,6 +15,7 @@ come; an empty table gives no rows; a null id is packed like any other.
 
 from __future__ import annotations
 
+import json
 import re
 import sys
 from array import array
@@ -35,6 +36,7 @@ BUCKET = 32768
 REMEMBERED = 500_000
 
 _state: dict[str, list] = {}
+_word_by_word: dict[str, bool] = {}
 _LETTERS = re.compile(r"[a-zß-öø-ÿ]+")
 #: Byte-level characters of the bytes that aren't printable in Latin-1; all others stand for themselves.
 _BYTES = {b: 256 + k for k, b in enumerate([*range(33), *range(127, 161), 173])}
@@ -49,10 +51,21 @@ def _encoder(path: str) -> list:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _state[path] = [Tokenizer.from_file(path), {}, {}]
+        tok = Tokenizer.from_file(path)
+        _state[path] = [tok, {}, {}]
+        _word_by_word[path] = word_by_word(json.loads(tok.to_str()))
     return _state[path]
 
 
+def word_by_word(tokenizer: dict) -> bool:
+    """Whether a tokenizer lowers letters, drops white space and ends words, so that a text's ids are those of its words."""
+    steps = lambda part: (part or {}).get("normalizers") or (part or {}).get("pretokenizers") or [part or {}]
+    lowers = any(n.get("type") == "Lowercase" for n in steps(tokenizer["normalizer"]))
+    first = steps(tokenizer["pre_tokenizer"])[0]
+    drops = first.get("type") == "Split" and first.get("behavior") == "Removed" and bool(first.get("invert"))
+    return lowers and drops and bool(tokenizer["model"].get("end_of_word_suffix"))
+
+
 def _ids(ids: list[int]) -> bytes:
     out = array("I", ids)
     if sys.byteorder == "big":
@@ -77,8 +90,10 @@ def _split(text: str) -> list[str]:
 
 
 def encode_texts(texts: list[str], path: str) -> list[bytes]:
-    """Ids of each text, four bytes each.  Each word is encoded once for as long as it is remembered."""
+    """Ids of each text, four bytes each.  Each word is encoded once for as long as it is remembered; other tokenizers get whole texts."""
     state = _encoder(path)
+    if not _word_by_word[path]:
+        return [_ids(state[0].encode(t, add_special_tokens=False).ids) for t in texts]
     split = [_split(t) for t in texts]
     need = set().union(*split)
     if len(state[1]) + len(need) > REMEMBERED and state[1]:
@@ -217,7 +232,7 @@ def pack_pieces(pieces: DataFrame, n_pieces: int, limit: int = LIMIT, bucket: in
         part["offset"] = off
         return part
 
-    dealt = pieces.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).cast("int"))
+    dealt = pieces.withColumn("_bucket", F.pmod(F.xxhash64(*[c for c in pieces.columns if c != "ids"]), F.lit(buckets)).cast("int"))
     return dealt.groupBy("_bucket").applyInPandas(pack, schema)
 
 
@@ -227,10 +242,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, limit: int = LIMIT, bucket:
     return pack_pieces(pieces, docs.count(), limit, bucket)
 
 
-def sequences(pieces: DataFrame, plan: DataFrame) -> DataFrame:
-    """(sequence_id, ids): the packed id arrays, from the pieces with ids and their plan."""
-    key = ["doc_id", "piece"]
-    laid = plan.select(*key, "sequence_id", "offset").join(pieces.select(*key, "ids"), key)
+def sequences(packed: DataFrame) -> DataFrame:
+    """(sequence_id, ids): the packed id arrays, from packed pieces with a column ids.  Each row is placed by itself, whatever its id."""
     in_order = F.sort_array(F.collect_list(F.struct("offset", "ids")))
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,4 +251,4 @@ def sequences(pieces: DataFrame, plan: DataFrame) -> DataFrame:
             ids = [np.frombuffer(b"".join(p["ids"] for p in parts), "<u4").astype(np.int32) for parts in b["parts"].to_pylist()]
             yield pa.record_batch([b["sequence_id"], pa.array(ids, pa.list_(pa.int32()))], names=["sequence_id", "ids"])
 
-    return laid.groupBy("sequence_id").agg(in_order.alias("parts")).mapInArrow(unpack, "sequence_id long, ids array<int>")
+    return packed.groupBy("sequence_id").agg(in_order.alias("parts")).mapInArrow(unpack, "sequence_id long, ids array<int>")

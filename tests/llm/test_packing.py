@@ -103,12 +103,32 @@ def test_documents(spark, odd):
 def test_sequences_hold_the_ids(spark):
     docs = spark.createDataFrame([(k, "uno dos tres " * (k * 40 + 1)) for k in range(12)], "doc_id long, text string")
     pieces = packing.tokenize_pieces(docs, PATH)
-    plan = packing.pack_pieces(pieces.drop("ids"), 12)
-    whole = {r.sequence_id: r.ids for r in packing.sequences(pieces, plan).collect()}
+    plan = packing.pack_pieces(pieces, 12)
+    whole = {r.sequence_id: r.ids for r in packing.sequences(plan).collect()}
     for r in plan.collect():
         text = "uno dos tres " * (r.doc_id * 40 + 1)
         assert whole[r.sequence_id][r.offset : r.offset + r.length] == (ids_of(text) + [0])[r.start : r.start + r.length]
 
 
+def test_sequences_of_repeated_and_null_ids(spark):
+    """Nothing is lost or multiplied where ids don't tell rows apart."""
+    texts = ["uno", "uno", "dos tres cuatro", "cinco " * 3000, None]
+    docs = spark.createDataFrame([(i, t) for i in (7, None) for t in texts], "doc_id long, text string")
+    packed = packing.pack_pieces(packing.tokenize_pieces(docs, PATH), 10)
+    got = packing.sequences(packed).collect()
+    assert sum(len(r.ids) for r in got) == 2 * sum(len(ids_of(t or "")) + 1 for t in texts)
+    assert packed.count() == packing.tokenize_pieces(docs, PATH).count()
+
+
+def test_other_tokenizers_get_whole_texts():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = ["Hello  World, it's\n\nfine", " leading", "UPPER lower", ""]
+    tok = Tokenizer.from_file(path)
+    assert [np.frombuffer(b, "<u4").tolist() for b in packing.encode_texts(texts, path)] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_empty(spark, empty):
     assert packing.pack_documents(empty, PATH).count() == 0
