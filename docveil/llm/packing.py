@@ -26,6 +26,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import id_and_text, map_batches
 
@@ -222,7 +223,8 @@ def pack_pieces(pieces: DataFrame, n_pieces: int, limit: int = LIMIT, bucket: in
     ``n_pieces`` is their number, or that of their documents; it only sets how many buckets there are.
     """
     buckets = max(1, -(-n_pieces // bucket))
-    schema = pieces.schema.add("sequence_id", "long").add("offset", "long")
+    told = [c for c in pieces.columns if c != "ids"]
+    schema = StructType([*pieces.schema.fields, StructField("sequence_id", LongType()), StructField("offset", LongType())])
 
     def pack(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["doc_id", "piece"], kind="stable", ignore_index=True)
@@ -232,7 +234,7 @@ def pack_pieces(pieces: DataFrame, n_pieces: int, limit: int = LIMIT, bucket: in
         part["offset"] = off
         return part
 
-    dealt = pieces.withColumn("_bucket", F.pmod(F.xxhash64(*[c for c in pieces.columns if c != "ids"]), F.lit(buckets)).cast("int"))
+    dealt = pieces.withColumn("_bucket", F.pmod(F.xxhash64(*told), F.lit(buckets)).cast("int"))
     return dealt.groupBy("_bucket").applyInPandas(pack, schema)
 
 
