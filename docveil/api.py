@@ -39,9 +39,18 @@ def analyze(docs: DataFrame, options: Options | None = None, show: bool = False)
     return out
 
 
+def counts_of(found: DataFrame) -> DataFrame:
+    """(doc_id, total, doubtful) of documents with matches (doc_id, type, confidence)."""
+    return found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("confidence") != "alta").alias("doubtful"))
+
+
 def totals(docs: DataFrame, options: Options | None = None) -> DataFrame:
     """(type, n, docs) over all documents, with a row of grand totals (type null)."""
-    return matches(docs, options).rollup("type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("docs"))
+    return totals_of(matches(docs, options))
+
+
+def totals_of(found: DataFrame) -> DataFrame:
+    return found.rollup("type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("docs"))
 
 
 def _cover(m: Column, style: str) -> Column:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import api
 from ..functions import checks
 from ..functions.mask import counted, masked
 from ..functions.text import dice, dice_words, entity_key, lookalike, name_tokens, paragraph_key, readable_size, unaccent
@@ -148,22 +150,21 @@ def custom_terms(spark, d):
     return m.where("type = 'personalizado'").select("doc_id", "start", F.col("end").alias("stop"))
 
 
-@query("SELECT c_custkey AS doc_id, (c_custkey % 3 = 0 AND c_custkey % 40 <= 39) AS near FROM customer")
+@query("SELECT c_custkey AS doc_id, (c_custkey % 3 = 0 AND c_custkey % 60 <= 36) AS near FROM customer")
 def hint_window(spark, d):
-    """A hint counts as a word of its own within the window only."""
+    """A hint counts as a word of its own and within the 40 characters before only: up to 36 dots after "cif "."""
     from ..functions.text import hinted
 
     pre = F.when(F.col("c_custkey") % 3 == 0, F.lit("cif ")).otherwise(F.lit("cifra "))
-    gap = F.repeat(F.lit("."), (F.col("c_custkey") % 36).cast("int"))
+    gap = F.repeat(F.lit("."), (F.col("c_custkey") % 60).cast("int"))
     docs = _read(spark, d, "customer").select(F.col("c_custkey").alias("doc_id"), F.concat(pre, gap, F.lit("B1")).alias("text"))
     return docs.select("doc_id", hinted(F.col("text"), F.length("text") - 2, ["CIF"], 40).alias("near"))
 
 
-@query(f"SELECT c_custkey AS doc_id, printf('%03X', CAST(c_custkey AS INT)) = printf('%03X', CAST(c_custkey AS INT)) AS same FROM customer")
+@query("WITH c AS (SELECT c_custkey AS doc_id, list_transform(string_split(c_name, ''), lambda x: CAST(ascii(x) AS BIGINT)) AS codes FROM customer), h AS (SELECT doc_id, list_reduce(list_prepend(CAST(2166136261 AS BIGINT), codes), lambda a, x: (xor(a, x) * 16777619) & 4294967295) AS fnv, list_reduce(list_prepend(CAST(5381 AS BIGINT), codes), lambda a, x: (a * 33 + x) & 4294967295) AS s33 FROM c) SELECT doc_id, ((fnv >> 16) << 32) | ((fnv & 65535) << 16) | (s33 & 65535) AS fp FROM h")
 def fingerprint_stable(spark, d):
-    """48-bit fingerprints of keys are equal for equal keys and fit 48 bits."""
-    df = _read(spark, d, "customer").select(F.col("c_custkey").alias("doc_id"), checks.fingerprint48(F.col("c_name")).alias("a"), checks.fingerprint48(F.concat(F.col("c_name"), F.lit(""))).alias("b"))
-    return df.select("doc_id", ((F.col("a") == F.col("b")) & (F.col("a") >= 0) & (F.col("a") < 1 << 48)).alias("same"))
+    """48-bit fingerprints of keys."""
+    return _read(spark, d, "customer").select(F.col("c_custkey").alias("doc_id"), checks.fingerprint48(F.col("c_name")).alias("fp"))
 
 
 # ---------------------------------------------------------------- aggregations
@@ -175,14 +176,14 @@ def _spans(spark, d):
     return fixture(spark, d, "spans").withColumnRenamed("end_", "end")
 
 
-@query(_spans_cte + "SELECT doc_id % 100 AS bucket, type, CAST(count(*) AS BIGINT) AS n FROM s GROUP BY ROLLUP (doc_id % 100, type)")
+@query(_spans_cte + "SELECT type, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT doc_id) AS BIGINT) AS docs FROM s GROUP BY ROLLUP (type)")
 def counts_rollup(spark, d):
-    return _spans(spark, d).rollup((F.col("doc_id") % 100).alias("bucket"), "type").agg(F.count(F.lit(1)).alias("n"))
+    return api.totals_of(_spans(spark, d))
 
 
 @query(_spans_cte + "SELECT doc_id, CAST(count(*) FILTER (confidence <> 'alta') AS BIGINT) AS doubtful, CAST(count(*) AS BIGINT) AS total FROM s GROUP BY doc_id")
 def doubtful_count(spark, d):
-    return _spans(spark, d).groupBy("doc_id").agg(F.count_if(F.col("confidence") != "alta").alias("doubtful"), F.count(F.lit(1)).alias("total"))
+    return api.counts_of(_spans(spark, d)).select("doc_id", "doubtful", "total")
 
 
 @query(_spans_cte + "SELECT type, CAST(count(*) FILTER (confidence='alta') AS BIGINT) AS alta, CAST(count(*) FILTER (confidence='media') AS BIGINT) AS media, CAST(count(*) FILTER (confidence='baja') AS BIGINT) AS baja FROM s GROUP BY type")
@@ -373,12 +374,17 @@ def para_keys(spark, d):
     return fixture(spark, d, "clauses").select("doc_id", paragraph_key(F.col("text")).alias("key"))
 
 
-@query("SELECT lower(o_orderpriority) AS v, CAST(count(*) FILTER (o_orderkey % 3 = 0) - count(*) FILTER (o_orderkey % 3 = 1) AS BIGINT) AS n FROM orders GROUP BY 1 HAVING count(*) FILTER (o_orderkey % 3 = 0) > count(*) FILTER (o_orderkey % 3 = 1)")
+@query("WITH n AS (SELECT o_custkey AS id, lower(o_orderpriority) AS v, count(*) FILTER (o_orderkey % 2 = 0) - count(*) FILTER (o_orderkey % 2 = 1) AS n FROM orders GROUP BY 1, 2) SELECT id, v, CAST(n AS BIGINT) AS n FROM n WHERE n > 0")
 def multiset_except(spark, d):
-    """What is in one list and not in the other, repeats counted."""
-    o = _read(spark, d, "orders").select("o_orderkey", F.lower("o_orderpriority").alias("v"))
-    left = o.where("o_orderkey % 3 = 0").select("v").exceptAll(o.where("o_orderkey % 3 = 1").select("v"))
-    return left.groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+    """What is in one list of a customer and not in the other, repeats counted, case left aside."""
+
+    @F.pandas_udf("array<string>")
+    def left(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([cmp.except_all(list(x), list(y)) for x, y in zip(a, b, strict=True)])
+
+    even = F.col("o_orderkey") % 2 == 0
+    lists = _read(spark, d, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.collect_list(F.when(even, F.col("o_orderpriority"))).alias("a"), F.collect_list(F.when(~even, F.lower("o_orderpriority"))).alias("b"))
+    return lists.select("id", F.explode(left("a", "b")).alias("v")).groupBy("id", F.lower("v").alias("v")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT DISTINCT o_custkey AS v FROM orders WHERE o_orderkey % 2 = 0 INTERSECT SELECT o_custkey FROM orders WHERE o_orderkey % 2 = 1")
@@ -419,27 +425,42 @@ def important_changes(spark, d):
     return out.select("doc_id", "i.label", "i.before", "i.after")
 
 
-@query("WITH p AS (SELECT l_orderkey AS doc_id, l_linenumber AS ord, CASE WHEN l_linenumber % 3 = 1 THEN 'C' || CAST(l_linenumber AS VARCHAR) END AS title FROM lineitem) SELECT doc_id, ord, last_value(title IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY ord ROWS UNBOUNDED PRECEDING) AS clause FROM p")
+@query("WITH p AS (SELECT doc_id, CAST(unnest(range(1, n + 1)) AS INT) AS ord FROM (SELECT l_orderkey AS doc_id, count(*) AS n FROM lineitem GROUP BY 1) c), q AS (SELECT doc_id, ord, ord - (ord - 1) % 3 AS t FROM p) SELECT doc_id, ord, t || '. Renta' || CASE WHEN ord > t THEN ' (párrafo ' || (ord - t + 1) || ')' ELSE '' END AS clause FROM q")
 def clause_context(spark, d):
-    """The last title above carried to each paragraph."""
-    p = _read(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("ord"))
-    title = F.when(F.col("ord") % 3 == 1, F.concat(F.lit("C"), F.col("ord").cast("string")))
-    w = Window.partitionBy("doc_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
-    return p.select("doc_id", "ord", F.last(title, ignorenulls=True).over(w).alias("clause"))
+    """The clause that each paragraph belongs to: the last one that started.  An order's lines stand for paragraphs, each third with a title."""
+
+    @F.pandas_udf("array<string>")
+    def places(ps: pd.Series) -> pd.Series:
+        return ps.map(lambda x: cmp.locations(list(x)))
+
+    n = _read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.count(F.lit(1)).cast("int").alias("n"))
+    text = lambda k: F.when(k % 3 == 1, F.concat(k.cast("string"), F.lit(". Renta. Se paga al mes."))).otherwise(F.lit("Se paga al mes."))
+    lines = n.select("doc_id", F.transform(F.sequence(F.lit(1), F.col("n")), text).alias("p"))
+    said = lines.select("doc_id", F.posexplode(places("p")).alias("pos", "clause"))
+    return said.select("doc_id", (F.col("pos") + 1).alias("ord"), "clause")
 
 
-@query("WITH c AS (SELECT doc_id, len(regexp_extract_all(strip_accents(lower(text)), '\\bthe\\b')) AS a, len(regexp_extract_all(strip_accents(lower(text || ' the')), '\\bthe\\b')) AS b FROM documents) SELECT doc_id, CAST(a AS INT) AS before, CAST(b AS INT) AS after FROM c WHERE b > a")
+@query("WITH c AS (SELECT doc_id, len(regexp_extract_all(strip_accents(lower(text)), '\\bfianzas?\\b')) AS a, len(regexp_extract_all(strip_accents(lower(text || CASE WHEN doc_id % 3 = 0 THEN ' la fianza, dos FIANZAS' ELSE ' afianzar' END)), '\\bfianzas?\\b')) AS b FROM documents) SELECT doc_id, CAST(a AS INT) AS before, CAST(b AS INT) AS after FROM c WHERE b > a")
 def sensitive_increase(spark, d):
-    """A word counts only where its frequency rises."""
+    """A delicate word counts only where its frequency rises."""
+
+    @F.pandas_udf("int")
+    def bonds(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: cmp.delicate_words(t).get("fianza", 0)).astype("int32")
+
     docs = _read(spark, d, "documents")
-    n = lambda t: F.regexp_count(F.lower(unaccent(t)), F.lit("\\bthe\\b"))
-    return docs.select("doc_id", n(F.col("text")).alias("before"), n(F.concat("text", F.lit(" the"))).alias("after")).where("after > before")
+    more = F.concat("text", F.when(F.col("doc_id") % 3 == 0, F.lit(" la fianza, dos FIANZAS")).otherwise(F.lit(" afianzar")))
+    return docs.select("doc_id", bonds("text").alias("before"), bonds(more).alias("after")).where("after > before")
 
 
 @query("SELECT n_nationkey AS id, CAST(levenshtein(lower(n_name), lower(r_name)) AS INT) AS dist, translate(lower(n_name), 'l|!ioqszb', '111100528') AS folded FROM nation JOIN region ON n_regionkey = r_regionkey")
 def level_distance(spark, d):
+    @F.pandas_udf("int")
+    def distance(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([cmp.levenshtein(x, y) for x, y in zip(a, b, strict=True)], dtype="int32")
+
     j = _read(spark, d, "nation").join(_read(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    return j.select(F.col("n_nationkey").alias("id"), F.levenshtein(F.lower("n_name"), F.lower("r_name")).alias("dist"), lookalike(F.col("n_name")).alias("folded"))
+    return j.select(F.col("n_nationkey").alias("id"), distance(F.lower("n_name"), F.lower("r_name")).alias("dist"), lookalike(F.col("n_name")).alias("folded"))
 
 
 # ---------------------------------------------------------------- pages, files, geometry

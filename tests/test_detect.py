@@ -162,3 +162,18 @@ def test_iban_generated(n):
     bban = f"21000418{n % 100:02}{n * 7919 % 10**10:010}"
     check = 98 - int(bban + "142800") % 97
     assert [f[1] for f in seq.ibans(f"x ES{check:02}{bban} y")] == [f"ES{check:02}{bban}"]
+
+
+def test_addresses_in_windows(monkeypatch):
+    """Results don't depend on where windows are cut, and long awkward texts need no timer."""
+    from docveil.operators import sequential
+
+    text = ("Vive en la Calle Mayor, 3, 2.º B, 28013 Madrid y trabaja en Avda. de América 12. " + "nada de nada " * 30) * 6
+    whole = sequential.addresses(text)
+    assert len({v for _, v, *_ in whole}) >= 2
+    for window in (37, 200, 100_000):
+        monkeypatch.setattr(sequential, "WINDOW", window)
+        assert sequential.addresses(text) == whole
+    monkeypatch.undo()
+    for hostile in ("calle " * 8000, "Calle de la " * 4000, "sito en Calle A, nº 1, 2º, " * 2000, "Aa Bb Cc Dd, " * 4000, "\n" * 20_000, "a" * 50_000):
+        sequential.addresses(hostile)
