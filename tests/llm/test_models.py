@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from docveil.llm import langid, lm, pii, quality
 from docveil.llm.common import words_of
@@ -142,8 +143,8 @@ def test_model_uses_context():
     counts = c["counts"]
     n, v = np.zeros(lm.CLASSES), np.zeros(lm.CLASSES)
     for w, k in zip(c["words"], counts.tolist(), strict=True):
-        n[zlib.crc32(w) % lm.CLASSES] += k
-        v[zlib.crc32(w) % lm.CLASSES] += 1
+        n[lm.word_hash(w) % lm.CLASSES] += k
+        v[lm.word_hash(w) % lm.CLASSES] += 1
     w = lm.start_weights(n)
     seen = np.full_like(w, 0.1)
     h, _, lens = lm._tokens(c)
@@ -184,6 +185,80 @@ def test_gradient():
     assert lm.log_probability(w, f, t).sum() > before
 
 
+def two_tongues(rng, docs):
+    """Documents of words from one of two disjoint vocabularies: only the words before tell which."""
+    tongues = [["".join(rng.choice(letters) for _ in range(5)) for _ in range(300)] for letters in ("abcdefgh", "qrstuvwx")]
+    return [" ".join(rng.choices(tongues[k % 2], k=120)) for k in range(docs)]
+
+
+def test_word_hash_is_the_columns(spark):
+    words = ["", "a", "ab", "abc", "abcd", "größe", "дом", "語", " ", "x" * 5000]
+    got = spark.createDataFrame([(w,) for w in words], "word string").select(lm.word_hash_column(F.col("word"))).collect()
+    assert [r[0] for r in got] == [lm.word_hash(w.encode()) for w in words]
+
+
+def test_neighbours_count_within_documents():
+    texts = [(1, True, "a b a c"), (2, False, "a b b"), (3, True, ""), (4, True, "b a")]
+    c = lm.encode_chunk(texts)
+    top = [lm.word_hash(w) for w in (b"a", b"b", lm.END)]
+    classes = lm.hashed_classes(np.array(top))
+    near = np.array([top[1], top[0]])
+    want = np.zeros((3 + lm.ENDINGS, 2 * lm.NEAR))
+    unit = lambda w: int(classes.units(np.array([lm.word_hash(w)]))[0])
+    col = lambda w: {b"b": 0, b"a": 1}.get(w, lm.NEAR - 1)
+    for _, learn, text in texts:
+        ws = [*words_of(text), lm.END]
+        for x, y in zip(ws, ws[1:], strict=False):
+            want[unit(y), col(x)] += learn
+            want[unit(x), lm.NEAR + col(y)] += learn
+    np.testing.assert_array_equal(lm.neighbours(c, classes, near), want)
+
+
+def test_learned_classes_tell_tongues_apart(spark):
+    """One of two vocabularies is worth a bit a word less what the model has to learn; hashed classes can't have most of it."""
+    rows = [(i, t, None, None) for i, t in enumerate(two_tongues(random.Random(4), 900))]
+    got = [r for r in lm.scores(make(spark, rows), chunk=20_000).collect() if r.held_out]
+    tokens = sum(r.n_tokens for r in got)
+    assert len(got) > 20 and sum(r.score - r.base_score for r in got) / tokens > 0.6 * math.log10(2)
+
+
+def test_class_counts(spark):
+    rng = random.Random(3)
+    rows = [(f"w{rng.randrange(400)}" + rng.choice(["ing", "ed", "ñ"]), rng.randrange(1, 50)) for _ in range(500)]
+    c = {}
+    for w, k in rows:
+        c[w] = c.get(w, 0) + k
+    words = spark.createDataFrame(list(c.items()), "word string, c long")
+    top = [h for h, _ in lm.frequent(words, 40)]
+    classes = lm.Classes(np.sort(np.array(top)), np.arange(40) % lm.CLASSES, np.arange(lm.ENDINGS) % lm.CLASSES)
+    n, v = np.zeros(lm.CLASSES), np.zeros(lm.CLASSES)
+    for w, k in c.items():
+        own = int(classes(np.array([lm.word_hash(w.encode())]))[0])
+        n[own] += k
+        v[own] += 1
+    got = lm.class_counts(words, classes)
+    np.testing.assert_array_equal(got[0], n)
+    np.testing.assert_array_equal(got[1], v)
+
+
+def test_shards_that_never_met_a_row_do_not_weaken_it():
+    begin = np.zeros((4, lm.WIDE), np.float32)
+    one, other = begin.copy(), begin.copy()
+    one[1], other[2] = 2, -1
+    seen = [np.full_like(begin, lm.SEEN) for _ in range(2)]
+    seen[0][1] += 4
+    seen[1][2] += 9
+    got = lm.averaged([lm.learned(one, begin, seen[0]).tobytes(), lm.learned(other, begin, seen[1]).tobytes()])
+    np.testing.assert_allclose(got[:, : lm.WIDE], one + other, atol=1e-2)
+    # averages of averages are the average
+    again = lm.averaged([got.tobytes()])
+    np.testing.assert_array_equal(again, got)
+
+
+def test_table_grows_with_the_vocabulary():
+    assert [lm.table_size(x) for x in (0, 10, 4 * lm.ROWS, 4 * lm.ROWS + 1, 1e9)] == [lm.ROWS, lm.ROWS, lm.ROWS, 2 * lm.ROWS, lm.MOST_ROWS]
+
+
 def test_lm_empty(spark, empty):
     assert lm.scores(empty).count() == 0
 
