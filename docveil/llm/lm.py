@@ -53,7 +53,7 @@ CHUNK = 6_000_000
 STEP = 1 << 15
 RATE = 0.1
 #: Chunks that one shard learns from, about, so that a shard's time does not grow with the corpus.
-SHARD = 32
+SHARD = 16
 _SLICES = 16
 #: Squared gradients that every weight starts with.
 SEEN = 0.1
@@ -285,13 +285,13 @@ def features(h: np.ndarray, lens: np.ndarray, size: int = ROWS) -> np.ndarray:
         p[k:] = np.where(at[k:] >= k, h[:-k], p[k:])
         prev.append(p)
     mix = lambda x, salt: ((x * np.uint64(0x9E3779B97F4A7C15) + np.uint64(salt * 0x632BE59BD9B4E019 % (1 << 64))) >> np.uint64(40)) & np.uint64(size - 1)
-    return np.stack([mix(prev[0], 1), mix(prev[0] * np.uint64(31) + (prev[1] << np.uint64(17)), 2), mix(prev[1], 3), mix(prev[2], 4)], 1).astype(np.int64)
+    return np.stack([mix(prev[0], 1), mix(prev[0] * np.uint64(31) + (prev[1] << np.uint64(17)), 2), mix(prev[1], 3), mix(prev[2], 4)], 1).astype(np.int32)
 
 
 def rows_of(f: np.ndarray, target: np.ndarray, size: int = ROWS) -> tuple[np.ndarray, np.ndarray]:
     """([5, 2 * tokens] rows of weights, [2 * tokens] targets): first the choices of groups, then those of classes in them."""
-    full = np.concatenate([f, np.full((len(f), 1), size)], 1).T
-    group, own = target // WIDE, target % WIDE
+    full = np.concatenate([f, np.full((len(f), 1), size, f.dtype)], 1).T
+    group, own = (target // WIDE).astype(f.dtype), target % WIDE
     below = (size + 1) + full * WIDE + group
     return np.concatenate([full, below], 1), np.concatenate([group, own])
 
@@ -322,20 +322,21 @@ def log_probability(w: np.ndarray, f: np.ndarray, target: np.ndarray) -> np.ndar
 def descend(w: np.ndarray, seen: np.ndarray, f: np.ndarray, target: np.ndarray) -> None:
     """One AdaGrad step on a batch of tokens, in place."""
     rows, t = rows_of(f, target, _size(w))
-    g = np.exp(log_softmax(w, rows))
-    g[t, np.arange(len(t))] -= 1
-    at = rows.ravel()
-    # only the rows that the batch has
+    # only the rows that the batch has, together, so that they stay in the processor's cache
     there = np.zeros(len(w), bool)
-    there[at] = True
+    there[rows.ravel()] = True
     used = np.flatnonzero(there)
     place = np.empty(len(w), np.int32)
     place[used] = np.arange(len(used), dtype=np.int32)
-    at = place[at]
+    rows = place[rows]
+    own = w[used]
+    g = np.exp(log_softmax(own, rows))
+    g[t, np.arange(len(t))] -= 1
+    at = rows.ravel()
     d = np.stack([np.bincount(at, np.tile(g[k], len(rows)), len(used)) for k in range(WIDE)], 1).astype(np.float32)
     total = seen[used] + d * d
     seen[used] = total
-    w[used] -= RATE * d / (np.sqrt(total) + 1e-3)
+    w[used] = own - RATE * d / (np.sqrt(total) + 1e-3)
 
 
 def _tokens(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
