@@ -3,17 +3,43 @@
 from __future__ import annotations
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
-from .functions.checks import DNI_LETTERS
+from .functions.checks import CCC_WEIGHTS, CIF_FORMS, CIF_LETTERS, DNI_LETTERS
+from .functions.mask import masked
 from .operators.detect import Options, detect
 from .operators.spans import exploded
 
 _CLEAN = "upper(regexp_replace(v, '[^0-9A-Za-z]', ''))"
 _LETTER = f"substring('{DNI_LETTERS}', cast({{n}} as bigint) % 23 + 1, 1)"
+_DIGITS = "regexp_replace(v, '[^0-9]', '')"
+_CIF = f"regexp_replace({_CLEAN}, '^ES(?=[A-Z][0-9])', '')"
+
+
+def _digit(text: str, at: int) -> str:
+    return f"cast(substring({text}, {at}, 1) as int)"
+
+
+def _account_control(first: int, weights: list[int], control: int) -> str:
+    """Whether the digits from a place on, weighted, give the control digit."""
+    rest = f"(11 - ({' + '.join(f'{_digit(_DIGITS, first + k)} * {w}' for k, w in enumerate(weights))}) % 11)"
+    return f"case {rest} when 11 then 0 when 10 then 1 else {rest} end = {_digit(_DIGITS, control)}"
+
+
+def _company_control() -> str:
+    """The digit that the seven digits of a company number ask for."""
+    digits = [_digit(_CIF, k + 2) for k in range(7)]
+    doubled = [f"({d} * 2 div 10 + {d} * 2 % 10)" if k % 2 == 0 else d for k, d in enumerate(digits)]
+    return f"cast((10 - ({' + '.join(doubled)}) % 10) % 10 as int)"
+
+
 FUNCTIONS = {
     "is_valid_dni": f"coalesce(case when {_CLEAN} rlike '^[0-9]{{8}}[A-Z]$' then {_LETTER.format(n=f'substring({_CLEAN}, 1, 8)')} = substring({_CLEAN}, 9, 1) end, false)",
     "is_valid_nie": f"coalesce(case when {_CLEAN} rlike '^[XYZ][0-9]{{7}}[A-Z]$' then {_LETTER.format(n=f"concat(translate(substring({_CLEAN}, 1, 1), 'XYZ', '012'), substring({_CLEAN}, 2, 7))")} = substring({_CLEAN}, 9, 1) end, false)",
     "is_valid_iban": f"coalesce(case when {_CLEAN} rlike '^[A-Z]{{2}}[0-9]{{2}}[0-9A-Z]{{10,30}}$' then aggregate(filter(split(concat(substring({_CLEAN}, 5), substring({_CLEAN}, 1, 4)), ''), c -> c <> ''), 0, (a, c) -> (a * case when c between '0' and '9' then 10 else 100 end + case when c between '0' and '9' then ascii(c) - 48 else ascii(c) - 55 end) % 97) = 1 end, false)",
+    "is_valid_ccc": f"coalesce(case when length({_DIGITS}) = 20 then {_account_control(1, CCC_WEIGHTS[2:], 9)} and {_account_control(11, CCC_WEIGHTS, 10)} end, false)",
+    "is_valid_nss": f"coalesce(case when length({_DIGITS}) = 12 then cast(substring({_DIGITS}, 1, 10) as bigint) % 97 = cast(substring({_DIGITS}, 11, 2) as int) end, false)",
+    "is_valid_cif": f"coalesce(case when {_CIF} rlike '^[{CIF_FORMS}][0-9]{{7}}[0-9A-J]$' then substring({_CIF}, 9, 1) in (cast({_company_control()} as string), substring('{CIF_LETTERS}', {_company_control()} + 1, 1)) end, false)",
     "is_valid_card": "coalesce(case when length(regexp_replace(v, '[^0-9]', '')) between 13 and 19 then luhn_check(regexp_replace(v, '[^0-9]', '')) end, false)",
 }
 
@@ -25,5 +51,9 @@ def register(spark: SparkSession) -> None:
 
 
 def matches_view(spark: SparkSession, table: str, view: str, text_col: str = "text", options: Options | None = None) -> None:
-    """A temporary view with a row for each match in a table: its columns but the text, and type, value, start, end, confidence, valid, seq."""
-    exploded(detect(spark.table(table), text_col, options).drop(text_col)).createOrReplaceTempView(view)
+    """A temporary view with a row for each match in a table: its columns but the text, and type, value, start, end, confidence, valid, seq, masked.
+
+    ``masked`` is what may be shown of the value; select it instead of ``value`` where the reader may not see the data.
+    """
+    found = exploded(detect(spark.table(table), text_col, options).drop(text_col))
+    found.withColumn("masked", masked(F.col("type"), F.col("value"))).createOrReplaceTempView(view)

@@ -268,3 +268,19 @@ def test_sql(spark, sf):
     spark.read.parquet(f"{sf}/documents.parquet").createOrReplaceTempView("t_docs")
     sql.matches_view(spark, "t_docs", "t_matches", options=Options(types=["email"]))
     assert spark.sql("select type, count(*) n from t_matches group by type").first().type == "email"
+    assert spark.sql("select count(*) n from t_matches where masked = value or masked not like '%***@%'").first().n == 0
+
+
+def test_sql_checks_are_the_functions(spark):
+    from docveil import sql
+    from docveil.functions import checks
+
+    sql.register(spark)
+    ccc = [f"2100 0418 {k:02d} 0200051332" for k in range(100)]
+    nss = [f"28/{12345678 + 7 * n:08d}/{k:02d}" for n in range(2) for k in range(97)]
+    cif = [f"{p}{form}{n:07d}{c}" for p in ("", "ES") for form in "ABQWI" for n in (5881850, 1234567) for c in "0123456789ABCDEFGHIJK"]
+    odd = [None, "", "ñ", "1" * 20, "1" * 12, "A1234567", "0" * 5000]
+    for name, fn, values in (("ccc", checks.is_ccc, ccc), ("nss", checks.nss_control, nss), ("cif", checks.cif_control, cif)):
+        df = spark.createDataFrame([(v,) for v in values + odd], "v string")
+        got = df.select(F.expr(f"is_valid_{name}(v)").alias("a"), fn(F.col("v")).alias("b")).collect()
+        assert [r.a for r in got] == [r.b for r in got] and any(r.a for r in got)
