@@ -8,11 +8,11 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, lm, packing, pii, quality, rules, secrets, simhash, warc
+from . import decontam, langid, lm, packing, pii, quality, resample, rules, secrets, simhash, spelling, tokenfiles, warc
 from .common import table
 
-#: The tokenizer file of the packing query; pass another to the operator.
-TOKENIZER = "word_bpe_49k.json"
+#: The tokenizer files of the packing query and of the token files; pass others to the operators.
+TOKENIZER, BYTES = "word_bpe_49k.json", "byte_bpe_50k.json"
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,8 +78,22 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenfiles.new_folder(spark)
+    tokenfiles.write_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTES), path)
+    return tokenfiles.read_tokens(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_best_fit_packing, op2_quality_classifier, op3_simhash_near_dedup, op4_language_id, op5_pii_weak_supervision, op6_lm_scoring, op7_quality_rules, op8_secret_scan, op9_warc_derivatives, op10_benchmark_decontamination)
+    found = (op1_best_fit_packing, op2_quality_classifier, op3_simhash_near_dedup, op4_language_id, op5_pii_weak_supervision, op6_lm_scoring, op7_quality_rules, op8_secret_scan, op9_warc_derivatives, op10_benchmark_decontamination, op11_token_files, op12_spelling_variants, op13_importance_resampling)
     return {f.__name__: f for f in found}
 
 
