@@ -19,7 +19,9 @@ from __future__ import annotations
 import json
 import os
 import re
+import sys
 import uuid
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,12 +35,15 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 from pyspark.sql.types import StructType
 
 from .common import id_and_text, map_batches, shared_dir
+from .packing import _BYTES
 
 LENGTH = 2048
 #: Sequences in a batch of a file.
 BATCH = 256
 #: Chunks whose ids a worker remembers at most, before those not used since as many others are forgotten.
 REMEMBERED = 400_000
+#: Characters that a worker splits into chunks at once, beyond those of one text.
+AT_ONCE = 2_000_000
 MANIFEST = "manifest.json"
 
 _state: dict[str, list] = {}
@@ -68,6 +73,7 @@ def splits_at_spaces(tokenizer: dict) -> bool:
     return tokenizer["normalizer"] is None and first.get("type") == "ByteLevel" and first.get("use_regex", True) and not first.get("add_prefix_space")
 
 
+_WORD = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 _BREAK, _ODD = re.compile(r"(?= \S)"), re.compile(r" (?:\s|\Z)")
 
 
@@ -84,13 +90,45 @@ def _chunks(text: str) -> list[str]:
     return [first, *map(" ".__add__, rest)]
 
 
+def _ids(ids: list[int], kind: str) -> bytes:
+    out = array("H" if kind == "<u2" else "I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
+def _encode_chunks(fresh: list[str], tok, known: dict[str, bytes], kind: str) -> None:
+    """Put the ids of chunks into ``known``.
+
+    The tokenizer's pattern makes one token of a run of letters with the space before it, and another of the signs behind it; their
+    bytes, written as it writes them, go straight to its model.  All other chunks go through the whole tokenizer.
+    """
+    model, others = tok.model.tokenize, []
+
+    def one(piece: str) -> bytes:
+        if piece not in known:
+            spelled = piece.replace(" ", "Ġ") if piece.isascii() else piece.encode().decode("latin-1").translate(_BYTES)
+            known[piece] = _ids([t.id for t in model(spelled)], kind)
+        return known[piece]
+
+    for w in fresh:
+        if m := _WORD.fullmatch(w):
+            known[w] = one(m[1]) + one(m[2]) if m[2] else one(w)
+        else:
+            others.append(w)
+    for at in range(0, len(others), 20_000):
+        part = others[at : at + 20_000]
+        for w, e in zip(part, tok.encode_batch_fast(part, add_special_tokens=False), strict=True):
+            known[w] = _ids(e.ids, kind)
+
+
 def encode_texts(texts: list[str], path: str, end: int = 0) -> list[bytes]:
     """Ids of each text and the end id, in the type of the files.  A chunk is encoded once for as long as it is remembered."""
     state = _encoder(path)
     kind = state[3]
-    last = np.array([end], kind).tobytes()
+    last = _ids([end], kind)
     if not state[4]:
-        return [np.array(e.ids, kind).tobytes() + last for e in state[0].encode_batch_fast(texts, add_special_tokens=False)]
+        return [_ids(e.ids, kind) + last for e in state[0].encode_batch_fast(texts, add_special_tokens=False)]
     split = [_chunks(t) for t in texts]
     need = set().union(*split)
     if len(state[1]) + len(need) > REMEMBERED and state[1]:
@@ -99,11 +137,7 @@ def encode_texts(texts: list[str], path: str, end: int = 0) -> list[bytes]:
     new = need.difference(known)
     again = new.intersection(old)
     known.update((w, old[w]) for w in again)
-    fresh = list(new - again)
-    for at in range(0, len(fresh), 20_000):
-        part = fresh[at : at + 20_000]
-        for w, e in zip(part, tok.encode_batch_fast(part, add_special_tokens=False), strict=True):
-            known[w] = np.array(e.ids, kind).tobytes()
+    _encode_chunks(list(new - again), tok, known, kind)
     get = known.__getitem__
     return [b"".join(map(get, ws)) + last for ws in split]
 
@@ -112,7 +146,14 @@ def encoded(docs: DataFrame, tokenizer: str, end: int = 0, id_col: str = "doc_id
     """(doc_id, ids) in ascending order of doc_id, dealt over partitions by ranges: ids are bytes in the type of the files."""
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        ids = encode_texts(b["text"].to_pylist(), tokenizer, end)
+        ids, some, held = [], [], 0
+        for k, text in enumerate(b["text"]):
+            some.append(text.as_py())
+            held += len(some[-1])
+            # a chunk of a text is an object of its own, so not too many texts are split at once
+            if held > AT_ONCE or k == b.num_rows - 1:
+                ids += encode_texts(some, tokenizer, end)
+                some, held = [], 0
         return pa.record_batch([b["doc_id"], pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
     # rows of one id are told apart, so that many of them can be dealt over several partitions

@@ -46,7 +46,7 @@ def test_query11(spark, sf):
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.text(st.sampled_from("aB'sé1 \n\t \u0085 \x1c\x1f.,<|>日ß "), max_size=40))
+@given(st.text(st.sampled_from("aBtzß'sé1÷ª \n\t_` \u0085 \x1c\x1f.,<|>日ß "), max_size=40))
 @example("a  <|endoftext|> b")
 @example("  x   y \n z  ")
 @example("it's  they'll 12 34")
