@@ -17,7 +17,8 @@ from ..operators import entities as ent
 from ..operators import geometry, pages
 from ..operators.detect import Options, detect, left_visible
 from ..operators.spans import exploded, islands, overlap_join, resolve, weight
-from ..sources import catalog
+from ..sources import catalog, files
+from ..sources.shared import temporary_folder
 from ..streaming import jobs
 from .fixtures import SQL, fixture
 
@@ -497,26 +498,78 @@ def file_type_case(spark, d):
 @query(f"SELECT path FROM ({SQL['files']}) f WHERE cast(id % 5 as int) <> 4 AND instr(regexp_extract(path, '([^/]*)$', 1), '77') > 0 AND modified >= TIMESTAMP '1996-03-01' ORDER BY modified DESC, path LIMIT 50")
 def newest_topk(spark, d):
     """Newest files whose names have all words of a search."""
-    files = fixture(spark, d, "files").withColumn("name", catalog.name_of(F.col("path")))
-    return catalog.listing(files, "nómina 77", since="01/03/1996", limit=50).select("path")
+    found = fixture(spark, d, "files").withColumn("name", catalog.name_of(F.col("path")))
+    return catalog.listing(found, "nómina 77", since="01/03/1996", limit=50).select("path")
 
 
 @query(f"SELECT CAST(count(*) AS BIGINT) AS n FROM ({SQL['files']}) f WHERE instr(lower(path), 'nomina') > 0 AND instr(lower(path), 'csv') > 0")
 def name_search(spark, d):
-    files = fixture(spark, d, "files").withColumn("name", catalog.name_of(F.col("path")))
-    return catalog.listing(files, "CSV nomina", limit=2_000_000_000).agg(F.count(F.lit(1)).alias("n"))
+    found = fixture(spark, d, "files").withColumn("name", catalog.name_of(F.col("path")))
+    return catalog.listing(found, "CSV nomina", limit=2_000_000_000).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"WITH f AS ({SQL['files']}) SELECT path, CASE WHEN id % 3 = 0 THEN '/out/Nomina_' || CAST(id AS VARCHAR) || '-tachado (2).pdf' END AS done FROM f")
 def freshness_join(spark, d):
     """Each file's newest result that is no older than it."""
-    files = fixture(spark, d, "files")
+    found = fixture(spark, d, "files")
     base = F.concat(F.lit("/out/Nomina_"), F.col("id").cast("string"))
     # by key: two fresh results, a stale one, none
-    fresh = files.where("id % 3 = 0").select(F.concat(base, F.lit("-tachado.pdf")).alias("path"), (F.col("modified") + F.expr("interval 1 day")).alias("modified"))
-    newer = files.where("id % 3 = 0").select(F.concat(base, F.lit("-tachado (2).pdf")).alias("path"), (F.col("modified") + F.expr("interval 2 days")).alias("modified"))
-    stale = files.where("id % 3 = 1").select(F.concat(base, F.lit("-tachado.pdf")).alias("path"), (F.col("modified") - F.expr("interval 1 day")).alias("modified"))
-    return catalog.skip_done(files, fresh.unionByName(newer).unionByName(stale)).select("path", "done")
+    fresh = found.where("id % 3 = 0").select(F.concat(base, F.lit("-tachado.pdf")).alias("path"), (F.col("modified") + F.expr("interval 1 day")).alias("modified"))
+    newer = found.where("id % 3 = 0").select(F.concat(base, F.lit("-tachado (2).pdf")).alias("path"), (F.col("modified") + F.expr("interval 2 days")).alias("modified"))
+    stale = found.where("id % 3 = 1").select(F.concat(base, F.lit("-tachado.pdf")).alias("path"), (F.col("modified") - F.expr("interval 1 day")).alias("modified"))
+    return catalog.skip_done(found, fresh.unionByName(newer).unionByName(stale)).select("path", "done")
+
+
+@query("WITH n AS (SELECT 'informe-' || CAST(s_suppkey // 3 AS VARCHAR) AS stem, 2 * count(*) AS n FROM supplier GROUP BY 1) SELECT stem || CASE WHEN k > 1 THEN ' (' || CAST(k AS VARCHAR) || ')' ELSE '' END || ext AS name, true AS together FROM (SELECT stem, unnest(range(1, n + 1)) AS k FROM n) t, (SELECT unnest(['.html', '.docx']) AS ext) e")
+def saved_names(spark, d):
+    """Two jobs save a pair of files for each supplier under few names into one folder: all get names, and pairs the same number."""
+    folder = files.local_path(temporary_folder(spark, "results"))
+    s = _read(spark, d, "supplier").select(F.col("s_suppkey").alias("set_id"), F.lit(folder).alias("folder"), F.concat(F.lit("informe-"), F.floor(F.col("s_suppkey") / 3).cast("string")).alias("stem"), F.explode(F.array(F.lit(".html"), F.lit(".docx"))).alias("ext"), F.col("s_name").alias("content"))
+    saved = files.save_files(s, [folder]).withColumn("job", F.lit(1)).unionByName(files.save_files(s, [folder]).withColumn("job", F.lit(2)))
+    number = F.regexp_extract("path", "\\(([0-9]+)\\)", 1)
+    pairs = saved.groupBy("job", "set_id").agg(((F.count_distinct(number) == 1) & (F.count(F.lit(1)) == 2)).alias("together"), F.collect_list("path").alias("p"))
+    return pairs.select(F.explode("p").alias("path"), "together").select(catalog.name_of(F.col("path")).alias("name"), "together")
+
+
+def _tree_of(spark, d) -> str:
+    """A folder tree of the suppliers: a folder a nation, with a link back to the root and one out of it, seven below, a file a supplier and some copies."""
+    top = files.local_path(temporary_folder(spark, "tree"))
+    root, s = f"{top}/arbol", _read(spark, d, "supplier")
+    k = F.col("s_suppkey")
+    place = F.concat_ws("/", F.lit(root), F.col("s_nationkey").cast("string"), (k % 7).cast("string"))
+    rows = s.select(k.alias("set_id"), place.alias("folder"), F.concat(F.lit("Doc "), k.cast("string")).alias("stem"), F.lit(".pdf").alias("ext"), F.col("s_name").alias("content"))
+    files.save_files(rows.unionByName(rows.where("set_id % 12 = 0").withColumn("folder", F.lit(f"{root}/copias"))), [top])
+
+    def link(rows) -> None:
+        import os
+
+        for r in rows:
+            for name, to in (("bucle", root), ("fuera", top)):
+                os.symlink(to, f"{root}/{r.s_nationkey}/{name}")
+
+    s.select("s_nationkey").distinct().foreachPartition(link)
+    return root
+
+
+_TREE = "WITH s AS (SELECT s_suppkey AS k, CAST(s_nationkey AS VARCHAR) AS n, CAST(s_suppkey % 7 AS VARCHAR) AS m, 'Doc ' || CAST(s_suppkey AS VARCHAR) || '.pdf' AS f FROM supplier) "
+
+
+@query(_TREE + "SELECT DISTINCT n AS path, 0 AS level, true AS is_folder FROM s UNION ALL SELECT 'copias', 0, true WHERE EXISTS (SELECT 1 FROM s WHERE k % 12 = 0) UNION ALL SELECT DISTINCT n || '/' || m, 1, true FROM s UNION ALL SELECT '', 1, true FROM (SELECT DISTINCT n FROM s) t UNION ALL SELECT n || '/' || m || '/' || f, 2, false FROM s UNION ALL SELECT 'copias/' || f, 1, false FROM s WHERE k % 12 = 0")
+def scanned_tree(spark, d):
+    """A folder tree level by level: a link back to its root is seen and not entered, one to outside is left out."""
+    root = _tree_of(spark, d)
+    return files.scan_tree(spark, [root]).select(F.expr(f"ltrim('/', substring(path, {len(root) + 1}))").alias("path"), "level", "is_folder")
+
+
+@query(_TREE + "SELECT k AS id, CASE WHEN k % 6 = 4 THEN 'outside' WHEN k % 6 = 5 THEN 'missing' WHEN k % 12 = 0 THEN 'several' ELSE 'ok' END AS status, CASE WHEN k % 12 <> 0 AND k % 6 < 4 THEN n || '/' || m || '/' || f END AS path, CASE WHEN k % 12 = 0 THEN 2 END AS found FROM s")
+def resolved_names(spark, d):
+    """Bare names (some are there twice), relative paths, paths led by the root's name, absolute ones, ones out of the root, and missing ones."""
+    root = _tree_of(spark, d)
+    k, text = F.col("s_suppkey"), F.col("s_suppkey").cast("string")
+    below = F.concat(F.col("s_nationkey").cast("string"), F.lit("/"), (k % 7).cast("string"), F.lit("/Doc "), text, F.lit(".pdf"))
+    asked = F.when(k % 6 == 0, F.concat(F.lit("doc "), text, F.lit(".PDF"))).when(k % 6 == 1, below).when(k % 6 == 2, F.concat(F.lit("Arbol/x/../"), below)).when(k % 6 == 3, F.concat(F.lit(f"{root}/"), below)).when(k % 6 == 4, F.concat(F.lit("../../"), below)).otherwise(F.concat(F.lit("No hay "), text, F.lit(".pdf")))
+    out = files.resolved(_read(spark, d, "supplier").select(k.alias("id"), asked.alias("asked")), files.scan_tree(spark, [root]), [root])
+    return out.select("id", "status", F.substring("path", len(root) + 2, 10_000).alias("path"), F.when(F.col("found").isNotNull(), F.size("found")).alias("found"))
 
 
 @query("SELECT l_returnflag AS warning, CAST(l_orderkey % 10 AS VARCHAR) AS name, array_to_string(list_sort(list(DISTINCT l_linenumber)), ',') AS pages FROM lineitem GROUP BY 1, 2")

@@ -58,10 +58,6 @@ def scan(spark: SparkSession, folder: str, recursive: bool = True, content: bool
     return df.where(~F.startswith("name", F.lit(".")) & ~F.startswith("name", F.lit("~$")))
 
 
-def depth_below(path: Column, root: str) -> Column:
-    return F.size(F.split(F.substring(path, len(root.rstrip("/")) + 2, 100_000), "/")) - 1
-
-
 def listing(files: DataFrame, search: str = "", kinds: list[str] | None = None, since: str | None = None, limit: int = MAX_FILES) -> DataFrame:
     """Newest first, at most ``limit``: files whose name has all words of a search, of these kinds, changed since a date."""
     df = files.withColumn("kind", kind_of(F.col("path"))).where(F.col("kind").isin(kinds or list(KINDS)))

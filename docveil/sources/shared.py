@@ -17,12 +17,21 @@ def shared_dir(spark: SparkSession) -> str:
     if not d and not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not d:
-        d = "file://" + tempfile.mkdtemp(prefix="docveil-")
-        spark.conf.set("spark.checkpoint.dir", d)
-        spark.sparkContext.setCheckpointDir(d)
+        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="docveil-"))
+        return shared_dir(spark)  # below the temporary folder, as Spark names it
     return d
 
 
+def temporary_folder(spark: SparkSession, name: str) -> str:
+    """A new empty folder in the shared one, which Hadoop deletes when the driver's JVM ends."""
+    path = f"{shared_dir(spark)}/docveil/{name}-{uuid.uuid4().hex}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(where)
+    fs.deleteOnExit(where)
+    return path
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a table into the shared folder and read it again: it cuts the lineage and survives lost executors.
 
