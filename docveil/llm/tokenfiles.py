@@ -43,7 +43,7 @@ BATCH = 256
 #: Chunks whose ids a worker remembers at most, before those not used since as many others are forgotten.
 REMEMBERED = 400_000
 #: Characters that a worker splits into chunks at once, beyond those of one text.
-AT_ONCE = 2_000_000
+AT_ONCE = 1_000_000
 MANIFEST = "manifest.json"
 
 _state: dict[str, list] = {}
@@ -131,10 +131,11 @@ def encode_texts(texts: list[str], path: str, end: int = 0) -> list[bytes]:
         return [_ids(e.ids, kind) + last for e in state[0].encode_batch_fast(texts, add_special_tokens=False)]
     split = [_chunks(t) for t in texts]
     need = set().union(*split)
-    if len(state[1]) + len(need) > REMEMBERED and state[1]:
+    new = need.difference(state[1])
+    if len(state[1]) + len(new) > REMEMBERED and state[1]:
         state[1:3] = [{}, state[1]]
+        new = need
     tok, known, old = state[:3]
-    new = need.difference(known)
     again = new.intersection(old)
     known.update((w, old[w]) for w in again)
     _encode_chunks(list(new - again), tok, known, kind)
