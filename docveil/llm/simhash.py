@@ -11,8 +11,10 @@ in at most near // 2 bits (two bits of the 64 are in neither block, which loses
 
 ``alike`` links texts whose shingle sets have a Jaccard similarity of 0.8 or more.  One word only estimates that, so a fingerprint has
 ``WORDS`` of them and ``2 * WORDS`` blocks, with t = 2 in each: at a similarity of 0.8 a pair meets at some anchor with a probability of
-0.92, at 0.85 of 0.98, at 0.9 of over 0.999.  Where ``CHECK`` or fewer bits of the first word differ, they are candidates, and the
-shingle sets decide.  Texts with the same words are one node from the start; others are never joined without that comparison.
+0.92, at 0.85 of 0.98, at 0.9 of over 0.999.  Where ``CHECK`` or fewer bits of two other words than the block's differ, they are candidates,
+and the shingle sets decide.  Of pairs of unrelated texts one in 20,000 meets at an anchor and one in 150 million holds that check, independently, so that candidates
+do not run together to one component by chance however large the corpus is.  Texts with the same words are one node from the start; others are never
+joined without comparing their sets.
 
 An anchor's fingerprints are compared by absorption: a fingerprint takes up all that are near it and these are not
 compared again with what is taken, so a dense group costs a few passes and yields a spanning set of links, not all pairs.
@@ -41,8 +43,10 @@ from .common import id_and_text, map_batches, stored, words_of
 NEAR = 4
 SEED = 42
 BLOCK = 31
-#: Words of a wide fingerprint, and how many bits of the first may differ: texts that are 0.8 alike differ in more once in a hundred times.
-WORDS, CHECK = 6, 16
+#: Words of a wide fingerprint, and how many bits of the two words checked may differ: texts that are 0.8 alike differ in more once in a thousand times.
+WORDS, CHECK = 6, 32
+#: How many bits of the first word may differ where the members of a group that fell apart are compared: once in a hundred times more do.
+FIRST = 16
 #: Fingerprints of one anchor that a task compares at most with as many others.
 GROUP = 1_000_000
 #: Shingles that a task compares at most with as many others, about.
@@ -156,8 +160,14 @@ def _halves(fp: Column) -> list[Column]:
     return [fp.bitwiseAND(F.lit(_MASK)), F.shiftright(fp, BLOCK).bitwiseAND(F.lit(_MASK))]
 
 
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of words, or of rows of words."""
+    n = np.bitwise_count(a ^ b)
+    return n.sum(-1, dtype=np.int64) if n.ndim > 1 else n
+
+
 def absorb(f: np.ndarray, near: int = NEAR, label: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Links, by positions in f (unsigned), that join what is joined by differences of at most ``near`` bits: at most len(f) - 1.
+    """Links, by positions in f (unsigned, or rows of such), that join what is joined by differences of at most ``near`` bits: at most len(f) - 1.
 
     Equal labels are joined already.
     """
@@ -174,7 +184,7 @@ def absorb(f: np.ndarray, near: int = NEAR, label: np.ndarray | None = None) ->
         todo = take(label[at] == label[at[0]]) if label is not None else take(np.arange(len(at)) == 0)
         while todo and len(left):
             x = todo.pop()
-            hit = np.bitwise_count(left ^ f[x]) <= near
+            hit = _apart(left, f[x][None]) <= near
             if not hit.any():
                 continue
             if label is None:
@@ -198,7 +208,7 @@ def links_of(key: np.ndarray, f: np.ndarray, near: int = NEAR, label: np.ndarray
         i = np.flatnonzero((key[shift:] == key[:-shift]) & (group[shift:] <= small)) if len(key) > shift else []
         if not len(i):
             break
-        i = i[np.bitwise_count(f[i] ^ f[i + shift]) <= near]
+        i = i[_apart(f[i], f[i + shift]) <= near]
         i = i if label is None else i[label[i] != label[i + shift]]
         out.append(np.stack([i, i + shift], 1))
     for g in np.flatnonzero(size > small):
@@ -208,13 +218,18 @@ def links_of(key: np.ndarray, f: np.ndarray, near: int = NEAR, label: np.ndarray
     return np.concatenate(out)
 
 
-def linked(points: DataFrame, halves: list[Column], t: int, near: int, check: str = "node", label: str | None = None, group: int = GROUP) -> DataFrame:
-    """(src, dst): links between nodes that meet at an anchor of some block and have at most ``near`` differing bits in ``check``.
+def linked(points: DataFrame, halves: list[Column], t: int, near: int, checks: list[list[Column]] | None = None, label: str | None = None, group: int = GROUP) -> DataFrame:
+    """(src, dst): links between nodes that meet at an anchor of some block and have at most ``near`` differing bits in that block's ``checks``.
+
+    These are words of the fingerprint for each block; without them it is the node itself.
 
     They have the same components as all such pairs; nodes of one label are joined already, and two labels get one link.
     """
-    carried = list(dict.fromkeys(["node", check] + ([label] if label else [])))
-    blocks = points.select(*carried, F.posexplode(F.array(*halves)).alias("block", "half"))
+    words = [f"check{k}" for k in range(len(checks[0]))] if checks else ["node"]
+    own = ["node"] + ([label] if label else [])
+    carried = list(dict.fromkeys(own + words))
+    each = [F.struct(half.alias("half"), *[c.alias(w) for c, w in zip(cs, words, strict=True)]) for half, cs in zip(halves, checks, strict=True)] if checks else [F.struct(half.alias("half")) for half in halves]
+    blocks = points.select(*own, F.posexplode(F.array(*each)).alias("block", "_b")).select(*own, "block", "_b.*")
     dealt = blocks.select(*carried, F.explode(anchors_of(F.col("half"), F.col("block"), 2 * t)).alias("key"))
     # halves within reach of an anchor: it can hold more than ``group`` only if one of these has over a share of that many
     ball = sum(math.comb(BLOCK, k) for k in range(reach(2 * t) + 1))
@@ -233,9 +248,10 @@ def linked(points: DataFrame, halves: list[Column], t: int, near: int, check: st
 
         def flush(last: bool) -> Iterator[pa.RecordBatch]:
             nonlocal held, n
-            key, node, f, own = (np.concatenate(c) for c in zip(*held, strict=True))
+            key, node, own, *fs = (np.concatenate(c) for c in zip(*held, strict=True))
+            f = (fs[0] if len(fs) == 1 else np.stack(fs, 1)).view(np.uint64)
             cut = len(key) if last else int(np.searchsorted(key, key[-1]))  # the last group may go on
-            i = links_of(key[:cut], f[:cut].view(np.uint64), near, own[:cut] if label else None)
+            i = links_of(key[:cut], f[:cut], near, own[:cut] if label else None)
             # sorted by label, or by node: each two once
             i = np.where((own[i[:, :1]] > own[i[:, 1:]]), i[:, ::-1], i)
             ends = own[i]
@@ -243,11 +259,11 @@ def linked(points: DataFrame, halves: list[Column], t: int, near: int, check: st
             cols = [node[i[one, 0]], node[i[one, 1]]] + ([ends[one, 0], ends[one, 1]] if label else [])
             for at in range(0, len(one), 10_000):
                 yield pa.record_batch([pa.array(c[at : at + 10_000]) for c in cols], names=names)
-            held = [[key[cut:], node[cut:], f[cut:], own[cut:]]]
+            held = [[c[cut:] for c in (key, node, own, *fs)]]
             n = 0
 
         for b in batches:
-            held.append([b[c].to_numpy() for c in ("key", "node", check, label or "node")])
+            held.append([b[c].to_numpy() for c in ("key", "node", label or "node", *words)])
             n += b.num_rows
             if n >= 200_000:
                 yield from flush(False)
@@ -401,13 +417,16 @@ def alike(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, group: int
     by_doc = read.select("doc_id", "text_hash", "node")
     nodes = read.groupBy("node").agg(_smallest(), F.min(_row(F.col("text_hash"))).alias("row"), F.first("f").alias("f"))
     nodes = stored(nodes.select("node", F.col("r.doc_id").alias("rep"), F.col("r.text_hash").alias("rep_hash"), "row", "f", F.get("f", F.lit(0)).alias("check")), "nodes")
-    halves = [h for k in range(WORDS) for h in _halves(F.get("f", F.lit(k)))]
+    word = [F.get("f", F.lit(k)) for k in range(WORDS)]
+    halves = [h for w in word for h in _halves(w)]
+    # a meeting in one word says something of that word, so two others are checked
+    checks = [[word[(k + 1) % WORDS], word[(k + 2) % WORDS]] for k in range(WORDS) for _ in range(2)]
     # the nearest anchors of the first word join most of a group by few links; all anchors then join what is still apart
-    close = stored(linked(nodes, halves[:2], 0, CHECK, "check", group=group), "close")
+    close = stored(linked(nodes, halves[:2], 0, CHECK, checks[:2], group=group), "close")
     named = nodes.join(components(close, "close-components"), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    links = linked(named, halves, 2, CHECK, "check", "label", group)
+    links = linked(named, halves, 2, CHECK, checks, "label", group)
     links = stored(links.unionByName(close), "links")
     has = shingles_of(links, nodes.select("node", "check", "row"), docs, shingle)
     kept = stored(verified(links, has, similarity), "verified-links")
-    links = kept.unionByName(unspanned(links, kept, has, CHECK, similarity))
+    links = kept.unionByName(unspanned(links, kept, has, FIRST, similarity))
     return _with_components(by_doc, nodes.select("node", "rep", "rep_hash"), links).drop("node")

@@ -4,6 +4,7 @@ import re
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from docveil.llm import simhash
 
@@ -253,3 +254,21 @@ def test_joining_by_parts(spark):
 
 def test_empty(spark, empty):
     assert simhash.near_duplicates(empty).count() == 0
+
+
+def test_unrelated_texts_are_no_candidates(spark):
+    """Random fingerprints, of which 200 million pairs are no candidates of each other, and copies of some with a few bits changed are."""
+    n = 20_000
+    rng = np.random.default_rng(8)
+    f = rng.integers(0, 1 << 64, (n, simhash.WORDS), np.uint64)
+    near = f[:50].copy()
+    for row in near:
+        for bit in rng.choice(64 * simhash.WORDS, 20, replace=False).tolist():
+            row[bit // 64] ^= np.uint64(1 << bit % 64)
+    both = np.concatenate([f, near]).view(np.int64).tolist()
+    rows = spark.createDataFrame(list(enumerate(both)), "node long, f array<long>")
+    word = [F.get("f", F.lit(k)) for k in range(simhash.WORDS)]
+    halves = [h for w in word for h in simhash._halves(w)]
+    checks = [[word[(k + 1) % simhash.WORDS], word[(k + 2) % simhash.WORDS]] for k in range(simhash.WORDS) for _ in range(2)]
+    links = simhash.linked(rows.repartition(8), halves, 2, simhash.CHECK, checks).collect()
+    assert {(r.src, r.dst) for r in links} == {(k, n + k) for k in range(50)}
