@@ -5,8 +5,9 @@ stay.  Beyond them, looser candidates are judged: disguised addresses, IPv6, num
 access keys, names, street addresses and dates of birth.  Labelers that look at a candidate's shape, at gazetteers (issuers, dialling codes,
 top-level domains, key prefixes, given names, kinds of street) and at its context vote for, against or abstain.  How often each
 combination of votes occurs is counted over all documents; expectation-maximisation over these counts estimates each labeler's
-reliability and each combination's probability; a logistic span classifier is fitted to those probabilities on features of the span.
-Of candidates that overlap, the one that the classifier holds most probable stays, and is added from ``threshold`` on.
+reliability by kind and each combination's probability; a logistic span classifier is fitted to those probabilities on features of the span.
+Of candidates that overlap, the one that the classifier holds most probable stays, and is added from ``threshold`` on if at least two
+labelers vote for it.  Numbers of 16 to 19 digits that fail the card check stay out.
 
 The combinations of votes and features are a small fixed set (``_space`` of them at most), so their counts come to the driver whatever
 the number of documents.
@@ -59,7 +60,7 @@ _LOOSE = {
     "phone": re.compile(r"(?<![0-9A-Za-z+.-])\(?[0-9]{2,4}\)?[\x20./-]\(?[0-9]{2,4}\)?[\x20./-][0-9]{2,4}(?:[\x20./-][0-9]{2,4})?(?![0-9A-Za-z])"),
     "id": re.compile(r"(?<![0-9A-Za-z-])(?:[0-9]{3}-[0-9]{2}-[0-9]{4}|[0-9]{8}-?[A-Z]|[XYZ]-?[0-9]{7}-?[A-Z])(?![0-9A-Za-z-])"),
     "account": re.compile(r"(?<![0-9A-Za-z+.,:/_-])(?:[0-9]{12,19}|[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?)(?![0-9A-Za-z_/-])"),
-    "key": re.compile(r"(?<![A-Za-z0-9+/_=.-])(?=[^0-9\s]*[0-9])[A-Za-z0-9+/_=-]{20,}(?:\.[A-Za-z0-9+/_=-]{12,}){0,2}(?![A-Za-z0-9+/_=-])"),
+    "key": re.compile(r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_=-]{20,}+(?:\.[A-Za-z0-9+/_=-]{12,}+){0,2}+(?![A-Za-z0-9+/_=-])"),
     "name": re.compile(rf"(?<!\w){_CAPITAL}(?:\x20[A-Z]\.)?(?:\x20{_CAPITAL}){{1,2}}(?!\w)"),
     "address": re.compile(rf"(?<!\w)(?:[0-9]{{1,5}}\x20(?:{_CAPITAL}\x20){{1,3}}(?:{_ROAD})(?!\w)|(?:{_VIA})\x20(?:de\x20|del\x20|la\x20|du\x20|des\x20){{0,2}}{_CAPITAL}(?:\x20{_CAPITAL}){{0,2}},?\x20[0-9]{{1,4}}(?!\w)|[A-ZÄÖÜ][a-zäöüß]+(?:straße|strasse|weg|platz|allee)\x20[0-9]{{1,4}}(?!\w))"),
     "birth": re.compile(r"(?<![0-9A-Za-z./-])(?:[0-9]{1,2}[./-][0-9]{1,2}[./-](?:19|20)[0-9]{2}|(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2})(?![0-9A-Za-z/-])"),
@@ -160,10 +161,11 @@ def _shape_gazetteer_check(kind: str, value: str) -> tuple[int, int, int]:
     if kind == "account":
         if value[0].isalpha():
             return 1, 0, 1 if _mod97(value) else -1
-        # instants are written in 13 or 14 digits; numbers that count up or repeat are examples
+        # instants are written in 13 or 14 digits; numbers that count up or repeat are examples; from 16 digits on these are cards that failed
         instant = len(digits) in (13, 14) and digits[:2] in ("14", "15", "16", "17", "18", "19", "20")
         steps = {(int(y) - int(x)) % 10 for x, y in zip(digits, digits[1:], strict=False)}
-        return -1 if instant else 1 if len(digits) >= 15 else 0, 1 if digits.startswith(_ISSUER) else 0, -1 if len(steps) < 3 or len(set(digits)) < 4 else 0
+        issued = len(digits) in (14, 15) and digits.startswith(_ISSUER) and luhn(digits)
+        return -1 if instant else 0, 1 if issued else 0, -1 if len(digits) >= 16 or len(steps) < 3 or len(set(digits)) < 4 else 0
     if kind == "key":
         hexadecimal = re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", value)
         mixed = sum(map(bool, (re.search(c, value) for c in ("[a-z]", "[A-Z]", "[0-9]")))) >= (2 if hexadecimal else 3)
@@ -201,7 +203,7 @@ def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, i
             while b < len(taken) and taken[b][0] < e:
                 reach = max(reach, taken[b][1])
                 b += 1
-            if s < reach or (kind == "name" and m[0].split()[0] not in _GIVEN) or (kind == "birth" and not _FOR[kind].search(text[max(0, s - 40) : s])):
+            if s < reach or (kind == "key" and not _DIGIT.search(m[0])) or (kind == "name" and m[0].split()[0] not in _GIVEN) or (kind == "birth" and not _FOR[kind].search(text[max(0, s - 40) : s])):
                 continue  # two words in capitals, and dates, are mostly something else
             size = min(2, len(_digits(m[0])) // 8)
             out.append((kind, s, e, f"{KINDS.index(kind)}{size}" + "".join("-0+"[v + 1] for v in votes(kind, text, s, e))))
@@ -242,24 +244,28 @@ def fit(counts: dict[str, int], rounds: int = 50, prior: float = 0.3) -> dict[st
         return {}
     names = sorted(counts)
     dec = [_decoded(p) for p in names]
-    v = np.array([d[2] for d in dec])
+    kind, v = np.array([d[0] for d in dec]), np.array([d[2] for d in dec])
     n = np.array([counts[p] for p in names], float)
     n_l = len(LABELERS)
     # P(vote | class) over votes -1, 0, 1; pseudo-counts make votes informative before any data
     pseudo = np.array([[4.0, 6.0, 1.0], [1.0, 6.0, 4.0]])
-    like = np.repeat((pseudo / pseudo.sum(1, keepdims=True))[:, None], n_l, 1)
-    pi = prior
-    for _ in range(rounds):
-        logs = np.log([1 - pi, pi])[:, None] + np.stack([sum(np.log(like[c, j, v[:, j] + 1]) for j in range(n_l)) for c in range(2)])
-        q = 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -50, 50)))
-        for c, w in enumerate((1 - q, q)):
-            for j in range(n_l):
-                like[c, j] = pseudo[c] + [(n * w)[v[:, j] == k].sum() for k in (-1, 0, 1)]
-            like[c] /= like[c].sum(1, keepdims=True)
-        # labelers are better than chance: a vote for is never evidence against, nor the other way round
-        for k, wrong in ((2, like[1, :, 2] < like[0, :, 2]), (0, like[1, :, 0] > like[0, :, 0])):
-            like[:, wrong, k] = like[:, wrong, k].mean(0)
-        pi = float(np.clip((n * q).sum() / n.sum(), 0.02, 0.8))
+    q = np.zeros(len(names))
+    for own in (np.flatnonzero(kind == k) for k in np.unique(kind)):  # a labeler is as reliable as it is for a kind
+        n_k, v_k = n[own], v[own]
+        like = np.repeat((pseudo / pseudo.sum(1, keepdims=True))[:, None], n_l, 1)
+        pi = prior
+        for _ in range(rounds):
+            logs = np.log([1 - pi, pi])[:, None] + np.stack([sum(np.log(like[c, j, v_k[:, j] + 1]) for j in range(n_l)) for c in range(2)])
+            q_k = 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -50, 50)))
+            for c, w in enumerate((1 - q_k, q_k)):
+                for j in range(n_l):
+                    like[c, j] = pseudo[c] + [(n_k * w)[v_k[:, j] == k].sum() for k in (-1, 0, 1)]
+                like[c] /= like[c].sum(1, keepdims=True)
+            # labelers are better than chance: a vote for is never evidence against, nor the other way round
+            for k, wrong in ((2, like[1, :, 2] < like[0, :, 2]), (0, like[1, :, 0] > like[0, :, 0])):
+                like[:, wrong, k] = like[:, wrong, k].mean(0)
+            pi = float(np.clip((n_k * q_k).sum() / n_k.sum(), 0.02, 0.8))
+        q[own] = q_k
     x = np.concatenate([v, np.eye(len(KINDS))[[d[0] for d in dec]], np.eye(3)[[d[1] for d in dec]], np.ones((len(names), 1))], 1).astype(float)
     w = np.zeros(x.shape[1])
     weight = n / n.sum()
@@ -270,6 +276,11 @@ def fit(counts: dict[str, int], rounds: int = 50, prior: float = 0.3) -> dict[st
     return dict(zip(names, (1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))).tolist(), strict=True))
 
 
+def agreed(pattern: str) -> bool:
+    """Whether two labelers or more vote for a candidate; the word of one alone, such as a shape, is never enough."""
+    return pattern.count("+") >= 2
+
+
 _FOUND = "array<struct<kind:string,start:int,end:int,base:boolean,pattern:string>>"
 _KIND = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_()), ("pattern", pa.string())]))
 
@@ -296,7 +307,7 @@ def detect_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """(doc_id, spans) for every row: spans of (kind, start, end, base, pattern) by kind as listed, then start."""
     found = stored(scanned(docs, id_col, text_col), "personal-data")
     counts = found.select(F.explode("found").alias("f")).where("not f.base").groupBy("f.pattern").count().limit(_space).collect()
-    probability = {p: x for p, x in fit({r["pattern"]: r["count"] for r in counts}).items() if x >= threshold}
+    probability = {p: x for p, x in fit({r["pattern"]: r["count"] for r in counts}).items() if x >= threshold and agreed(p)}
 
     def choose(b: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
