@@ -104,8 +104,6 @@ class Index:
 def build_index(segments: list[tuple[int, list[str], int, bool]], weights: list[dict[str, float]]) -> Index:
     """An index of (item, words, words of the question, short) with the weights of each one's words."""
     vocab = {w: k for k, w in enumerate(sorted(set().union(*weights)), 1)}
-    if len(vocab) >= 1 << 21:
-        raise ValueError("a part has too many words; use a smaller part")
     rows = [np.array([vocab[w] for w in words], np.int64) for _, words, _, _ in segments]
     term = np.array([vocab[w] for ws in weights for w in ws], np.int64)
     segment = np.repeat(np.arange(len(weights)), [len(ws) for ws in weights]).astype(np.int64)
@@ -233,6 +231,11 @@ def verify(index: Index, segment: int, terms: np.ndarray) -> tuple[float, float,
         starts = np.flatnonzero(terms[: len(terms) - len(own) + 1] == own[0]) if len(terms) >= len(own) else []
         found = any(np.array_equal(terms[i : i + len(own)], own) for i in starts)
         return float(found), float(found), found
+    # numbered among the segment's own words, so that trigrams fit however many words the index has
+    known = np.unique(own)
+    at = np.minimum(np.searchsorted(known, terms), len(known) - 1)
+    terms = np.where(known[at] == terms, at + 1, 0)
+    own = np.searchsorted(known, own) + 1
     size, inside = [], []
     for part in (own[:n], own[n:]):
         g = grams(part, min(3, len(part)))

@@ -243,3 +243,13 @@ def test_run(spark, sf):
 
     out = p.run(spark, sf)
     assert out.count() > 0 and out.groupBy("doc_id", "piece").count().where("count > 1").count() == 0
+
+
+def test_index_of_many_words():
+    """An index with over two million distinct words verifies by the segment's own."""
+    segments = [(k, [f"w{k * 64 + i}" for i in range(64)], 40, False) for k in range(34_000)]
+    index = decontam.build_index(segments, [{w: 1 / 64 for w in ws} for _, ws, _, _ in segments])
+    assert len(index.vocab) > 1 << 21
+    for s in (0, 33_999):
+        assert decontam.verify(index, s, index.terms[s])[2]
+        assert not decontam.verify(index, s, index.terms[17_000])[2]
