@@ -34,7 +34,7 @@ LIMIT = 2048
 #: Documents dealt to one bucket on average.
 BUCKET = 32768
 #: Words whose ids a worker remembers at most, before those not used since as many others are forgotten.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 
 _state: dict[str, list] = {}
 _word_by_word: dict[str, bool] = {}
