@@ -19,7 +19,7 @@ from ..operators.detect import Options, detect, left_visible
 from ..operators.spans import exploded, islands, overlap_join, resolve, weight
 from ..sources import catalog, files
 from ..sources.shared import temporary_folder
-from ..streaming import jobs
+from ..streaming import jobs, state
 from .fixtures import SQL, fixture
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -613,6 +613,31 @@ def events_session(spark, d):
     return jobs.sessions(_read(spark, d, "events"))
 
 
+@query()
+def memo_hits(spark, d):
+    """Each user's events ask for an entry: whether it is remembered, with 30 minutes and 300 entries."""
+    e = _read(spark, d, "events")
+    return state.memo(e.select("user_id", F.col("event_id").alias("id"), F.col("ts").alias("at"), F.concat_ws("-", "event_type", (F.col("event_id") % 3).cast("string")).alias("entry")), "user_id")
+
+
+@query()
+def job_registry(spark, d):
+    """Each user's events are calls and results of a job: what each call is told, and each result once."""
+    return state.registry(_job_log(_read(spark, d, "events")))
+
+
+def _job_log(e):
+    called = F.pmod(F.col("event_id"), F.lit(2)) == 0
+    return e.select(F.col("user_id").alias("job"), F.col("event_id").alias("id"), F.col("ts").alias("at"), F.when(called, "call").otherwise("done").alias("kind"), F.when(~called, F.col("event_id").cast("string")).alias("result"))
+
+
+@query(_labels + "SELECT scope_id, CASE type WHEN 'email' THEN 'EMAIL' ELSE 'DNI' END AS base, value AS key, CAST(row_number() OVER (PARTITION BY scope_id, type ORDER BY value) AS INT) AS num FROM k")
+def labels_with_state(spark, d):
+    """Labels from state.  Numbers follow the order of coming, so keys come once and in order here."""
+    m = _order_matches(spark, d).select("scope_id", F.upper("type").alias("base"), F.col("value").alias("key")).distinct()
+    return state.labelled(m.repartition(spark.sparkContext.defaultParallelism, "scope_id").sortWithinPartitions("scope_id", "key"))
+
+
 @query("SELECT DISTINCT lower(v) AS v FROM (SELECT n_name AS v FROM nation UNION ALL SELECT r_name FROM region UNION ALL SELECT n_name FROM nation)")
 def dedup_union(spark, d):
     n, r = _read(spark, d, "nation").select(F.lower("n_name").alias("v")), _read(spark, d, "region").select(F.lower("r_name"))

@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 
@@ -23,42 +19,20 @@ def detected_counts(docs: DataFrame, options=None) -> DataFrame:
     return detect(docs, options=options).select(F.explode("matches").alias("m")).groupBy(F.col("m.type").alias("type")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def run_available(df: DataFrame, path: str, checkpoint: str, mode: str = "append", fmt: str = "parquet") -> None:
-    """Work off all that is there and stop; started again with the same checkpoint, only what is new is done."""
-    df.writeStream.format(fmt).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path).awaitTermination()
-
+def run_available(df: DataFrame, path: str, checkpoint: str, mode: str = "append", fmt: str = "parquet", single: bool = False) -> None:
+    """Work off all that is there and stop; started again with the same checkpoint, only what is new is done.
 
-LABELS = "scope_id string, base string, key string, num int"
-_STATE = "bases array<string>, keys array<string>, nums array<int>"
+    State that expires with the clock always asks for one more batch, so that such a stream stops only as a ``single`` one.
+    """
+    trigger = {"once": True} if single else {"availableNow": True}
+    df.writeStream.format(fmt).outputMode(mode).option("checkpointLocation", checkpoint).trigger(**trigger).start(path).awaitTermination()
 
 
 def labelled_stream(keys: DataFrame, ttl_ms: int = 30 * 60 * 1000) -> DataFrame:
-    """Labels numbered by first appearance in each scope, over a stream of (scope_id, base, key, …).
-
-    A scope's table is its state; it is forgotten after ``ttl_ms`` without a row.
-    """
+    """Labels numbered by first appearance in each scope, over a stream of (scope_id, base, key, …)."""
+    from .state import labelled
 
-    def number(scope: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        bases, names, nums = (list(x) for x in state.get) if state.exists else ([], [], [])
-        known = {(b, k): n for b, k, n in zip(bases, names, nums, strict=True)}
-        last: dict[str, int] = {}
-        for (b, _), n in known.items():
-            last[b] = max(last.get(b, 0), n)
-        out = []
-        for part in parts:
-            for r in part.itertuples():
-                if (r.base, r.key) not in known:
-                    last[r.base] = last.get(r.base, 0) + 1
-                    known[r.base, r.key] = last[r.base]
-                    out.append((scope[0], r.base, r.key, last[r.base]))
-        state.update(([b for b, _ in known], [k for _, k in known], list(known.values())))
-        state.setTimeoutDuration(ttl_ms)
-        yield pd.DataFrame(out, columns=["scope_id", "base", "key", "num"])
-
-    return keys.groupBy("scope_id").applyInPandasWithState(number, LABELS, _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return labelled(keys, ttl_ms=ttl_ms)
 
 
 def _watermarked(events: DataFrame, late: str) -> DataFrame:
