@@ -7,6 +7,7 @@ gone through one by one.
 
 from __future__ import annotations
 
+import bisect
 import re
 
 import pandas as pd
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.text import PARTICLES, entity_key
 from ..sources.shared import stored
 from .sequential import company_key, norm
+from .tokens import places_of
 
 # fixed values: label of each type
 BASES = {"nombre": "PERSONA", "dni": "DNI", "nie": "NIE", "iban": "IBAN", "cuenta": "CUENTA", "tarjeta": "TARJETA", "telefono": "TELEFONO", "email": "EMAIL", "direccion": "DIRECCION", "cp": "CP", "nss": "NSS", "matricula": "MATRICULA", "fecha_nac": "FECHA_NAC", "empresa": "EMPRESA", "cif": "NIF_EMPRESA", "importe": "IMPORTE", "personalizado": "OTRO"}
@@ -81,35 +83,42 @@ def occurrences(matches: DataFrame, ents: DataFrame, scope: str = "scope_id") ->
     return m.join(ents.select(scope, "base", "key", "label"), [scope, "base", "key"]).select(scope, "doc_id", "start", "end", "value", "base", "label", F.lit(False).alias("repeated"))
 
 
-def worth_repeating(v: str) -> bool:
-    return len(re.sub(r"\D", "", v)) >= 5 if re.fullmatch(r"\d[\d\s./-]*", v) else len(v) >= 4
+def worth_repeating(value: Column) -> Column:
+    """Numbers of five digits or more, other values of four characters or more."""
+    return F.when(value.rlike("^[0-9][0-9\\s./-]*$"), F.length(F.regexp_replace(value, "[^0-9]", "")) >= 5).otherwise(F.length(value) >= 4)
 
 
-def find_repeats(text: str, taken: list[tuple[int, int]], forms: list[tuple[str, str]]) -> list[tuple[int, int, str, str]]:
-    """Further places of known values as whole words, longest first; values of several words in any case."""
-    out, busy = [], list(taken)
-    for value, label in sorted({v: x for v, x in reversed(forms) if worth_repeating(v)}.items(), key=lambda f: (-len(f[0]), f[0])):
-        for m in re.finditer(r"(?<![^\W_])" + re.escape(value) + r"(?![^\W_])", text, re.I if re.search(r"\s", value) else 0):
-            if all(m.end() <= s or m.start() >= e for s, e in busy):
-                busy.append(m.span())
-                out.append((m.start(), m.end(), m[0], label))
+def unclaimed(found: list[dict], taken: list[dict]) -> list[dict]:
+    """Of the places found, those that overlap nothing taken nor each other: longest values first, then by value and place."""
+    busy: list[tuple[int, int]] = []  # disjoint, in order: what is taken, overlaps put together
+    for start, end in sorted((t["start"], t["end"]) for t in taken):
+        if busy and start < busy[-1][1]:
+            busy[-1] = (busy[-1][0], max(end, busy[-1][1]))
+        else:
+            busy.append((start, end))
+    out = []
+    for f in sorted(found, key=lambda f: (-len(f["form"]), f["form"], f["start"])):
+        at = bisect.bisect_left(busy, (f["end"],))  # only the last span that starts before its end can reach into it
+        if at == 0 or busy[at - 1][1] <= f["start"]:
+            busy.insert(at, (f["start"], f["end"]))
+            out.append(f)
     return out
 
 
 def completed(docs: DataFrame, occ: DataFrame, scope: str = "scope_id", text_col: str = "text") -> DataFrame:
-    """The occurrences and the repeats that the detectors did not see.  A scope's distinct forms go to each of its documents."""
-    forms = occ.groupBy(scope, "value").agg(F.min_by("label", F.struct("doc_id", "start")).alias("label")).groupBy(scope).agg(F.collect_list(F.struct("value", "label")).alias("forms"))
+    """The occurrences and the repeats that the detectors did not see: known values as whole words, those of several words in any case."""
+    forms = occ.where(worth_repeating(F.col("value"))).groupBy(scope, F.col("value").alias("form")).agg(F.min_by("label", F.struct("doc_id", "start")).alias("label"))
+    places = places_of(docs, forms, scope, text_col, F.col("form").rlike("\\s"))
+    found = places.groupBy(scope, "doc_id").agg(F.collect_list(F.struct("start", "end", "value", "form", "label")).alias("found"))
     taken = occ.groupBy(scope, "doc_id").agg(F.collect_list(F.struct("start", "end")).alias("taken"))
 
-    @F.pandas_udf("array<struct<start:int,end:int,value:string,label:string>>")
-    def repeats(text: pd.Series, taken: pd.Series, forms: pd.Series) -> pd.Series:
-        keys = ("start", "end", "value", "label")
-        spans = ([] if t is None else [(x["start"], x["end"]) for x in t] for t in taken)
-        return pd.Series([[dict(zip(keys, r, strict=True)) for r in find_repeats(a or "", b, [(f["value"], f["label"]) for f in c])] for a, b, c in zip(text, spans, forms, strict=True)])
+    @F.pandas_udf("array<struct<start:int,end:int,value:string,form:string,label:string>>")
+    def free(found: pd.Series, taken: pd.Series) -> pd.Series:
+        return pd.Series([unclaimed(list(f), [] if t is None else list(t)) for f, t in zip(found, taken, strict=True)])
 
-    found = docs.select(scope, "doc_id", text_col).join(forms, scope).join(taken, [scope, "doc_id"], "left").select(scope, "doc_id", F.explode(repeats(F.col(text_col), "taken", "forms")).alias("r"))
+    new = found.join(taken, [scope, "doc_id"], "left").select(scope, "doc_id", F.explode(free("found", "taken")).alias("r"))
     base = F.regexp_extract("r.label", "^\\[(.*)_[0-9]+\\]$", 1)
-    more = found.select(scope, "doc_id", "r.start", "r.end", "r.value", base.alias("base"), "r.label", F.lit(True).alias("repeated"))
+    more = new.select(scope, "doc_id", "r.start", "r.end", "r.value", base.alias("base"), "r.label", F.lit(True).alias("repeated"))
     return occ.unionByName(more)
 
 
@@ -182,6 +191,5 @@ def restore(text: Column, table: Column) -> Column:
 
 def leaks(docs: DataFrame, occ: DataFrame, scope: str = "scope_id", text_col: str = "pseudonymized") -> DataFrame:
     """(scope, doc_id, label): values of four characters or more that still stand as whole words in a result."""
-    values = occ.where(F.length("value") >= 4).select(scope, "value", "label").distinct()
-    word = F.concat(F.lit("(?<![\\p{L}\\p{N}])\\Q"), F.col("value"), F.lit("\\E(?![\\p{L}\\p{N}])"))
-    return docs.join(values, scope).where(F.contains(F.col(text_col), F.col("value"))).where(F.regexp_like(F.col(text_col), word)).select(scope, "doc_id", "label").distinct()
+    values = occ.where(F.length("value") >= 4).select(scope, F.col("value").alias("form"), "label").distinct()
+    return places_of(docs, values, scope, text_col).select(scope, "doc_id", "label").distinct()

@@ -264,6 +264,19 @@ def leak_check(spark, d):
     return ent.leaks(out, occ).select("doc_id")
 
 
+_letters = "WITH d AS (SELECT c_custkey AS doc_id, c_custkey // 5 AS scope_id, 'Carta de ' || c_name || ' sobre xCustomer y ' || 'Customer#' || lpad(CAST(c_custkey - c_custkey % 5 AS VARCHAR), 9, '0') || '; no customer#' || lpad(CAST(c_custkey - c_custkey % 5 AS VARCHAR), 9, '0') || ' ni Customer#' || lpad(CAST(c_custkey - c_custkey % 5 AS VARCHAR), 9, '0') || '7' AS text, 'Customer#' || lpad(CAST(c_custkey - c_custkey % 5 AS VARCHAR), 9, '0') AS v FROM customer), p AS (SELECT *, unnest(range(1, length(text) + 1)) AS i FROM d) "
+
+
+@query(_letters + "SELECT doc_id, CAST(i - 1 AS INT) AS start, CAST(i - 1 + length(v) AS INT) AS stop, NOT (doc_id % 5 = 0 AND i = 10) AS repeated FROM p WHERE substr(text, i, length(v)) = v AND NOT regexp_matches(substr(text, i + length(v), 1), '[A-Za-z0-9]') AND scope_id IN (SELECT c_custkey // 5 FROM customer WHERE c_custkey % 5 = 0)")
+def repeated_values(spark, d):
+    """Values found once in a scope are found again wherever they stand in its texts as whole words, in their own case."""
+    k = F.col("c_custkey")
+    name = F.concat(F.lit("Customer#"), F.lpad((k - k % 5).cast("string"), 9, "0"))
+    docs = _read(spark, d, "customer").select(k.alias("doc_id"), F.floor(k / 5).alias("scope_id"), F.concat(F.lit("Carta de "), "c_name", F.lit(" sobre xCustomer y "), name, F.lit("; no "), F.replace(name, F.lit("C"), F.lit("c")), F.lit(" ni "), name, F.lit("7")).alias("text"), name.alias("value"))
+    occ = docs.where("doc_id % 5 = 0").select("scope_id", "doc_id", F.lit(9).alias("start"), (F.length("value") + 9).alias("end"), "value", F.lit("PERSONA").alias("base"), F.lit("[PERSONA_1]").alias("label"), F.lit(False).alias("repeated"))
+    return ent.completed(docs, occ).select("doc_id", "start", F.col("end").alias("stop"), "repeated")
+
+
 @query("SELECT n_nationkey AS id FROM nation WHERE NOT (instr(' ' || lower(n_name) || ' ', ' united ') > 0 OR (length(n_name) >= 4 AND instr(' reino de china ', ' ' || lower(n_name) || ' ') > 0))")
 def visible_antijoin(spark, d):
     """Values that aren't to be left visible."""
