@@ -272,8 +272,11 @@ def left_visible(value: Column, keep: list[str]) -> Column:
     return (v != "") & hit
 
 
-def detect(docs: DataFrame, text_col: str = "text", options: Options | None = None, out: str = "matches") -> DataFrame:
-    """The documents with a column of matches that overlap nothing, by start.  A null text has none."""
+def detect(docs: DataFrame, text_col: str = "text", options: Options | None = None, out: str = "matches", known: str | None = None) -> DataFrame:
+    """The documents with a column of matches that overlap nothing, by start.  A null text has none.
+
+    ``known`` is a column of keys of companies that a dictionary has of the text (``sources.dictionary.with_known``).
+    """
     o = options or Options()
     t = F.coalesce(F.col(text_col), F.lit(""))
     df = docs
@@ -281,7 +284,7 @@ def detect(docs: DataFrame, text_col: str = "text", options: Options | None = No
     if set(o.wanted()) & set(SEQUENTIAL):
         from .sequential import sequential_matches
 
-        df = df.withColumn("_sequential", sequential_matches(o)(t))
+        df = df.withColumn("_sequential", sequential_matches(o)(t, F.col(known) if known else None))
         seq = F.col("_sequential")
     df = df.withColumn("_raw", raw_matches(t, o, seq)).withColumn("_raw", companies_first(F.col("_raw")))
     found = resolve(F.col("_raw"))

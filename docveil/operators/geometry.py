@@ -151,7 +151,7 @@ def quad_score(q: Column, support: Column, width: Column, height: Column, ratio:
 
 def confidence(score: Column, worst: Column, agreed: Column) -> Column:
     """alta, media or baja by mark and weakest side; one less if no second method agrees."""
-    level = F.when((score >= 0.72) & (worst >= 0.6), 3).when(score >= 0.45, 2).otherwise(1)
+    level = F.when((score >= 0.72) & (worst >= 0.45), 3).when(score >= 0.6, 2).otherwise(1)
     level = F.greatest(level - F.when(agreed, 0).otherwise(1), F.lit(1))
     return F.when(level == 3, "alta").when(level == 2, "media").otherwise("baja")
 

@@ -12,12 +12,13 @@ from .. import api
 from ..functions import checks
 from ..functions.mask import counted, masked
 from ..functions.text import dice, dice_words, entity_key, lookalike, name_tokens, paragraph_key, readable_size, unaccent
+from ..operators import cards
 from ..operators import compare as cmp
 from ..operators import entities as ent
 from ..operators import geometry, pages
 from ..operators.detect import Options, detect, left_visible
 from ..operators.spans import exploded, islands, overlap_join, resolve, weight
-from ..sources import catalog, files
+from ..sources import catalog, dictionary, files
 from ..sources.shared import temporary_folder
 from ..streaming import jobs, state
 from .fixtures import SQL, fixture
@@ -290,21 +291,30 @@ def visible_antijoin(spark, d):
 @query("WITH w AS (SELECT p_partkey, unnest(string_split(upper(p_name), ' ')) AS w FROM part), k AS (SELECT DISTINCT upper(split_part(p_name, ' ', 1)) AS w FROM part WHERE p_partkey % 7 = 0) SELECT p_partkey AS doc_id, CAST(count(*) AS BIGINT) AS known FROM w SEMI JOIN k USING (w) GROUP BY p_partkey")
 def dictionary_semijoin(spark, d):
     """Words of names that a dictionary knows."""
-    from ..functions.text import normal
-
     part = _read(spark, d, "part")
-    words = part.select(F.col("p_partkey").alias("doc_id"), F.explode(F.split(normal(F.col("p_name")), " ")).alias("w"))
-    known = part.where("p_partkey % 7 = 0").select(normal(F.substring_index("p_name", " ", 1)).alias("w")).distinct()
-    return words.join(known, "w", "left_semi").groupBy("doc_id").agg(F.count(F.lit(1)).alias("known"))
+    table = dictionary.table_of(part.where("p_partkey % 7 = 0").select(F.substring_index("p_name", " ", 1).alias("name")), "name")
+    found = dictionary.known_words(part.withColumnRenamed("p_partkey", "doc_id"), F.split("p_name", " "), table, "doc_id")
+    return found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("known"))
 
 
 @query("WITH t AS (SELECT p_partkey AS doc_id, string_split(p_name, ' ') AS w FROM part), g AS (SELECT doc_id, i, k, array_to_string(w[i:i + k - 1], ' ') AS gram FROM t, (SELECT unnest(range(1, 9)) AS i), (SELECT unnest(range(1, 4)) AS k) WHERE i + k - 1 <= len(w)), c AS (SELECT DISTINCT array_to_string(string_split(p_name, ' ')[1:2], ' ') AS gram FROM part WHERE p_partkey % 5 = 0 UNION SELECT DISTINCT split_part(p_name, ' ', 1) FROM part WHERE p_partkey % 11 = 0) SELECT doc_id, CAST(i - 1 AS INT) AS at, CAST(max(k) AS INT) AS words FROM g SEMI JOIN c USING (gram) GROUP BY doc_id, i")
 def ngram_company_join(spark, d):
     """Longest dictionary entry from each place, over n-grams of words."""
-    part = _read(spark, d, "part").select(F.col("p_partkey").alias("doc_id"), F.split("p_name", " ").alias("w"))
-    known = part.where("doc_id % 5 = 0").select(F.array_join(F.slice("w", 1, 2), " ").alias("gram")).union(part.where("doc_id % 11 = 0").select(F.get("w", F.lit(0)))).distinct()
-    grams = part.select("doc_id", "w", F.posexplode("w").alias("at", "_")).select("doc_id", "at", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.lit(3), F.size("w") - F.col("at"))), lambda k: F.struct(k.alias("words"), F.array_join(F.slice("w", F.col("at") + 1, k), " ").alias("gram")))).alias("g"))
-    return grams.select("doc_id", "at", "g.words", "g.gram").join(known, "gram", "left_semi").groupBy("doc_id", "at").agg(F.max("words").alias("words"))
+    part = _read(spark, d, "part").select(F.col("p_partkey").alias("doc_id"), F.col("p_name").alias("text"))
+    two, one = F.substring_index("text", " ", 2).alias("name"), F.substring_index("text", " ", 1).alias("name")
+    table = dictionary.table_of(part.where("doc_id % 5 = 0").select(two).union(part.where("doc_id % 11 = 0").select(one)), "name", famous=F.lit(True))
+    return dictionary.longest_phrases(part, table, most=3, capital=False)
+
+
+@query("SELECT o_orderkey AS doc_id, 'Talleres Ruiz ' || CAST(o_custkey AS VARCHAR) AS value, CAST(19 AS INT) AS start FROM orders WHERE o_custkey IN (SELECT o_custkey FROM orders WHERE o_orderkey % 3 = 0)")
+def dictionary_companies(spark, d):
+    """Companies without a legal form, which only the dictionary knows, through the whole detector."""
+    name = F.concat(F.lit("Talleres Ruiz "), F.col("o_custkey").cast("string"))
+    o = _read(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), name.alias("name"))
+    table = dictionary.table_of(o.where("doc_id % 3 = 0"), "name")
+    docs = o.select("doc_id", F.concat(F.lit("se ha contratado a "), F.col("name"), F.lit(" para ello")).alias("text"))
+    found = detect(dictionary.with_known(docs, table), options=Options(types=["empresa"]), known="known_companies")
+    return exploded(found.drop("text", "known_companies")).where("type = 'empresa'").select("doc_id", "value", "start")
 
 
 _labels = "WITH m AS (SELECT o_custkey % 50 AS scope_id, o_orderkey AS doc_id, CASE WHEN o_orderkey % 2 = 0 THEN 'email' ELSE 'dni' END AS type, 'v' || CAST(o_custkey % 13 AS VARCHAR) AS value FROM orders), k AS (SELECT scope_id, type, value, min(doc_id) AS first FROM m GROUP BY ALL) "
@@ -607,6 +617,72 @@ def quad_area_convex(spark, d):
     return parts.select("id", F.round(geometry.quad_area(F.col("q")), 6).alias("area"), geometry.is_convex(F.col("q")).alias("convex"))
 
 
+def _rect(x0, y0, x1, y1):
+    pt = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    return F.array(pt(x0, y0), pt(x1, y0), pt(x1, y1), pt(x0, y1))
+
+
+def _corners(q):
+    return [F.round(F.get(q, F.lit(i))[c], 6).alias(f"{c}{i}") for i in range(4) for c in "xy"]
+
+
+_BOX = "WITH b AS (SELECT p_partkey AS id, CAST(50 + p_partkey % 40 AS DOUBLE) AS x0, CAST(40 + p_partkey % 30 AS DOUBLE) AS y0, CAST(250 + p_partkey % 40 + p_size AS DOUBLE) AS x1, CAST(160 + p_partkey % 30 + p_size AS DOUBLE) AS y1 FROM part) "
+
+
+def _boxes(spark, d):
+    """A rectangle for each part, in a picture of 600 by 400."""
+    k, n = F.col("p_partkey"), F.col("p_size")
+    at = lambda c: c.cast("double")
+    return _read(spark, d, "part").select(k.alias("image_id"), F.lit(600.0).alias("width"), F.lit(400.0).alias("height"), at(50 + k % 40).alias("x0"), at(40 + k % 30).alias("y0"), at(250 + k % 40 + n).alias("x1"), at(160 + k % 30 + n).alias("y1"))
+
+
+@query(_BOX + "SELECT id, x0, y0, x1, y0 AS y1, x1 AS x2, y1 AS y2, x0 AS x3, y1 AS y3 FROM b")
+def quads_of_lines(spark, d):
+    """Segments of a rectangle's sides, broken, doubled and turned about, and a diagonal: they make one candidate."""
+    b = _boxes(spark, d)
+    x0, y0, x1, y1 = (F.col(c) for c in ("x0", "y0", "x1", "y1"))
+    seg = lambda n, *c: F.struct(F.lit(n).alias("seq"), *[F.lit(v).cast("double").alias(a) if not hasattr(v, "cast") else v.alias(a) for a, v in zip(("x1", "y1", "x2", "y2"), c, strict=True)])
+    drawn = [seg(0, x0, y0, x0 + 80, y0), seg(1, x1, y1, x0, y1), seg(2, x0, y1, x0, y0), seg(3, x1, y0, x1, y1), seg(4, x1, y0, x0 + 100, y0), seg(5, x0, y1 + 2, x1, y1 + 2), seg(6, x0, y0, x0 + 60, y0 + 60), seg(7, x0, y0, x0, y0)]
+    segments = b.select("image_id", "width", "height", F.explode(F.array(*drawn)).alias("s")).select("image_id", "width", "height", "s.*")
+    found = cards.line_quads(cards.longest_lines(segments))
+    return found.select(F.col("image_id").alias("id"), *_corners(F.col("q")))
+
+
+@query(_BOX + "SELECT id, CASE WHEN id % 3 = 0 THEN x0 - 2 ELSE round((x0 - 0.01 * y0) / 1.0001, 6) END AS x0, CASE WHEN id % 3 = 0 THEN y0 + 2 ELSE round(y0 + 0.01 * (x0 - 0.01 * y0) / 1.0001, 6) END AS y0, CASE WHEN id % 3 = 0 THEN x1 - 2 ELSE round((x1 - 0.01 * y0) / 1.0001, 6) END AS x1, CASE WHEN id % 3 = 0 THEN y0 + 2 ELSE round(y0 + 0.01 * (x1 - 0.01 * y0) / 1.0001, 6) END AS y1, CASE WHEN id % 3 = 0 THEN x1 - 2 ELSE round((x1 - 0.01 * y1) / 1.0001, 6) END AS x2, CASE WHEN id % 3 = 0 THEN y1 + 2 ELSE round(y1 + 0.01 * (x1 - 0.01 * y1) / 1.0001, 6) END AS y2, CASE WHEN id % 3 = 0 THEN x0 - 2 ELSE round((x0 - 0.01 * y1) / 1.0001, 6) END AS x3, CASE WHEN id % 3 = 0 THEN y1 + 2 ELSE round(y1 + 0.01 * (x0 - 0.01 * y1) / 1.0001, 6) END AS y3 FROM b")
+def refined_sides(spark, d):
+    """Rectangles beside slightly turned sides, of which points were found: too few of every third."""
+    b = _boxes(spark, d)
+    x0, y0, x1, y1 = (F.col(c) for c in ("x0", "y0", "x1", "y1"))
+    quads = b.select("image_id", "width", "height", _rect(x0 - 2, y0 + 2, x1 - 2, y1 + 2).alias("q"))
+    t = F.explode(F.sequence(F.lit(0), F.when(F.col("image_id") % 3 == 0, 8).otherwise(36))).alias("t")
+    p = b.select("*", t).select("*", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("side"))
+    flat, n = F.col("side") % 2 == 0, F.col("t") / 36
+    along = F.when(flat, x0 + (x1 - x0) * n).otherwise(y0 + (y1 - y0) * n)
+    across = F.when(F.col("side") == 0, y0).when(F.col("side") == 1, x1).when(F.col("side") == 2, y1).otherwise(x0)
+    points = p.select("image_id", "side", F.when(flat, along).otherwise(across - along * 0.01).alias("x"), F.when(flat, across + along * 0.01).otherwise(along).alias("y"))
+    return cards.refined(quads, points).select(F.col("image_id").alias("id"), *_corners(F.col("q")))
+
+
+@query("WITH c AS (SELECT p_partkey AS id, 50 + p_size AS s, p_partkey % 10 >= 5 AS firm, p_partkey % 3 = 0 AND p_partkey % 2 = 0 AS backed, p_partkey % 7 = 0 AS swapped, p_partkey % 4 <> 0 AS fits FROM part), one AS (SELECT *, CASE WHEN s >= 72 AND firm THEN 3 WHEN s >= 60 THEN 2 ELSE 1 END AS level FROM c WHERE s >= 55), other AS (SELECT * FROM one WHERE fits AND s - 5 >= 72) SELECT id, 1 AS n, 'whole' AS origin, CAST(0.55 AS DOUBLE) AS score, CAST(0 AS BIGINT) AS agreed, 'media' AS confidence FROM c WHERE s < 55 UNION ALL SELECT one.id, CASE WHEN one.swapped AND other.id IS NOT NULL THEN 2 ELSE 1 END, 'bordes1', one.s / 100.0, CASE WHEN one.backed THEN 1 ELSE 0 END, CASE greatest(1, one.level - CASE WHEN one.backed THEN 0 ELSE 1 END) WHEN 3 THEN 'alta' WHEN 2 THEN 'media' ELSE 'baja' END FROM one LEFT JOIN other USING (id) UNION ALL SELECT id, CASE WHEN swapped THEN 1 ELSE 2 END, 'lineas', (s - 5) / 100.0, 0, 'media' FROM other")
+def chosen_cards(spark, d):
+    """Candidates of three methods: agreement, confidence, a second card, and reading order."""
+    k = F.col("p_partkey")
+    part = _read(spark, d, "part").select(k.alias("image_id"), F.lit(600.0).alias("width"), F.lit(400.0).alias("height"), (50 + F.col("p_size")).alias("s"), k)
+    own, far = F.when(k % 7 == 0, 350).otherwise(50), F.when(k % 7 == 0, 50).otherwise(350)
+    off, long = F.when(k % 3 == 0, 2).otherwise(20), F.when(k % 4 == 0, 50).otherwise(200)
+    cand = lambda n, origin, q, less, worst: F.struct(F.lit(n).alias("seq"), F.lit(origin).alias("origin"), q.alias("q"), ((F.col("s") - less) / 100).alias("score"), worst.alias("worst"))
+    worst, y = (k % 10 / 10 - 0.05).cast("double"), F.lit(50)
+    made = F.array(
+        cand(0, "bordes1", _rect(own, y, own + 200, y + 120), F.lit(0), worst),
+        cand(1, "zonas-inv0", _rect(own + off, y, own + off + 200, y + 120), F.when(k % 2 == 0, 10).otherwise(30), worst),
+        cand(2, "lineas", _rect(far, y + 10, far + long, y + 130), F.lit(5), F.lit(0.9)),
+        cand(3, "bordes3", _rect(own + 1, y, own + 201, y + 120), F.lit(1), worst),
+    )
+    candidates = part.select("image_id", "width", "height", F.explode(made).alias("c")).select("image_id", "width", "height", "c.*")
+    out = cards.chosen_cards(candidates, part)
+    return out.select(F.col("image_id").alias("id"), "n", "origin", "score", "agreed", "confidence")
+
+
 @query("SELECT l_orderkey AS id, l_linenumber AS n, CASE WHEN l_quantity < 3 THEN 'diminuto' WHEN l_extendedprice % 300 >= 120 THEN NULL WHEN l_extendedprice % 765 < 300 THEN 'tapado' ELSE 'invisible' END AS reason FROM lineitem")
 def hidden_text_reason(spark, d):
     li = _read(spark, d, "lineitem")
