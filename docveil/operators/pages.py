@@ -5,6 +5,8 @@ A page is a row ``(doc_id, page_no, text, …)``; items are rows ``(doc_id, page
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -71,7 +73,7 @@ def margins(pages: DataFrame, text_col: str = "text", deep: int = 3, least: int
 
 
 def seams(pages: DataFrame, text_col: str = "text") -> DataFrame:
-    """(doc_id, page_no, tail, head, tail_start, head_start): for each page break the text on either side, headers, footers and page
+    """(doc_id, page_no, next_no, tail, head, tail_start, head_start): for each page break the text on either side, headers, footers and page
     numbers left out."""
     ls = lines(pages, text_col).withColumn("key", margin_key(F.col("line")))
     ls = ls.join(margins(pages, text_col).select("doc_id", "key", F.lit(True).alias("m")), ["doc_id", "key"], "left")
@@ -84,11 +86,11 @@ def seams(pages: DataFrame, text_col: str = "text") -> DataFrame:
     df = t.join(last, ["doc_id", "page_no"]).join(first.withColumnRenamed("page_no", "next_no"), ["doc_id", "next_no"])
     end = F.col("l.start") + F.col("l.n")
     begin = F.greatest(end - SEAM, F.lit(0))
-    return df.select("doc_id", "page_no", F.substring("t", begin + 1, end - begin).alias("tail"), F.substring("next", F.col("head_start") + 1, F.lit(SEAM)).alias("head"), begin.alias("tail_start"), "head_start")
+    return df.select("doc_id", "page_no", "next_no", F.substring("t", begin + 1, end - begin).alias("tail"), F.substring("next", F.col("head_start") + 1, F.lit(SEAM)).alias("head"), begin.alias("tail_start"), "head_start")
 
 
 def over_breaks(pages: DataFrame, options=None, text_col: str = "text") -> DataFrame:
-    """Matches that begin on one page and end on the next: (doc_id, page_no, type, value, confidence, a_start, a_end, b_start, b_end)."""
+    """Matches that begin on one page and end on the next: (doc_id, page_no, next_no, type, value, confidence, a_start, a_end, b_start, b_end)."""
     from .detect import detect
 
     s = seams(pages, text_col).withColumn("_t", F.concat("tail", F.lit("\n"), "head"))
@@ -96,7 +98,35 @@ def over_breaks(pages: DataFrame, options=None, text_col: str = "text") -> DataF
     cut = F.length("tail")
     crossing = F.filter("matches", lambda m: (m["start"] < cut) & (m["end"] > cut + 1))
     df = found.select("*", F.explode(crossing).alias("m"))
-    return df.select("doc_id", "page_no", F.col("m.type").alias("type"), F.regexp_replace("m.value", "\\s*\\n\\s*", " ").alias("value"), F.col("m.confidence").alias("confidence"), (F.col("tail_start") + F.col("m.start")).alias("a_start"), (F.col("tail_start") + cut).alias("a_end"), F.col("head_start").alias("b_start"), (F.col("head_start") + F.col("m.end") - cut - 1).alias("b_end"))
+    return df.select("doc_id", "page_no", "next_no", F.col("m.type").alias("type"), F.regexp_replace("m.value", "\\s*\\n\\s*", " ").alias("value"), F.col("m.confidence").alias("confidence"), (F.col("tail_start") + F.col("m.start")).alias("a_start"), (F.col("tail_start") + cut).alias("a_end"), F.col("head_start").alias("b_start"), (F.col("head_start") + F.col("m.end") - cut - 1).alias("b_end"))
+
+
+def page_matches(pages: DataFrame, options=None, text_col: str = "text") -> DataFrame:
+    """(doc_id, page_no, type, value, start, end, confidence, next_no, next_start, next_end, visible): all matches of paged documents.
+
+    A match over a page break takes the place of what either page alone has there; its rest is in the ``next_`` columns, null for others.  Pages
+    whose column ``ocr``, if there is one, is true are searched as read from scans.  ``visible`` marks what the options keep visible, which is not to be
+    redacted.  (doc_id, page_no) tells pages apart; null and empty texts have no matches.
+    """
+    from .detect import Options, detect, left_visible
+
+    o = options or Options()
+    every = replace(o, keep_visible=[])
+    keys = pages.select("doc_id", "page_no", F.col(text_col).alias("text"), F.coalesce("ocr", F.lit(False)).alias("_ocr") if "ocr" in pages.columns else F.lit(False).alias("_ocr"))
+    if "ocr" in pages.columns:
+        own = detect(keys.where("not _ocr"), options=every).unionByName(detect(keys.where("_ocr"), options=replace(every, ocr=True)))
+    else:
+        own = detect(keys, options=every)
+    over = over_breaks(keys, every)
+    first = over.select("doc_id", "page_no", F.col("a_start").alias("s"), F.col("a_end").alias("e"))
+    second = over.select("doc_id", F.col("next_no").alias("page_no"), F.col("b_start").alias("s"), F.col("b_end").alias("e"))
+    taken = first.unionByName(second).groupBy("doc_id", "page_no").agg(F.collect_list(F.struct("s", "e")).alias("_taken"))
+    left = own.select("doc_id", "page_no", "matches").join(taken, ["doc_id", "page_no"], "left")
+    free = F.filter("matches", lambda m: F.col("_taken").isNull() | ~F.exists("_taken", lambda t: (m["start"] < t["e"]) & (m["end"] > t["s"])))
+    none = [F.lit(None).cast("int").alias(c) for c in ("next_start", "next_end")]
+    alone = left.select("doc_id", "page_no", F.explode(free).alias("m")).select("doc_id", "page_no", "m.type", "m.value", "m.start", "m.end", "m.confidence", F.lit(None).cast(pages.schema["page_no"].dataType).alias("next_no"), *none)
+    broken = over.select("doc_id", "page_no", "type", "value", F.col("a_start").alias("start"), F.col("a_end").alias("end"), "confidence", "next_no", F.col("b_start").alias("next_start"), F.col("b_end").alias("next_end"))
+    return alone.unionByName(broken).withColumn("visible", left_visible(F.col("value"), o.keep_visible) if o.keep_visible else F.lit(False))
 
 
 def page_lines(items: DataFrame) -> DataFrame:
