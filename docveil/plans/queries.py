@@ -12,7 +12,7 @@ from .. import api
 from ..functions import checks
 from ..functions.mask import counted, masked
 from ..functions.text import dice, dice_words, entity_key, lookalike, name_tokens, paragraph_key, readable_size, unaccent
-from ..operators import cards
+from ..operators import align, cards
 from ..operators import compare as cmp
 from ..operators import entities as ent
 from ..operators import geometry, pages
@@ -706,6 +706,24 @@ def hidden_text_reason(spark, d):
     return li.select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("n"), geometry.hidden_reason(F.lit(0.0), F.col("l_extendedprice") % 300, F.col("l_extendedprice") % 765, F.col("l_quantity")).alias("reason"))
 
 
+_GLYPHS = r"""
+WITH c AS (SELECT page_id, k, l[k] AS c, CASE WHEN k > 1 THEN l[k - 1] END AS b FROM (SELECT page_id, l, unnest(range(1, len(l) + 1)) AS k FROM (SELECT page_id, regexp_extract_all(html, '(?s).') AS l FROM pages) t) u),
+ v AS (SELECT page_id, k - 1 AS k, NOT regexp_matches(c, '^\s$') AS seen, coalesce(c = 'i' AND b = 'f', false) AS tail FROM c),
+ g AS (SELECT page_id, k, seen, sum(CASE WHEN seen AND NOT tail THEN 1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY k) - 1 AS n FROM v)
+SELECT page_id, CAST(count(*) AS BIGINT) AS pairs, CAST(sum(k) AS BIGINT) AS places, CAST(sum(n) AS BIGINT) AS glyphs, CAST(sum(k * (n % 997)) AS BIGINT) AS crossed FROM g WHERE seen GROUP BY page_id
+"""
+
+
+@query(_GLYPHS)
+def glyph_alignment(spark, d):
+    """Letters of whole pages paired with glyphs that have a ligature for "fi" and no blanks."""
+    p = _read(spark, d, "pages").select("page_id", F.col("html").alias("text"))
+    drawn = F.regexp_extract_all(F.regexp_replace(F.regexp_replace("text", "fi", "ﬁ"), "\\s", ""), F.lit("(?s)."), F.lit(0))
+    glyphs = p.select("page_id", F.posexplode(drawn).alias("n", "c"))
+    at, n = F.col("at").cast("long"), F.col("n").cast("long")
+    return align.aligned(p, glyphs, ["page_id"]).groupBy("page_id").agg(F.count(F.lit(1)).alias("pairs"), F.sum(at).alias("places"), F.sum(n).alias("glyphs"), F.sum(at * (n % 997)).alias("crossed"))
+
+
 # ---------------------------------------------------------------- streams, run here as batches
 
 
