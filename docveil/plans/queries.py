@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import api
+from .. import sql as functions
 from ..functions import checks
 from ..functions.mask import counted, masked
 from ..functions.text import dice, dice_words, entity_key, lookalike, name_tokens, paragraph_key, readable_size, unaccent
@@ -724,6 +725,35 @@ def glyph_alignment(spark, d):
     return align.aligned(p, glyphs, ["page_id"]).groupBy("page_id").agg(F.count(F.lit(1)).alias("pairs"), F.sum(at).alias("places"), F.sum(n).alias("glyphs"), F.sum(at * (n % 997)).alias("crossed"))
 
 
+_BOTH = f"SELECT a.doc_id, a.value AS dni, a.good AS sure, b.value AS card, b.good AS paid, concat('Cliente con DNI ', a.value, ', cliente', CAST(a.doc_id AS VARCHAR), '@example.com; tarjeta ', b.value, ' caduca') AS text FROM ({SQL['dni']}) a JOIN ({SQL['card']}) b ON a.doc_id = b.doc_id"
+_LATERAL = f"""
+WITH f AS ({_BOTH})
+SELECT doc_id, 'dni' AS type, dni AS value, CAST(16 AS INT) AS start, CASE WHEN sure THEN 'alta' ELSE 'media' END AS confidence, '***' || substr(dni, 4, 4) || '**' AS masked FROM f
+UNION ALL SELECT doc_id, 'email', 'cliente' || doc_id || '@example.com', CAST(27 AS INT), 'alta', 'c***@e***.com' FROM f
+UNION ALL SELECT doc_id, 'tarjeta', card, CAST(57 + length(CAST(doc_id AS VARCHAR)) - 1 AS INT), 'alta', '**** **** **** ' || right(card, 4) FROM f WHERE paid
+"""
+
+
+def _with_three(spark, d):
+    a, b = (fixture(spark, d, k).select("doc_id", F.col("value").alias(k)) for k in ("dni", "card"))
+    text = F.concat(F.lit("Cliente con DNI "), "dni", F.lit(", cliente"), F.col("doc_id").cast("string"), F.lit("@example.com; tarjeta "), "card", F.lit(" caduca"))
+    return a.join(b, "doc_id").select("doc_id", text.alias("text"))
+
+
+@query(_LATERAL)
+def lateral_pii(spark, d):
+    """The table function of SQL over texts that hold three values each."""
+    functions.register_detection(spark)
+    return spark.sql("select d.doc_id, m.type, m.value, m.start, m.confidence, mask_value(m.type, m.value) as masked from {docs} d, lateral detect_pii(d.text) m", docs=_with_three(spark, d))
+
+
+@query(f"SELECT doc_id, 'Cliente con DNI ***' || substr(dni, 4, 4) || '**, c***@e***.com; tarjeta ' || CASE WHEN paid THEN '**** **** **** ' || right(card, 4) ELSE card END || ' caduca' AS text FROM ({_BOTH}) f")
+def masked_texts(spark, d):
+    """The same texts with their values covered."""
+    functions.register_detection(spark)
+    return spark.sql("select doc_id, mask_pii(text) as text from {docs}", docs=_with_three(spark, d))
+
+
 # ---------------------------------------------------------------- streams, run here as batches
 
 
