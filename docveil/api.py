@@ -14,7 +14,7 @@ from .operators import compare as _compare
 from .operators import entities as _entities
 from .operators import images as _images
 from .operators.detect import Options, detect
-from .operators.spans import exploded
+from .operators.spans import WEIGHT, exploded
 from .sources import catalog as _catalog
 
 # fixed values: labels that stand for a redacted value
@@ -44,6 +44,12 @@ def counts_of(found: DataFrame) -> DataFrame:
     return found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("confidence") != "alta").alias("doubtful"))
 
 
+def confidence_of(found: DataFrame) -> DataFrame:
+    """(type, alta, media, baja): how many matches of each type have each confidence; types without a match have no row."""
+    n = lambda c: F.count_if(F.col("confidence") == c).alias(c)
+    return found.groupBy("type").agg(*[n(c) for c in WEIGHT])
+
+
 def totals(docs: DataFrame, options: Options | None = None) -> DataFrame:
     """(type, n, docs) over all documents, with a row of grand totals (type null)."""
     return totals_of(matches(docs, options))

@@ -37,6 +37,27 @@ def trimmed(matches: DataFrame) -> DataFrame:
     return matches.withColumn("_lead", lead).withColumn("value", v).where("value <> ''").withColumn("start", F.col("start") + F.col("_lead")).withColumn("end", F.col("start") + F.length("value")).drop("_lead")
 
 
+def only_container(short: DataFrame, long: DataFrame, scope: str = "scope_id") -> DataFrame:
+    """(scope, short, long): the only longer form of a scope that holds all words of a shorter one; none if several do.
+
+    Both are (scope, id, tokens).  Equal sets of words are taken together first, so that repeats meet once, and a set is looked for at its
+    word that the fewest sets of the other side have.  Sets without a word have no row; a null scope is none.
+    """
+    plain = F.filter(F.array_sort(F.array_distinct("tokens")), lambda t: t.isNotNull())
+    sets = lambda df: df.where(F.col(scope).isNotNull()).select(scope, "id", plain.alias("tokens")).where("size(tokens) > 0")
+    own = sets(short).withColumnRenamed("id", "short").distinct()
+    few = own.select(scope, "tokens").distinct()
+    many = sets(long).groupBy(scope, "tokens").agg(F.count_distinct("id").alias("_n"), F.min("id").alias("_id")).withColumnRenamed("tokens", "_held")
+    index = many.select(scope, F.explode("_held").alias("_word"), "_held", "_n", "_id")
+    common = index.groupBy(scope, "_word").agg(F.count(F.lit(1)).alias("_rate"))
+    words = few.select(scope, "tokens", F.explode("tokens").alias("_word")).join(common, [scope, "_word"], "left")
+    rarest = words.groupBy(scope, "tokens").agg(F.min(F.struct(F.coalesce("_rate", F.lit(0)).alias("rate"), F.col("_word").alias("word"))).alias("_r"))
+    at = rarest.where("_r.rate > 0").select(scope, "tokens", F.col("_r.word").alias("_word"))
+    held = at.join(index, [scope, "_word"]).where(F.size(F.array_except("tokens", "_held")) == 0)
+    one = held.groupBy(scope, "tokens").agg(F.sum("_n").alias("_n"), F.min("_id").alias("long")).where("_n = 1")
+    return own.join(one, [scope, "tokens"]).select(scope, "short", "long")
+
+
 def tokens_of(kind: str, value: str) -> list[str]:
     if kind == "empresa":
         return company_key(value).split()

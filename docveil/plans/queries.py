@@ -195,7 +195,7 @@ def doubtful_count(spark, d):
 
 @query(_spans_cte + "SELECT type, CAST(count(*) FILTER (confidence='alta') AS BIGINT) AS alta, CAST(count(*) FILTER (confidence='media') AS BIGINT) AS media, CAST(count(*) FILTER (confidence='baja') AS BIGINT) AS baja FROM s GROUP BY type")
 def confidence_pivot(spark, d):
-    return _spans(spark, d).groupBy("type").pivot("confidence", ["alta", "media", "baja"]).count()
+    return api.confidence_of(_spans(spark, d))
 
 
 @query(_spans_cte + "SELECT doc_id, string_agg(CAST(n AS VARCHAR) || ' ' || CASE type WHEN 'nombre' THEN CASE n WHEN 1 THEN 'nombre' ELSE 'nombres' END WHEN 'dni' THEN 'DNI' WHEN 'email' THEN CASE n WHEN 1 THEN 'correo electrónico' ELSE 'correos electrónicos' END ELSE CASE n WHEN 1 THEN 'teléfono' ELSE 'teléfonos' END END, ', ' ORDER BY n DESC, type) AS said FROM (SELECT doc_id, type, count(*) AS n FROM s GROUP BY doc_id, type) GROUP BY doc_id")
@@ -361,11 +361,9 @@ def unknown_labels(spark, d):
 @query("WITH b AS (SELECT p_partkey AS big, string_split(upper(p_name), ' ') AS t, p_size FROM part WHERE p_partkey % 3 = 0), s AS (SELECT p_partkey AS small, string_split(upper(p_name), ' ')[1:2] AS t, p_size FROM part WHERE p_partkey % 3 = 1), j AS (SELECT small, big FROM s JOIN b ON s.p_size = b.p_size AND list_has_all(b.t, s.t)) SELECT small, any_value(big) AS big FROM j GROUP BY small HAVING count(*) = 1")
 def token_containment_join(spark, d):
     """The only entity of a block whose words contain all words of a shorter one."""
-    p = _read(spark, d, "part").withColumn("t", F.split(F.upper("p_name"), " "))
-    b = p.where("p_partkey % 3 = 0").select(F.col("p_partkey").alias("big"), F.col("t").alias("bt"), "p_size")
-    s = p.where("p_partkey % 3 = 1").select(F.col("p_partkey").alias("small"), F.slice("t", 1, 2).alias("st"), "p_size")
-    j = s.join(b, "p_size").where(F.size(F.array_except("st", "bt")) == 0)
-    return j.groupBy("small").agg(F.count(F.lit(1)).alias("n"), F.min("big").alias("big")).where("n = 1").select("small", "big")
+    p = _read(spark, d, "part").select("p_size", F.col("p_partkey").alias("id"), F.split(F.upper("p_name"), " ").alias("tokens"))
+    short = p.where("id % 3 = 1").withColumn("tokens", F.slice("tokens", 1, 2))
+    return ent.only_container(short, p.where("id % 3 = 0"), "p_size").select(F.col("short").alias("small"), F.col("long").alias("big"))
 
 
 @query("SELECT n_nationkey AS id, regexp_replace(upper(n_name), '[^A-Z0-9]', '', 'g') AS dni_key, trim(upper(n_name)) AS name_key FROM nation")
