@@ -1,7 +1,8 @@
 """Cards in photographs: four-cornered candidates from line segments, agreement of methods, the choice of several cards, and their sides refined.
 
 Everything is keyed by picture (``image_id``) and needs no pixels but for ``edge_points``.  What one picture holds (segments, candidates) is
-bounded by the picture; pictures are dealt out, so nothing here grows with their number.
+bounded by the picture; pictures are dealt out, so nothing here grows with their number.  What is made of few columns looks small to the planner
+however many pictures there are, so joins by picture ask for a merge: neither side is held whole.
 """
 
 from __future__ import annotations
@@ -114,9 +115,9 @@ def with_agreement(candidates: DataFrame, least: float = LEAST_MARK) -> DataFram
     asked = c.where((F.col("score") >= least) | (F.col("_rank") == 1))
     cells = F.array(*[F.struct((F.col("_x") + i).alias("x"), (F.col("_y") + j).alias("y")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
     around = asked.select("image_id", "seq", F.col("q").alias("_q"), F.col("score").alias("_score"), F.col("_family").alias("_own"), (F.least("width", "height") * AGREE).alias("_reach"), F.explode(cells).alias("c")).select("*", F.col("c.x").alias("_x"), F.col("c.y").alias("_y")).drop("c")
-    met = around.join(c.select("image_id", "_x", "_y", "q", "score", "_family"), ["image_id", "_x", "_y"]).where((F.col("_family") != F.col("_own")) & (F.col("score") >= F.col("_score") - WORSE) & (_distance(F.col("q"), F.col("_q")) < F.col("_reach")))
+    met = around.join(c.select("image_id", "_x", "_y", "q", "score", "_family").hint("merge"), ["image_id", "_x", "_y"]).where((F.col("_family") != F.col("_own")) & (F.col("score") >= F.col("_score") - WORSE) & (_distance(F.col("q"), F.col("_q")) < F.col("_reach")))
     votes = met.groupBy("image_id", "seq").agg(F.count_distinct("_family").alias("agreed"))
-    out = asked.join(votes, ["image_id", "seq"], "left").withColumn("agreed", F.coalesce("agreed", F.lit(0)))
+    out = asked.join(votes.hint("merge"), ["image_id", "seq"], "left").withColumn("agreed", F.coalesce("agreed", F.lit(0)))
     return out.drop("_x", "_y", "_family")
 
 
@@ -131,7 +132,7 @@ def chosen_cards(candidates: DataFrame, images: DataFrame, most: int = 2, ratio:
     best = rated.where("_rank = 1").select(*cols, F.lit(1).alias("_turn"))
     first = best.select("image_id", quad_area(F.col("q")).alias("_size"), F.col("q").alias("_taken"))
     rest = rated.where((F.col("_rank") > 1) & (F.col("score") >= LEAST_MARK) & (F.col("confidence") != "baja")).select(*cols)
-    rest = rest.join(first, "image_id").where((quad_area(F.col("q")) / F.col("_size")).between(*SIZES)).drop("_size")
+    rest = rest.join(first.hint("merge"), "image_id").where((quad_area(F.col("q")) / F.col("_size")).between(*SIZES)).drop("_size")
     taken = best
     for turn in range(2, most + 1):
         rest = rest.where(quad_overlap(F.col("q"), F.col("_taken")) <= COMMON).drop("_taken")
@@ -142,7 +143,7 @@ def chosen_cards(candidates: DataFrame, images: DataFrame, most: int = 2, ratio:
             rest = after.where("_n > 1").drop("_n")
     card = F.struct("_turn", "origin", "q", "score", "agreed", "confidence")
     listed = taken.groupBy("image_id").agg(F.sort_array(F.collect_list(card)).alias("cards"))
-    got = images.select("image_id", "width", "height").join(listed, "image_id", "left")
+    got = images.select("image_id", "width", "height").join(listed.hint("merge"), "image_id", "left")
     w, h = F.col("width").cast("double"), F.col("height").cast("double")
     shape = F.greatest(w, h) / F.least(w, h)
     pt = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
