@@ -225,7 +225,7 @@ def refined(quads: DataFrame, points: DataFrame) -> DataFrame:
     ).where(F.col("n") >= LEAST_POINTS)
     turn = F.atan2(F.col("xy") * 2, F.col("xx") - F.col("yy")) / 2
     fitted = moments.groupBy("image_id").agg(F.map_from_entries(F.collect_list(F.struct("side", F.struct("x", "y", F.cos(turn).alias("dx"), F.sin(turn).alias("dy"))))).alias("_fit"))
-    j = quads.join(fitted, "image_id", "left")
+    j = quads.join(fitted.hint("merge"), "image_id", "left")
 
     def line(i: int) -> Column:
         p, r = F.get("q", F.lit(i)), F.get("q", F.lit((i + 1) % 4))

@@ -96,3 +96,16 @@ def test_sides_move_onto_a_drawn_edge(spark):
     for (x, y), p in zip([(59.5, 49.5), (240.5, 49.5), (240.5, 150.5), (59.5, 150.5)], got[1].q, strict=True):
         assert math.hypot(p.x - x, p.y - y) < 1.5
     assert [c for p in got[2].q for c in (p.x, p.y)] == pytest.approx([c for p in off for c in p])  # nothing to see: corners stay
+
+
+def test_no_join_of_pictures_holds_a_side_whole(spark):
+    from pyspark.sql import functions as F
+
+    b = spark.range(3).select(F.col("id").alias("image_id"), F.lit(600.0).alias("width"), F.lit(400.0).alias("height"))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    corner = lambda x, y: F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"))
+    q = F.array(corner(50.0, 50.0), corner(250.0, 50.0), corner(250.0, 170.0), corner(50.0, 170.0))
+    made = b.select("*", F.lit(0).alias("seq"), F.lit("bordes1").alias("origin"), q.alias("q"), F.lit(0.9).alias("score"), F.lit(0.1).alias("worst"))
+    points = b.select("image_id", F.lit(0).alias("side"), F.lit(60.0).alias("x"), F.lit(50.0).alias("y"))
+    for df in (cards.chosen_cards(made, b), cards.refined(b.withColumn("q", q), points)):
+        assert "SortMergeJoin" in plan(df) and "Broadcast" not in plan(df)
