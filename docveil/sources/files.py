@@ -205,10 +205,10 @@ def save_texts(texts: DataFrame, suffix: str, roots: list[str], text_col: str =
 
 @dataclass
 class Folders(InputPartition):
-    """Folders of one level: (path, root, how many of its entries count)."""
+    """Folders of one level: (path, root, how many of its entries count; all if null)."""
 
     level: int
-    folders: list[tuple[str, str, int]]
+    folders: list[tuple[str, str, int | None]]
     cut: bool
 
 
@@ -221,6 +221,15 @@ def _entries(folder: str) -> list[os.DirEntry]:
         return []
 
 
+def _subfolders(folder: str) -> list[os.DirEntry]:
+    """A folder's entries by name that are folders or links to some; none where it can't be read."""
+    try:
+        with os.scandir(folder) as found:
+            return sorted((e for e in found if e.is_dir()), key=lambda e: e.name)
+    except OSError:
+        return []
+
+
 def _target(entry: os.DirEntry, roots: list[str]) -> str | None:
     """An entry's real path; null if it is hidden, temporary or a link to outside the roots or to nothing."""
     if entry.name.startswith((".", "~$")):
@@ -232,9 +241,12 @@ def _target(entry: os.DirEntry, roots: list[str]) -> str | None:
 
 
 class TreeReader(DataSourceReader):
-    """Level by level, the driver counts entries against the budget and plans folders; tasks read what each entry is."""
+    """Level by level, the driver counts entries against the budget and plans folders; tasks read what each entry is.
+
+    Without a budget the driver keeps a folder's subfolders only.
+    """
 
-    def __init__(self, roots: list[str], depth: int, limit: int, recursive: bool):
+    def __init__(self, roots: list[str], depth: int, limit: int | None, recursive: bool):
         self.roots, self.depth, self.limit, self.recursive = [os.path.realpath(r) for r in roots], depth, limit, recursive
 
     def partitions(self) -> list[Folders]:
@@ -243,13 +255,14 @@ class TreeReader(DataSourceReader):
         while waiting and not cut:
             folders, below = [], []
             for folder, root in waiting:
-                entries = _entries(folder)
-                n = min(len(entries), left)
+                entries = _entries(folder) if left is not None else _subfolders(folder) if self.recursive and level + 1 < self.depth else []
+                n = None if left is None else min(len(entries), left)
                 folders.append((folder, root, n))
-                left -= n
-                if n < len(entries):
-                    cut = True
-                    break
+                if n is not None:
+                    left -= n
+                    if n < len(entries):
+                        cut = True
+                        break
                 for e in entries if self.recursive and level + 1 < self.depth else ():
                     real = _target(e, self.roots)
                     if real is not None and os.path.isdir(real) and e.name.lower() not in SYSTEM_FOLDERS and real not in seen:
@@ -281,7 +294,7 @@ class TreeReader(DataSourceReader):
 
 
 class FolderTree(DataSource):
-    """``format("folder_tree")``; options roots (JSON), depth, limit, recursive."""
+    """``format("folder_tree")``; options roots (JSON), depth, limit ("none" for no budget), recursive."""
 
     @classmethod
     def name(cls) -> str:
@@ -292,18 +305,20 @@ class FolderTree(DataSource):
 
     def reader(self, schema: StructType) -> TreeReader:
         o = self.options
-        return TreeReader(json.loads(o["roots"]), int(o.get("depth", MAX_DEPTH)), int(o.get("limit", MAX_ENTRIES)), o.get("recursive", "true") == "true")
+        limit = o.get("limit", str(MAX_ENTRIES))
+        return TreeReader(json.loads(o["roots"]), int(o.get("depth", MAX_DEPTH)), None if limit == "none" else int(limit), o.get("recursive", "true") == "true")
 
 
-def scan_tree(spark: SparkSession, roots: list[str], depth: int = MAX_DEPTH, limit: int = MAX_ENTRIES, recursive: bool = True) -> DataFrame:
-    """Files and folders below the roots, to a depth, folders nearer to the roots first; ``cut`` where the budget of entries ended the scan.
+def scan_tree(spark: SparkSession, roots: list[str], depth: int = MAX_DEPTH, limit: int | None = MAX_ENTRIES, recursive: bool = True) -> DataFrame:
+    """Files and folders below the roots, to a depth, folders nearer to the roots first; ``cut`` where the budget of entries ended the scan.  A null
+    ``limit`` is no budget: the whole tree is read.
 
     Hidden and temporary entries count against the budget and are left out; links are followed if they end within the roots, and no folder is
     entered twice.
     """
     spark.dataSource.register(FolderTree)
     roots = [local_path(r) for r in roots]
-    return spark.read.format("folder_tree").options(roots=json.dumps(roots), depth=str(depth), limit=str(limit), recursive=str(recursive).lower()).load()
+    return spark.read.format("folder_tree").options(roots=json.dumps(roots), depth=str(depth), limit="none" if limit is None else str(limit), recursive=str(recursive).lower()).load()
 
 
 def _normal_path(parts: Column) -> Column:

@@ -157,6 +157,18 @@ def test_budgets(spark, tmp_path):
     assert files.scan_tree(spark, [str(tmp_path / "none")]).collect() == []
 
 
+def test_scan_without_budget(spark, tmp_path):
+    root = str(_tree(tmp_path))
+    found = lambda **kw: sorted(tuple(r) for r in files.scan_tree(spark, [root], **kw).collect())
+    assert found(limit=None) == found() and found(limit=None, depth=2) == found(depth=2) and found(limit=None, recursive=False) == found(recursive=False)
+    many = tmp_path / "many"
+    many.mkdir()
+    for k in range(50_010):
+        (many / str(k)).touch()
+    whole = files.scan_tree(spark, [str(many)], limit=None)
+    assert whole.count() == 50_010 and whole.where("cut").count() == 0
+
+
 def test_resolved(spark, tmp_path):
     root = str(_tree(tmp_path))
     asked = {
