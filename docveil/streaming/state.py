@@ -1,13 +1,14 @@
 """Operators with state of their own, for streams and batches alike: a memo of bounded size and age, a registry of jobs, and labels.
 
 State is in maps by key, so that a row reads and writes the entries that it needs, however many there are.  A batch is one run over empty
-state.  Rows of a key are taken in order of time, then id: a batch is sorted beforehand and streams through; of a stream, the rows that a
-key has in one micro-batch are held.  Rows that come after later ones of an earlier micro-batch count as if they came with them.
+state, which for the memo and the registry is in the memory of the task, one key's at a time, as no later batch asks for it.  Rows of a key are
+taken in order of time, then id: a batch is sorted beforehand and streams through; of a stream, the rows that a key has in one micro-batch are held.  Rows that come after later ones of an earlier micro-batch count as if they came with them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -40,16 +41,76 @@ def _rows(frames: Iterator[pd.DataFrame], held: bool) -> Iterator[tuple]:
             yield r
 
 
+class _Value:
+    """A value's state in memory."""
+
+    def __init__(self):
+        self.value = None
+
+    def exists(self) -> bool:
+        return self.value is not None
+
+    def get(self) -> tuple | None:
+        return self.value
+
+    def update(self, value: tuple) -> None:
+        self.value = value
+
+    def clear(self) -> None:
+        self.value = None
+
+
+class _Map(dict):
+    """A map's state in memory."""
+
+    containsKey, getValue, updateValue, iterator = dict.__contains__, dict.get, dict.__setitem__, dict.items  # noqa: N815
+
+    def removeKey(self, key: tuple) -> None:  # noqa: N802
+        self.pop(key, None)
+
+
+class _Memory:
+    """State of one key of a batch: empty when its rows begin, gone when they end."""
+
+    def getValueState(self, *_) -> _Value:  # noqa: N802
+        return _Value()
+
+    def getMapState(self, *_) -> _Map:  # noqa: N802
+        return _Map()
+
+
+def _in_memory(key: str, processor: StatefulProcessor, whole: bool) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Each key's rows, which come together and in order, through the processor.  ``_key`` is the key as text, as nulls turn whole numbers into others."""
+
+    def stretches(frames: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+        for f in frames:
+            texts, at = [None if pd.isna(t) else t for t in f["_key"]], 0
+            for text, same in groupby(texts):
+                n = len(list(same))
+                part = f.iloc[at : at + n]
+                yield text, None if text is None else int(text) if whole else part[key].iloc[0], part
+                at += n
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for _, parts in groupby(stretches(frames), lambda x: x[0]):
+            first = next(parts)
+            processor.init(_Memory())
+            rest = (p for x in ([first], parts) for _, _, p in x)
+            yield from processor.handleInputRows((first[1],), rest, None)
+
+    return run
+
+
 def _run(rows: DataFrame, key: str, processor: StatefulProcessor, schema: str, late: str, timed: bool) -> DataFrame:
     """Rows with (key, at, id) through a processor.  ``timed`` processors get event-time timers on a stream, others state that expires."""
-    with_state(rows.sparkSession)
     rows = rows.withColumn("at", F.col("at").cast("timestamp"))
     if rows.isStreaming:
+        with_state(rows.sparkSession)
         rows = rows.withWatermark("at", late) if timed else rows
         return rows.groupBy(key).transformWithStateInPandas(processor, schema, "append", "EventTime" if timed else "ProcessingTime")
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    in_order = rows.repartition(n, key).sortWithinPartitions(key, "at", "id")
-    return in_order.groupBy(key).transformWithStateInPandas(processor, schema, "append", "none")
+    in_order = rows.withColumn("_key", F.col(key).cast("string")).repartition(n, key).sortWithinPartitions(key, "at", "id")
+    return in_order.mapInPandas(_in_memory(key, processor, dict(rows.dtypes)[key] in ("tinyint", "smallint", "int", "bigint")), schema)
 
 
 def _ms(at: pd.Timestamp) -> int:

@@ -151,3 +151,14 @@ def test_labels_batch(spark):
     rows = [("s", "PERSONA", k) for k in ("a", "b", "a", "c")] + [("s", "DNI", "a"), ("t", "PERSONA", "b"), ("t", "PERSONA", "b")]
     got = {tuple(r) for r in state.labelled(spark.createDataFrame(rows, "scope_id string, base string, key string").coalesce(1)).collect()}
     assert got == {("s", "PERSONA", "a", 1), ("s", "PERSONA", "b", 2), ("s", "PERSONA", "c", 3), ("s", "DNI", "a", 1), ("t", "PERSONA", "b", 1)}
+
+
+def test_a_batch_keeps_its_state_in_memory(spark):
+    keys = [2**60 + 1, 2**60 + 2, None]
+    rows = spark.createDataFrame([(k, n, n, e) for k in keys for n, e in enumerate("aab")], "scope_id long, id long, t long, entry string").select("scope_id", "id", F.timestamp_seconds("t").alias("at"), "entry")
+    out = state.memo(rows)
+    assert "TransformWithState" not in out._jdf.queryExecution().executedPlan().toString()
+    assert {tuple(r) for r in out.collect()} == {(k, n, hit, held) for k in keys for n, hit, held in ((0, False, 1), (1, True, 1), (2, False, 2))}
+    log = rows.select(F.col("scope_id").cast("string").alias("job"), "id", "at", F.when(F.col("id") == 1, "done").otherwise("call").alias("kind"), F.col("entry").alias("result"))
+    got = sorted((r.job or "", r.call, r.status) for r in state.registry(log).collect())
+    assert got == sorted((str(k) if k else "", c, s) for k in keys for c, s in ((0, "started"), (0, "done"), (2, "started")))
