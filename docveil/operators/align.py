@@ -8,11 +8,14 @@ from __future__ import annotations
 
 import unicodedata
 from bisect import bisect_left
+from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from ..functions.udf import arrow_function
 from ..sources.shared import stored
@@ -20,6 +23,8 @@ from .geometry import united
 
 #: Letters that a tie has to have.
 TIE = 8
+#: Letters of one batch.
+LETTERS = 50_000
 #: Glyphs that may be passed over in search of a letter (fixed value).
 AHEAD = 40
 
@@ -30,9 +35,34 @@ def _plain(c: str) -> str:
     return "".join(x for x in unicodedata.normalize("NFKC", c) if not x.isspace() and x != "﻿")
 
 
-@arrow_function("array<struct<c:string,at:int>>")
-def _letters(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: [{"c": x, "at": k} for k, c in enumerate(t or "") for x in _plain(c)])
+def _lettered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Letters of the last column, beside the others: a text's letters leave in batches, so that no batch of texts is held as letters."""
+    for b in batches:
+        kept, found = b.select(b.schema.names[:-1]), []
+
+        def flushed(kept: pa.RecordBatch, found: list[tuple]) -> pa.RecordBatch:
+            row, *columns = zip(*found, strict=True)
+            own = kept.take(pa.array(row, pa.int64())).columns
+            return pa.RecordBatch.from_arrays([*own, *(pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.int32()), strict=True))], [*kept.schema.names, "c", "at", "_k"])
+
+        for row in range(b.num_rows):
+            n = 0
+            for at, c in enumerate(b.column(b.num_columns - 1)[row].as_py() or ""):
+                for x in _plain(c):
+                    found.append((row, x, at, n))
+                    n += 1
+                if len(found) >= LETTERS:
+                    yield flushed(kept, found)
+                    found = []
+        if found:
+            yield flushed(kept, found)
+
+
+def letter_rows(texts: DataFrame, keep: list[str], text_col: str) -> DataFrame:
+    """(keep, c, at, _k): a row for each letter of a text's compatibility form, its place in the text, and its number."""
+    rows = texts.select(*keep, F.col(text_col).alias("_text"))
+    fields = [f for f in rows.schema.fields if f.name != "_text"]
+    return rows.mapInArrow(_lettered, StructType([*fields, StructField("c", StringType()), StructField("at", IntegerType()), StructField("_k", IntegerType())]))
 
 
 def heaviest_chain(places: list[int], weights: list[int]) -> list[int]:
@@ -114,8 +144,8 @@ def aligned(texts: DataFrame, glyphs: DataFrame, key: list[str], text_col: str =
     A character without its glyph, and a glyph that no character asks for, have no row.  Null and empty texts or glyphs pair with
     nothing, nor do pages that only one side has or whose key has a null.  Other columns are ignored.
     """
-    written = texts.select(*key, F.posexplode(_letters(F.col(text_col))).alias("_k", "_w")).select(*key, F.col("_w.c").alias("c"), F.col("_w.at").alias("ref"), "_k")
-    drawn = glyphs.select(*key, F.col("n").cast("int").alias("ref"), F.posexplode(_letters(F.col("c"))).alias("_k", "_w")).select(*key, F.col("_w.c").alias("c"), "ref", "_k")
+    written = letter_rows(texts, key, text_col).withColumnRenamed("at", "ref")
+    drawn = letter_rows(glyphs.withColumn("ref", F.col("n").cast("int")), [*key, "ref"], "c").drop("at")
     both = _side(written, key, ["_k"], 0).union(_side(drawn, key, ["ref", "_k", "c"], 1))
     letters = stored(both, "letters")
     runs = _runs(letters, key).select(*key, "l", "r", F.explode(F.sequence(F.lit(0), F.col("w") - 1)).alias("_d"))

@@ -130,3 +130,14 @@ def test_rects_of_a_span(spark):
     assert got[1, 4, 8] == [line] and got[1, 5, 6] == [(40.0, 0.0, 20.0, 12.0)]  # a ligature is covered whole
     assert got[1, 4, 15] == [line, (0.0, 20.0, 20.0, 12.0), (30.0, 20.0, 30.0, 12.0)]
     assert got[1, 3, 4] == got[1, 2, 2] == got[2, 0, 4] == []
+
+
+def test_letters_leave_in_batches():
+    import pyarrow as pa
+
+    texts = ["a" * 120_000, None, "", "x ﬁn", "b" * 60_000]
+    out = list(align._lettered(iter([pa.RecordBatch.from_pydict({"page_id": list(range(5)), "_text": texts})])))
+    assert max(b.num_rows for b in out) <= align.LETTERS + 20 and len(out) == 4
+    rows = [r for b in out for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    assert [r[1:] for r in rows if r[0] == 3] == [("x", 0, 0), ("f", 2, 1), ("i", 2, 2), ("n", 3, 3)]
+    assert sum(r[0] == 0 for r in rows) == 120_000 and rows[-1] == (4, "b", 59_999, 59_999)
