@@ -65,3 +65,20 @@ def test_a_plan_without_scope_joins(spark):
     plan = ent.completed(d, o)._jdf.queryExecution().optimizedPlan().toString()
     joins = [line for line in plan.splitlines() if re.search(r"\bJoin\b", line)]
     assert joins and all("token" in j or "doc_id" in j for j in joins)
+
+
+def test_words_leave_in_batches():
+    """A batch of texts is never held as words: what leaves has a bounded number of places, and all of them."""
+    import pyarrow as pa
+
+    from docveil.operators import tokens
+
+    texts = ["uno Dos uno " * 1_000, None, "", "a1_b2 " * 30_000, "fin"] + ["tres 4 TRES"] * 40_000
+    batch = pa.record_batch([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    got, largest = set(), 0
+    for b in tokens._worded(iter([batch])):
+        rows = b.to_pylist()
+        largest = max(largest, sum(len(r["at"]) for r in rows))
+        got.update((r["doc_id"], r["token"], at) for r in rows for at in r["at"])
+    assert got == {(k, m[0].lower(), m.start()) for k, t in enumerate(texts) for m in re.finditer(r"[^\W_]+", t or "")}
+    assert largest <= tokens.PLACES
