@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbering import starts_clause
 from ..functions.text import margin_key, unaccent
+from ..sources.shared import stored
 
 #: A page with fewer visible characters is read as a scan if it draws an image.
 VISIBLE = 20
@@ -97,7 +98,8 @@ def over_breaks(pages: DataFrame, options=None, text_col: str = "text") -> DataF
     found = detect(s, "_t", options)
     cut = F.length("tail")
     crossing = F.filter("matches", lambda m: (m["start"] < cut) & (m["end"] > cut + 1))
-    df = found.select("*", F.explode(crossing).alias("m"))
+    # outer, as in ``exploded``
+    df = found.select("*", F.explode_outer(crossing).alias("m")).where("m is not null")
     return df.select("doc_id", "page_no", "next_no", F.col("m.type").alias("type"), F.regexp_replace("m.value", "\\s*\\n\\s*", " ").alias("value"), F.col("m.confidence").alias("confidence"), (F.col("tail_start") + F.col("m.start")).alias("a_start"), (F.col("tail_start") + cut).alias("a_end"), F.col("head_start").alias("b_start"), (F.col("head_start") + F.col("m.end") - cut - 1).alias("b_end"))
 
 
@@ -117,14 +119,15 @@ def page_matches(pages: DataFrame, options=None, text_col: str = "text") -> Data
         own = detect(keys.where("not _ocr"), options=every).unionByName(detect(keys.where("_ocr"), options=replace(every, ocr=True)))
     else:
         own = detect(keys, options=every)
-    over = over_breaks(keys, every)
+    # needed three times: stored, so that the text around breaks is searched once
+    over = stored(over_breaks(keys, every), "over_breaks")
     first = over.select("doc_id", "page_no", F.col("a_start").alias("s"), F.col("a_end").alias("e"))
     second = over.select("doc_id", F.col("next_no").alias("page_no"), F.col("b_start").alias("s"), F.col("b_end").alias("e"))
     taken = first.unionByName(second).groupBy("doc_id", "page_no").agg(F.collect_list(F.struct("s", "e")).alias("_taken"))
     left = own.select("doc_id", "page_no", "matches").join(taken, ["doc_id", "page_no"], "left")
     free = F.filter("matches", lambda m: F.col("_taken").isNull() | ~F.exists("_taken", lambda t: (m["start"] < t["e"]) & (m["end"] > t["s"])))
     none = [F.lit(None).cast("int").alias(c) for c in ("next_start", "next_end")]
-    alone = left.select("doc_id", "page_no", F.explode(free).alias("m")).select("doc_id", "page_no", "m.type", "m.value", "m.start", "m.end", "m.confidence", F.lit(None).cast(pages.schema["page_no"].dataType).alias("next_no"), *none)
+    alone = left.select("doc_id", "page_no", F.explode_outer(free).alias("m")).where("m is not null").select("doc_id", "page_no", "m.type", "m.value", "m.start", "m.end", "m.confidence", F.lit(None).cast(pages.schema["page_no"].dataType).alias("next_no"), *none)
     broken = over.select("doc_id", "page_no", "type", "value", F.col("a_start").alias("start"), F.col("a_end").alias("end"), "confidence", "next_no", F.col("b_start").alias("next_start"), F.col("b_end").alias("next_end"))
     return alone.unionByName(broken).withColumn("visible", left_visible(F.col("value"), o.keep_visible) if o.keep_visible else F.lit(False))
 

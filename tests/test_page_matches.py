@@ -35,3 +35,18 @@ def test_scanned_pages_are_read_with_more_tolerance(spark):
 
 def test_no_pages(spark):
     assert _found(spark, [], types=["dni"]) == []
+
+
+def test_the_text_around_breaks_is_searched_once(spark):
+    """Of the pages' own text there is one detection in the plan, of that around breaks the stored result."""
+    rows = [(1, 1, "Pague en ES91", None, "x"), (1, 2, "21000418450200051332 hoy", None, "x")]
+    df = spark.createDataFrame([r[:3] for r in rows], "doc_id long, page_no int, text string")
+    plan = pages.page_matches(df, Options(types=["iban"]))._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("ArrowEvalPython" in line for line in plan.splitlines()) == 1
+
+
+def test_the_query_searches_on_all_cores(spark, sf):
+    from docveil.plans.queries import _dealt, queries
+
+    assert queries()["page_matches"](spark, sf).count() > 0
+    assert _dealt(spark.range(10).coalesce(1), "id").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
