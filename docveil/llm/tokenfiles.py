@@ -50,13 +50,14 @@ _state: dict[str, list] = {}
 
 
 def _encoder(path: str) -> list:
-    """[tokenizer, chunks remembered of late, chunks remembered before, bytes of an id, whether it splits as _chunks does]"""
+    """[tokenizer, chunks remembered, type of an id, whether it splits as _chunks does]"""
     if path not in _state:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_file(path)
-        _state[path] = [tok, {}, {}, id_type(path), splits_at_spaces(json.loads(tok.to_str()))]
+        kind = id_type(path)
+        _state[path] = [tok, _Known(tok, kind, {}), kind, splits_at_spaces(json.loads(tok.to_str()))]
     return _state[path]
 
 
@@ -74,7 +75,11 @@ def splits_at_spaces(tokenizer: dict) -> bool:
 
 
 _WORD = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
-_BREAK, _ODD = re.compile(r"(?= \S)"), re.compile(r" (?:\s|\Z)")
+_BREAK = re.compile(r"(?= \S)")
+
+
+class _Odd(Exception):
+    """A text has white space after a space, or a space at its end."""
 
 
 def _chunks(text: str) -> list[str]:
@@ -82,12 +87,7 @@ def _chunks(text: str) -> list[str]:
 
     The tokenizer's pattern gives such a space to the token that follows.  A text that may spell a special token is one chunk.
     """
-    if "<|" in text:
-        return [text]
-    if _ODD.search(text):
-        return _BREAK.split(text)
-    first, *rest = text.split(" ")
-    return [first, *map(" ".__add__, rest)]
+    return [text] if "<|" in text else _BREAK.split(text)
 
 
 def _ids(ids: list[int], kind: str) -> bytes:
@@ -97,50 +97,66 @@ def _ids(ids: list[int], kind: str) -> bytes:
     return out.tobytes()
 
 
-def _encode_chunks(fresh: list[str], tok, known: dict[str, bytes], kind: str) -> None:
-    """Put the ids of chunks into ``known``.
+class _Known(dict):
+    """Ids of chunks, found when they are first asked for.
 
-    The tokenizer's pattern makes one token of a run of letters with the space before it, and another of the signs behind it; their
+    The key of a chunk is what follows its space; that of a chunk without one, as at the start of a text, is the chunk behind a space.  The
+    tokenizer's pattern makes one token of a run of letters with the space before it, and another of the signs behind it; their
     bytes, written as it writes them, go straight to its model.  All other chunks go through the whole tokenizer.
     """
-    model, others = tok.model.tokenize, []
-
-    def one(piece: str) -> bytes:
-        if piece not in known:
-            spelled = piece.replace(" ", "Ġ") if piece.isascii() else piece.encode().decode("latin-1").translate(_BYTES)
-            known[piece] = _ids([t.id for t in model(spelled)], kind)
-        return known[piece]
 
-    for w in fresh:
-        if m := _WORD.fullmatch(w):
-            known[w] = one(m[1]) + one(m[2]) if m[2] else one(w)
-        else:
-            others.append(w)
-    for at in range(0, len(others), 20_000):
-        part = others[at : at + 20_000]
-        for w, e in zip(part, tok.encode_batch_fast(part, add_special_tokens=False), strict=True):
-            known[w] = _ids(e.ids, kind)
+    def __init__(self, tok, kind: str, old: dict[str, bytes]):
+        super().__init__()
+        self.tok, self.model, self.kind, self.old = tok, tok.model.tokenize, kind, old
+
+    def __missing__(self, key: str) -> bytes:
+        ids = self.old.get(key)
+        if ids is None:
+            chunk = key[1:] if key[:1] == " " else " " + key
+            if m := _WORD.fullmatch(chunk):
+                ids = self._piece(m[1]) + self._piece(m[2]) if m[2] else self._model(chunk)
+            elif key[:1] != " " and not key[:1].strip():
+                raise _Odd
+            else:
+                ids = _ids(self.tok.encode(chunk, add_special_tokens=False).ids, self.kind)
+        self[key] = ids
+        return ids
+
+    def _piece(self, piece: str) -> bytes:
+        key = piece[1:] if piece[0] == " " else " " + piece
+        if key not in self:
+            self[key] = self._model(piece)
+        return self[key]
+
+    def _model(self, piece: str) -> bytes:
+        spelled = piece.replace(" ", "Ġ") if piece.isascii() else piece.encode().decode("latin-1").translate(_BYTES)
+        return _ids([t.id for t in self.model(spelled)], self.kind)
 
 
 def encode_texts(texts: list[str], path: str, end: int = 0) -> list[bytes]:
     """Ids of each text and the end id, in the type of the files.  A chunk is encoded once for as long as it is remembered."""
     state = _encoder(path)
-    kind = state[3]
+    tok, known, kind, splits = state
     last = _ids([end], kind)
-    if not state[4]:
-        return [_ids(e.ids, kind) + last for e in state[0].encode_batch_fast(texts, add_special_tokens=False)]
-    split = [_chunks(t) for t in texts]
-    need = set().union(*split)
-    new = need.difference(state[1])
-    if len(state[1]) + len(new) > REMEMBERED and state[1]:
-        state[1:3] = [{}, state[1]]
-        new = need
-    tok, known, old = state[:3]
-    again = new.intersection(old)
-    known.update((w, old[w]) for w in again)
-    _encode_chunks(list(new - again), tok, known, kind)
-    get = known.__getitem__
-    return [b"".join(map(get, ws)) + last for ws in split]
+    if not splits:
+        return [_ids(e.ids, kind) + last for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
+    out = []
+    for text in texts:
+        if len(known) > REMEMBERED:
+            known.old = {}
+            known = state[1] = _Known(tok, kind, known)
+        get = known.__getitem__
+        if "<|" not in text:
+            keys = text.split(" ")
+            keys[0] = " " + keys[0]
+            try:
+                out.append(b"".join(map(get, keys)) + last)
+                continue
+            except _Odd:
+                pass
+        first, *rest = _chunks(text)
+        out.append(b"".join([get(" " + first), *(get(c[1:]) for c in rest)]) + last)
+    return out
 
 
 def encoded(docs: DataFrame, tokenizer: str, end: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

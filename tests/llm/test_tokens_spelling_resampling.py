@@ -275,3 +275,19 @@ def test_blocks(spark, sf):
         pointers, columns, counts = resample._arrays(b.asDict(), resample.BUCKETS)
         sums = np.add.reduceat(np.append(counts, 0), pointers[:-1]) * (np.diff(pointers) > 0)
         assert sums.tolist() == b["n_features"] and len(columns) == pointers[-1]
+
+
+def test_texts_are_split_one_at_a_time(monkeypatch):
+    """Chunks of one text are held, not those of all, and what is forgotten is encoded again."""
+    import tracemalloc
+
+    texts = [" ".join(["uno", "dos,", "trés"] * 2_000)] * 100
+    tokenfiles.encode_texts(texts[:1], PATH)
+    tracemalloc.start()
+    got = tokenfiles.encode_texts(texts, PATH)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < sum(map(len, got)) + 4_000_000
+    monkeypatch.setattr(tokenfiles, "REMEMBERED", 3)
+    odd = ["", " ", "  ", "a", " a", "a ", "a  b", " \na", "a \t b", "a\u00a0b \u00a0c", "x <|endoftext|> y", "12 34, 5.", "ñ日本 語 !? ...", "a b c d e f a b c"]
+    assert [np.frombuffer(g, "<u2").tolist() for g in tokenfiles.encode_texts(odd * 2, PATH)] == [[*TOK.encode(t, add_special_tokens=False).ids, 0] for t in odd * 2]
