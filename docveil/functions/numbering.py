@@ -6,6 +6,7 @@ up among the numerals, which are made from tables.  Column expressions and plain
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import regex
@@ -49,19 +50,34 @@ _START = f"^\\s*{_TOKEN}"
 #: A figure with its ordinal sign needs no other closing sign.
 _SIGNED = "^\\s*[0-9]{1,3}\\s?\\.?\\s?[ºª°]\\.?\\s*(?:[.:)\\-–—]\\s*-?)?(?=\\s)\\s*"
 
+#: The most frequent form, "3. Text", which all of them read alike.
+_PLAIN = re.compile(r"([0-9]{1,3}\.) +(?=[^\W\d_ºª])")
+
 _PY = {p: regex.compile(p.replace("(?iu)", ""), regex.I) for p in (_CLAUSE, _LEAD, _START, _SIGNED)}
 
 
+#: First letters of names of clauses, with the long s, which patterns in any case take for an s; and ordinal signs.
+_FIRST, _ORDINAL = {c[0] for c in CLAUSES} | {"ſ"}, set("ºª°")
+
+
 def _is_number(token: str, letter: bool) -> bool:
     return token[0].isdigit() or _fold(token).replace("\n", " ") in NUMERALS or (letter and len(token) == 1)
 
 
+def _named(s: str) -> regex.Match | None:
+    """The word that names a clause; most paragraphs start with a character that none does."""
+    return _PY[_CLAUSE].match(s) if s[:1].isspace() or s[:1].lower() in _FIRST else None
+
+
 def number_end(s: str) -> int:
     """Where the number at the start of a paragraph ends; 0 if there is none."""
-    named = _PY[_CLAUSE].match(s)
+    if m := _PLAIN.match(s):
+        return m.end()
+    named = _named(s)
     for at in [named.end(), 0] if named else [0]:
         rest = s[at:]
-        if m := _PY[_SIGNED].match(rest):
+        # three figures, two blanks and a dot before the sign at most
+        if (rest[:1].isspace() or _ORDINAL & set(rest[:7])) and (m := _PY[_SIGNED].match(rest)):
             return at + m.end()
         if (m := _PY[_LEAD].match(rest)) and _is_number(m[1], m[2] in ".)" and rest[m.end(2) : m.end(2) + 1].isspace()):
             return at + m.end()
@@ -70,7 +86,9 @@ def number_end(s: str) -> int:
 
 def clause_mark(s: str) -> str:
     """The number with which a clause starts, with its word and closing sign; empty if none does."""
-    named = _PY[_CLAUSE].match(s)
+    if m := _PLAIN.match(s):
+        return m[1]
+    named = _named(s)
     for at in [named.end(), 0] if named else [0]:
         if (m := _PY[_START].match(s[at:])) and _is_number(m[1], False):
             return s[: at + m.end()]
